@@ -6,7 +6,7 @@ from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 _EPS = 1e-15
 _TINY = 1e-300
@@ -68,14 +68,14 @@ def upper_gamma(a: float, x: float) -> float:
     return front * out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     """P(|T| >= |t|) for Student's t."""
     return pd.Series([None if pd.isna(x) or pd.isna(v) or v <= 0 else float(incomplete_beta(v / 2, 0.5, v / (v + x * x)))
                       for x, v in zip(t, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     """P(X >= x) for chi-square."""
     return pd.Series([None if pd.isna(v) or pd.isna(k) or k <= 0 else float(upper_gamma(k / 2, v / 2))
