@@ -39,6 +39,8 @@ GRIDS: dict[str, dict[str, list]] = {
         "gamma": [0.001, 0.01, 0.05, 0.1, 0.2, 0.5, "scale", "auto"],
     },
 }
+ROWS_PER_PARTITION = 20_000
+SMALL_TRAINING_SET = 1_000_000
 MAX_TREE_DEPTH = 30  # the deepest tree Spark grows; stands for "no limit"
 
 
@@ -76,6 +78,7 @@ class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable)
     def __init__(self, *, inputCol: str = "features", outputCol: str = "mapped", gamma: float = 1.0,
                  size: int = 128, seed: int = SEED):
         super().__init__()
+        self._setDefault(inputCol="features", outputCol="mapped", gamma=1.0, size=128, seed=SEED)
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -123,7 +126,7 @@ def _stages(spec: Spec, df: DataFrame, features: Sequence[str], label: str, weig
         # C weighs the summed loss against the penalty, regParam the penalty against the mean loss
         return [assemble, LogisticRegression(
             labelCol=label, weightCol="weight", regParam=1.0 / (float(p.get("C", 1.0)) * weight_sum),
-            elasticNetParam=0.0, standardization=False, maxIter=int(p.get("max_iter", 100)), tol=1e-8)]
+            elasticNetParam=0.0, standardization=False, maxIter=int(p.get("max_iter", 100)), tol=1e-6)]
     if spec.family == "rf":
         depth = p.get("max_depth")
         return [assemble, RandomForestClassifier(
@@ -144,10 +147,15 @@ def _stages(spec: Spec, df: DataFrame, features: Sequence[str], label: str, weig
         return [assemble, *mapped[kernel], LinearSVC(
             featuresCol="mapped" if mapped[kernel] else "features", labelCol=label, weightCol="weight",
             regParam=1.0 / (float(p.get("C", 1.0)) * weight_sum), standardization=False,
-            maxIter=int(p.get("max_iter", 50)))]
+            maxIter=int(p.get("max_iter", 100)), tol=1e-3)]
     raise ValueError(f"unknown model family {spec.family!r}")
 
 
+def right_sized(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer partitions for small training sets: every iteration of a learner is one task per partition."""
+    return df.coalesce(max(1, rows // ROWS_PER_PARTITION)) if rows < SMALL_TRAINING_SET else df
+
+
 @contextmanager
 def held(df: DataFrame):
     """Cached while in use. Lost blocks are recomputed, so it survives a lost executor."""
@@ -239,9 +247,10 @@ def fit(df: DataFrame, id_col: str, label: str, features: Sequence[str], spec: S
         ready = smote(ready, id_col, label, features, seed=SEED)
     elif spec.sampler is not None:
         raise ValueError(f"unknown sampler {spec.sampler!r}")
-    with held(with_class_weight(ready, label).select(label, "weight", *features)) as rows:
-        n = rows.count()
-        model = Pipeline(stages=_stages(spec, rows, features, label, float(n))).fit(rows)
+    # the learners cache their own compact copy of the rows, so none is kept here
+    rows, n = with_class_weight(ready, label)
+    rows = rows.select(label, "weight", *features)
+    model = Pipeline(stages=_stages(spec, rows, features, label, float(n))).fit(right_sized(rows, n))
     fitted = Classifier(spec, features, PipelineModel(stages=[prep, *model.stages]))
     if spec.family == "svm" and platt_folds:
         with held(stratified_folds(train, id_col, label, platt_folds, SEED, "__pf")) as folds:
@@ -267,7 +276,7 @@ def calibrate(df: DataFrame, id_col: str, label: str, model: Classifier, folds:
 
 
 def out_of_fold(df: DataFrame, id_col: str, label: str, features: Sequence[str], specs: Mapping[str, Spec],
-                folds: int = 10, seed: int = SEED, parallel: int = 4) -> DataFrame:
+                folds: int = 10, seed: int = SEED, parallel: int = 8) -> DataFrame:
     """``(id, label, fold, one probability column per spec)``: each row scored by models that never saw it.
 
     Only fitting runs jobs; the scores stay lazy. Fits of different folds overlap on the cluster.
@@ -294,7 +303,7 @@ def out_of_fold(df: DataFrame, id_col: str, label: str, features: Sequence[str],
 
 
 def grid_search(df: DataFrame, id_col: str, label: str, features: Sequence[str], specs: Sequence[Spec],
-                folds: int = 10, seed: int = SEED, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+                folds: int = 10, seed: int = SEED, parallel: int = 8) -> tuple[DataFrame, DataFrame]:
     """Average precision of every candidate on every fold.
 
     Returns the report ``(candidate, params, mean_score, two_sd, rank)`` and the out-of-fold scores
@@ -346,8 +355,9 @@ def decision_surface(df: DataFrame, id_col: str, label: str, pair: Sequence[str]
         standardized(quoted(c), state[c]["mean"], state[c]["sd"]).alias(c) for c in pair])
     bounds = [((state[c]["low"] - state[c]["mean"]) / (state[c]["sd"] or 1.0) - 1.0,
                (state[c]["high"] - state[c]["mean"]) / (state[c]["sd"] or 1.0) + 1.0) for c in pair]
-    with held(ready.withColumn("weight", F.lit(1.0))) as rows:
-        model = Pipeline(stages=_stages(spec, rows, list(pair), label, float(rows.count()))).fit(rows)
+    rows = ready.withColumn("weight", F.lit(1.0))
+    n = rows.count()
+    model = Pipeline(stages=_stages(spec, rows, list(pair), label, float(n))).fit(right_sized(rows, n))
     i, j = F.floor(F.col("id") / points).cast("int"), F.pmod(F.col("id"), F.lit(points)).cast("int")
     (x0, x1), (y0, y1) = bounds
     grid = (df.sparkSession.range(points * points).select(i.alias("i"), j.alias("j"))

@@ -67,11 +67,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select("class", "n", (total["n"] / (total["k"] * F.col("n"))).alias("weight"))
 
 
-def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Adds the balanced weight of each row's class; a handful of constants, so no join."""
+def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> tuple[DataFrame, int]:
+    """The rows with the balanced weight of their class (a handful of constants, so no join), and their number."""
     sizes = _class_sizes(df, label)
     n, k = sum(sizes.values()), len(sizes)
-    return df.withColumn(name, _per_class(label, {c: n / (k * m) for c, m in sizes.items()}))
+    return df.withColumn(name, _per_class(label, {c: n / (k * m) for c, m in sizes.items()})), n
 
 
 def _draws(spark: SparkSession, sizes: Mapping, label: str, dtype, seed: int) -> DataFrame | None:

@@ -129,7 +129,8 @@ _STACK = " UNION ALL ".join(f"SELECT '{o}' AS table_name, band AS group_value, {
 
 @query("stacked_cross_tables", f"""WITH {BANDED}, l AS ({_STACK})
 SELECT table_name, group_value, value, count(*) AS n,
-  {r('100e0 * count(*) / sum(count(*)) OVER (PARTITION BY table_name, group_value)')} AS percentage FROM l GROUP BY ALL""")
+  {r('100e0 * count(*) / sum(count(*)) OVER (PARTITION BY table_name, group_value)')} AS percentage FROM l
+GROUP BY table_name, group_value, value""")
 def _(t):
     return rounded(ct.stacked_crosstabs(banded(t), "band", _OUTCOMES), "percentage")
 
@@ -137,7 +138,7 @@ def _(t):
 @query("legend_counts", f"""WITH {v.VISITS}, l AS (SELECT 'technique' AS variable, technique AS value FROM visits
   UNION ALL SELECT 'comorbid', comorbid FROM visits)
 SELECT variable, value, count(*) AS n, {r('count(*) / sum(count(*)) OVER (PARTITION BY variable)')} AS proportion
-FROM l WHERE value IS NOT NULL GROUP BY ALL""")
+FROM l WHERE value IS NOT NULL GROUP BY variable, value""")
 def _(t):
     return rounded(ct.legend_counts(v.visits(t), ["technique", "comorbid"]), "proportion")
 
@@ -154,8 +155,8 @@ def _(t):
 
 
 def _profiled(c: str, dtype: str) -> str:
-    return f"""SELECT '{c}' AS column_name, '{dtype}' AS dtype, count_if({c} IS NULL) AS null_total,
-  {r(f'100e0 * count_if({c} IS NULL) / count(*)', 2)} AS null_percentage, count(DISTINCT {c}) AS unique_values,
+    return f"""SELECT '{c}' AS column_name, '{dtype}' AS dtype, count(*) FILTER ({c} IS NULL) AS null_total,
+  {r(f'100e0 * count(*) FILTER ({c} IS NULL) / count(*)', 2)} AS null_percentage, count(DISTINCT {c}) AS unique_values,
   (SELECT {c}::VARCHAR FROM visits WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c}::VARCHAR LIMIT 1)
     AS max_unique_value,
   (SELECT count(*) FROM visits WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1)
@@ -288,7 +289,7 @@ def _boxed(t):
 
 @query("box_statistics", f"""{_BOX_BASE} SELECT group_value, variable, any_value(n) AS n, {r('any_value(a)', 3)} AS q1,
   {r('any_value(b)', 3)} AS median, {r('any_value(c)', 3)} AS q3, min(v) FILTER (NOT o) AS whisker_low,
-  max(v) FILTER (NOT o) AS whisker_high, count_if(o) AS outliers FROM f GROUP BY ALL""")
+  max(v) FILTER (NOT o) AS whisker_high, count(*) FILTER (o) AS outliers FROM f GROUP BY ALL""")
 def _(t):
     return rounded(di.box_stats(_boxed(t), "band", ["cost", "skewed"]), "q1", "median", "q3", digits=3)
 
@@ -309,8 +310,8 @@ def _continuous(c: str) -> str:
     e = [f"({s} / {n})" for n, _, s in m]
     t = f"({m[0][1]} - {m[1][1]}) / sqrt({e[0]} + {e[1]})"
     dof = (f"pow({e[0]} + {e[1]}, 2) / (pow({e[0]}, 2) / ({m[0][0]} - 1) + pow({e[1]}, 2) / ({m[1][0]} - 1))")
-    return f"""SELECT '{c}' AS variable, count({c}) AS n, count_if({c} IS NULL) AS missing_n,
-  {r(f'100e0 * count_if({c} IS NULL) / count(*)')} AS missing_pct, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS sd,
+    return f"""SELECT '{c}' AS variable, count({c}) AS n, count(*) FILTER ({c} IS NULL) AS missing_n,
+  {r(f'100e0 * count(*) FILTER ({c} IS NULL) / count(*)')} AS missing_pct, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS sd,
   min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, {by},
   (SELECT {c}::DOUBLE FROM visits WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode,
   {r(f'median({c})')} AS median, {r(t)} AS t, {r(dof, 3)} AS dof FROM visits"""
@@ -348,7 +349,7 @@ def _(t):
 _CATS = ("technique", "comorbid", "cost_type")
 _CAT_BASE = f"WITH {v.VISITS}, l AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, {c} AS level, pain FROM visits WHERE {c} IS NOT NULL" for c in _CATS) + """), k AS (
-  SELECT variable, level, count(*) AS n, count_if(pain = 0) AS n_0, count_if(pain = 1) AS n_1 FROM l GROUP BY ALL), m AS (
+  SELECT variable, level, count(*) AS n, count(*) FILTER (pain = 0) AS n_0, count(*) FILTER (pain = 1) AS n_1 FROM l GROUP BY ALL), m AS (
   SELECT variable, sum(n) AS tn, sum(n_0) AS t0, sum(n_1) AS t1, count(*) AS levels FROM k GROUP BY 1), x AS (
   SELECT variable, sum(pow(n_0 - n * t0 / tn, 2) / (n * t0 / tn) + pow(n_1 - n * t1 / tn, 2) / (n * t1 / tn)) AS chi2
   FROM k JOIN m USING (variable) GROUP BY 1)"""

@@ -83,8 +83,8 @@ _THRESHOLDS = {"signal": 0.478, "noise": 0.5}
 _CELLS_SQL = f"""WITH {v.SCORED}, long AS (
   SELECT fold, 'signal' AS model, y, signal AS p, signal > 0.478e0 AS c FROM scored UNION ALL
   SELECT fold, 'noise', y, noise, noise > 0.5e0 FROM scored), cells AS (
-  SELECT model, {{0}}count_if(y = 1 AND c) AS tp, count_if(y = 1 AND NOT c) AS fn, count_if(y = 0 AND c) AS fp,
-    count_if(y = 0 AND NOT c) AS tn, avg(pow(p - y, 2)) AS brier FROM long GROUP BY ALL)"""
+  SELECT model, {{0}}count(*) FILTER (y = 1 AND c) AS tp, count(*) FILTER (y = 1 AND NOT c) AS fn, count(*) FILTER (y = 0 AND c) AS fp,
+    count(*) FILTER (y = 0 AND NOT c) AS tn, avg(pow(p - y, 2)) AS brier FROM long GROUP BY ALL)"""
 _CELLS = _CELLS_SQL.format("")
 
 
@@ -197,8 +197,8 @@ def _(t):
 
 _FBETA = f"""WITH {v.SCORED}, long AS (SELECT fold, 'signal' AS model, y, signal AS p FROM scored
   UNION ALL SELECT fold, 'noise', y, noise FROM scored), grid AS (SELECT g / 1000e0 AS th FROM generate_series(0, 999) s(g)),
-counts AS (SELECT model, fold, th, count_if(y = 1 AND p > th) AS tp, count_if(y = 0 AND p > th) AS fp,
-  count_if(y = 1) AS np FROM long CROSS JOIN grid GROUP BY ALL), f AS (
+counts AS (SELECT model, fold, th, count(*) FILTER (y = 1 AND p > th) AS tp, count(*) FILTER (y = 0 AND p > th) AS fp,
+  count(*) FILTER (y = 1) AS np FROM long CROSS JOIN grid GROUP BY ALL), f AS (
   SELECT model, fold, th, b, ((1 + b * b) * tp)::DOUBLE / (b * b * np + tp + fp) AS f FROM counts
   CROSS JOIN (VALUES (1e0), (2e0)) x(b)), best AS (
   SELECT model, fold, b AS beta, th AS threshold, f AS fbeta FROM f

@@ -35,9 +35,9 @@ def _(t):
     return cohort.exclude_values(v.visits(t).select("visit_id", "comorbid"), "comorbid", ["0", "HTN"])
 
 
-@query("cohort_flow", f"""WITH {v.VISITS}, n AS (SELECT count(*) AS a, count_if(age < 18) AS b,
-  count_if(age >= 18) AS c, count_if(age >= 18 AND technique = 'Traditional') AS d,
-  count_if(age >= 18 AND technique = 'Laser') AS e FROM visits)
+@query("cohort_flow", f"""WITH {v.VISITS}, n AS (SELECT count(*) AS a, count(*) FILTER (age < 18) AS b,
+  count(*) FILTER (age >= 18) AS c, count(*) FILTER (age >= 18 AND technique = 'Traditional') AS d,
+  count(*) FILTER (age >= 18 AND technique = 'Laser') AS e FROM visits)
 SELECT 0 AS position, 'evaluated' AS step, a AS n FROM n UNION ALL SELECT 1, 'excluded', b FROM n
 UNION ALL SELECT 2, 'cohort', c FROM n UNION ALL SELECT 3, 'traditional', d FROM n
 UNION ALL SELECT 4, 'laser', e FROM n""")

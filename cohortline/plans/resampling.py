@@ -25,7 +25,7 @@ def _(t):
 
 
 @query("holdout_split", f"""WITH {v.SCORED}, k AS (SELECT id, y, {rank_sql('id', 222, 'y')} / count(*) OVER (PARTITION BY y)
-  AS at FROM scored) SELECT id, y, CASE WHEN at < 0.6e0 THEN 'train' WHEN at < 0.6e0 + 0.2e0 THEN 'valid' ELSE 'test' END
+  AS place FROM scored) SELECT id, y, CASE WHEN place < 0.6e0 THEN 'train' WHEN place < 0.6e0 + 0.2e0 THEN 'valid' ELSE 'test' END
   AS split FROM k""")
 def _(t):
     return rs.holdout_split(v.scored(t).select("id", "y"), "id", "y", {"train": 0.6, "valid": 0.2, "test": 0.2})
@@ -49,7 +49,7 @@ def _(t):
 @query("weighted_rows", f"""WITH {v.SCORED} SELECT id, y, {r('count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY y))')}
   AS weight FROM scored""")
 def _(t):
-    return rounded(rs.with_class_weight(v.scored(t).select("id", "y"), "y"), "weight")
+    return rounded(rs.with_class_weight(v.scored(t).select("id", "y"), "y")[0], "weight")
 
 
 _D2 = " + ".join(f"(a.{d} - b.{d}) * (a.{d} - b.{d})" for d in v.DIMS)
@@ -65,7 +65,7 @@ def _(t):
 
 
 @query("synthetic_minority", f"""WITH {v.ML}, minority AS (SELECT * FROM ml WHERE y = 1), {_NEAR.format('minority')},
-n AS (SELECT count_if(y = 1) AS size, count_if(y = 0) - count_if(y = 1) AS gap FROM ml),
+n AS (SELECT count(*) FILTER (y = 1) AS size, count(*) FILTER (y = 0) - count(*) FILTER (y = 1) AS gap FROM ml),
 d AS (SELECT unnest(generate_series(1, gap)) AS draw, size FROM n WHERE gap > 0),
 p AS (SELECT draw, {hash_sql('draw', "'1'", "'222'")} % size AS pick,
   {hash_sql('draw', "'1'", "'222'", "'neighbor'")} % 5 + 1 AS rank,

@@ -224,8 +224,7 @@ def _map(column: str) -> str:
   SELECT *, CASE WHEN "BMI" < 18.5 THEN 'U' WHEN "BMI" >= 18.5 AND "BMI" < 24.9 THEN 'N'
     WHEN "BMI" >= 25 AND "BMI" < 29.9 THEN 'O' ELSE 'X' END AS cat,
     "Intraoperative Mean Blood Pressure (mmHg)" AS bp FROM b)
-SELECT patient_id, "Age (y)"::BIGINT AS "Age_years", "Height (m)" AS "Height_m",
-  TRY_CAST("Comorbidities" AS DOUBLE) AS "Comorbidities",
+SELECT patient_id, "Age (y)"::BIGINT AS "Age_years",
   CASE WHEN "Surgical Technique" = 'Traditional' THEN 0 ELSE 1 END AS "Surgical_Technique",
   "Intraoperative Blood Loss (ml)" AS "Intraoperative_Blood_Loss_ml", "Surgical Time (min)"::BIGINT AS "Surgical_Time_min",
   "BMI", split_part(bp, '/', 1)::DOUBLE AS "Intraop_SBP", split_part(bp, '/', 2)::DOUBLE AS "Intraop_DBP",
