@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from cohortline.session import small_table
+
 # Cells that count as missing, by search (not full match) unless empty.
 DASH_RUN = "-{2,}"
 DOT_RUN = "[.]{2,}"
@@ -72,7 +74,7 @@ def fit_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     names = list(columns) if columns is not None else string_columns(df)
     schema = "column_name string, target_type string"
     if not names:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_table(df.sparkSession, [], schema)
     aggs = []
     for i, n in enumerate(names):
         c = quoted(n)
@@ -89,7 +91,7 @@ def fit_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         for i, n in enumerate(names)
         if row[f"bad{i}"] == 0 and row[f"n{i}"] > 0
     ]
-    return df.sparkSession.createDataFrame(state, schema)
+    return small_table(df.sparkSession, state, schema)
 
 
 def apply_numeric(df: DataFrame, state: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.functions.cleaning import numeric_columns, quoted, string_columns
 from cohortline.operators.ranks import hashed_rank
+from cohortline.session import small_table
 
 # Raw headers and the names used after cleaning.
 CLINICAL_NAMES = {
@@ -179,8 +180,8 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> Dat
     if len(rows) > limit * len(columns):
         raise ValueError("too many distinct values for one-hot columns")
     rows.sort(key=lambda r: (list(columns).index(r["column_name"]), r["value"]))
-    return df.sparkSession.createDataFrame([(r["column_name"], r["value"]) for r in rows],
-                                           "column_name string, value string")
+    return small_table(df.sparkSession, [(r["column_name"], r["value"]) for r in rows],
+                       "column_name string, value string")
 
 
 def apply_one_hot(df: DataFrame, state: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import product
 
 import numpy as np
@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortline.functions.cleaning import numeric_columns, quoted
 from cohortline.functions.features import threshold_class
-from cohortline.operators.evaluate import Pairs, ranking_metrics, tuned_thresholds
-from cohortline.operators.prep import NumericPrep, apply_label_codes, fit_label_codes, fit_numeric_state, standardized
+from cohortline.operators.evaluate import ranking_metrics, tuned_thresholds
+from cohortline.operators.prep import (
+    NumericPrep, NumericPrepModel, apply_label_codes, fit_label_codes, fit_numeric_state, standardized)
 from cohortline.operators.resample import random_oversample, smote, stratified_folds, with_class_weight
-from cohortline.session import fresh_path
+from cohortline.session import fresh_path, small_table
 
 SEED = 222
 
@@ -221,7 +222,7 @@ class Classifier:
         meta = {"family": self.spec.family, "params": dict(self.spec.params), "sampler": self.spec.sampler,
                 "features": self.features, "platt": self.platt, "threshold": self.threshold}
         spark = SparkSession.active()
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(
+        small_table(spark, [(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(
             f"{path}/meta")
         return path
 
@@ -233,53 +234,63 @@ class Classifier:
                           tuple(meta["platt"]) if meta["platt"] else None, meta["threshold"])
 
 
-def fit(df: DataFrame, id_col: str, label: str, features: Sequence[str], spec: Spec, platt_folds: int = 3
-        ) -> Classifier:
-    """Prepare, rebalance the prepared rows, then fit. Support vector margins are calibrated out of fold."""
+@dataclass
+class TrainingSet:
+    """Prepared, rebalanced and weighted rows, and the fitted preparation that made them."""
+
+    prep: NumericPrepModel
+    rows: DataFrame
+    n: int
+    features: list[str]
+    label: str
+
+
+def prepare(df: DataFrame, id_col: str, label: str, features: Sequence[str], sampler: str | None = None) -> TrainingSet:
+    """Scale and impute, then rebalance: synthetic rows are drawn in the prepared space."""
     features = list(features)
     train = df.filter(quoted(label).isNotNull()).select(
         quoted(id_col), quoted(label).cast("double").alias(label), *[quoted(c).cast("double").alias(c) for c in features])
     prep = NumericPrep(columns=features).fit(train)
     ready = prep.transform(train)
-    if spec.sampler == "over":
+    if sampler == "over":
         ready = random_oversample(ready, id_col, label, SEED)
-    elif spec.sampler == "smote":
+    elif sampler == "smote":
         ready = smote(ready, id_col, label, features, seed=SEED)
-    elif spec.sampler is not None:
-        raise ValueError(f"unknown sampler {spec.sampler!r}")
-    # the learners cache their own compact copy of the rows, so none is kept here
+    elif sampler is not None:
+        raise ValueError(f"unknown sampler {sampler!r}")
     rows, n = with_class_weight(ready, label)
-    rows = rows.select(label, "weight", *features)
-    model = Pipeline(stages=_stages(spec, rows, features, label, float(n))).fit(right_sized(rows, n))
-    fitted = Classifier(spec, features, PipelineModel(stages=[prep, *model.stages]))
+    return TrainingSet(prep, right_sized(rows.select(label, "weight", *features), n), n, features, label)
+
+
+def fit_prepared(data: TrainingSet, spec: Spec) -> Classifier:
+    """One candidate on a prepared training set."""
+    model = Pipeline(stages=_stages(spec, data.rows, data.features, data.label, float(data.n))).fit(data.rows)
+    return Classifier(spec, data.features, PipelineModel(stages=[data.prep, *model.stages]))
+
+
+def fit(df: DataFrame, id_col: str, label: str, features: Sequence[str], spec: Spec, platt_folds: int = 3
+        ) -> Classifier:
+    """Prepare and fit. Support vector margins get a logistic curve learned on out-of-fold margins."""
+    # the learners cache their own compact copy of the rows, so none is kept here
+    model = fit_prepared(prepare(df, id_col, label, features, spec.sampler), spec)
     if spec.family == "svm" and platt_folds:
-        with held(stratified_folds(train, id_col, label, platt_folds, SEED, "__pf")) as folds:
-            margins = None
-            for k in range(platt_folds):
-                inner = fit(folds.filter(F.col("__pf") != k).drop("__pf"), id_col, label, features, spec, 0)
-                part = inner.with_margin(folds.filter(F.col("__pf") == k)).select(label, "margin")
-                margins = part if margins is None else margins.unionByName(part)
-            fitted.platt = fit_platt(margins, "margin", label)
-    return fitted
+        model = calibrate(df, id_col, label, model, platt_folds)
+    return model
 
 
 def calibrate(df: DataFrame, id_col: str, label: str, model: Classifier, folds: int = 5) -> Classifier:
     """Platt scaling of the model's decision values, learned on out-of-fold values."""
-    with held(stratified_folds(df, id_col, label, folds, SEED, "__cf")) as rows:
-        margins = None
-        for k in range(folds):
-            inner = fit(rows.filter(F.col("__cf") != k), id_col, label, model.features, model.spec, 0)
-            part = inner.with_margin(rows.filter(F.col("__cf") == k)).select(label, "margin")
-            margins = part if margins is None else margins.unionByName(part)
-        platt = fit_platt(margins, "margin", label)
-    return Classifier(model.spec, model.features, model.stages, platt, model.threshold)
+    values = out_of_fold(df, id_col, label, model.features, {"margin": model.spec}, folds, calibrated=False)
+    return replace(model, platt=fit_platt(values, "margin", label))
 
 
 def out_of_fold(df: DataFrame, id_col: str, label: str, features: Sequence[str], specs: Mapping[str, Spec],
-                folds: int = 10, seed: int = SEED, parallel: int = 8) -> DataFrame:
-    """``(id, label, fold, one probability column per spec)``: each row scored by models that never saw it.
+                folds: int = 10, seed: int = SEED, parallel: int = 8, calibrated: bool = True) -> DataFrame:
+    """``(id, label, fold, one score column per spec)``: each row scored by models that never saw it.
 
-    Only fitting runs jobs; the scores stay lazy. Fits of different folds overlap on the cluster.
+    A fold's training rows are prepared and rebalanced once per sampler and shared by all
+    candidates. Only fitting runs jobs; the scores stay lazy. Fits of different folds
+    overlap on the cluster. ``calibrated=False`` keeps raw decision values, which rank the same.
     """
     base = df.filter(quoted(label).isNotNull()).select(quoted(id_col), quoted(label), *[quoted(c) for c in features])
     # written once: every fold model and every scored part reads the same small set of columns
@@ -287,17 +298,32 @@ def out_of_fold(df: DataFrame, id_col: str, label: str, features: Sequence[str],
     stratified_folds(base, id_col, label, folds, seed).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
 
-    def one(job: tuple[int, str]) -> tuple[int, str, Classifier]:
-        k, name = job
-        return k, name, fit(rows.filter(F.col("fold") != k), id_col, label, features, specs[name])
-
+    def one(job: tuple[int, str | None]) -> dict[tuple[int, str], Classifier]:
+        k, sampler = job
+        mine = {n: s for n, s in specs.items() if s.sampler == sampler}
+        train = rows.filter(F.col("fold") != k)
+        data = prepare(train, id_col, label, features, sampler)
+        if len(mine) == 1:
+            fitted = {n: fit_prepared(data, s) for n, s in mine.items()}
+        else:
+            with held(data.rows) as kept:
+                shared = replace(data, rows=kept)
+                fitted = {n: fit_prepared(shared, s) for n, s in mine.items()}
+        if calibrated:
+            fitted = {n: calibrate(train, id_col, label, m, 3) if m.spec.family == "svm" else m
+                      for n, m in fitted.items()}
+        return {(k, n): m for n, m in fitted.items()}
+
+    samplers = list(dict.fromkeys(s.sampler for s in specs.values()))
+    models: dict[tuple[int, str], Classifier] = {}
     with ThreadPoolExecutor(parallel) as pool:
-        fitted = {(k, name): m for k, name, m in pool.map(one, [(k, n) for k in range(folds) for n in specs])}
+        for part in pool.map(one, [(k, s) for k in range(folds) for s in samplers]):
+            models.update(part)
     out = None
     for k in range(folds):
         part = rows.filter(F.col("fold") == k)
         for name in specs:
-            part = fitted[k, name].score(part, name)
+            part = models[k, name].score(part, name) if calibrated else models[k, name].with_margin(part, name)
         out = part if out is None else out.unionByName(part)
     return out.select(quoted(id_col), quoted(label), "fold", *[quoted(n) for n in specs])
 
@@ -306,11 +332,11 @@ def grid_search(df: DataFrame, id_col: str, label: str, features: Sequence[str],
                 folds: int = 10, seed: int = SEED, parallel: int = 8) -> tuple[DataFrame, DataFrame]:
     """Average precision of every candidate on every fold.
 
-    Returns the report ``(candidate, params, mean_score, two_sd, rank)`` and the out-of-fold scores
+    Returns the report ``(candidate, params, mean_score, two_sd)`` and the out-of-fold decision values
     with one column ``c{candidate}`` each. All candidates are scored in one evaluation.
     """
     names = {f"c{i}": s for i, s in enumerate(specs)}
-    scores = out_of_fold(df, id_col, label, features, names, folds, seed, parallel)
+    scores = out_of_fold(df, id_col, label, features, names, folds, seed, parallel, calibrated=False)
     pairs = {n: (label, n) for n in names}
     per_fold = ranking_metrics(scores, pairs, ["fold"])
     params = F.create_map(*[F.lit(x) for n, s in names.items() for x in (n, s.label())])
@@ -325,15 +351,22 @@ def tune(df: DataFrame, id_col: str, label: str, features: Sequence[str], specs:
          folds: int = 10, seed: int = SEED, beta: float = 1.0) -> tuple[Classifier, DataFrame, DataFrame]:
     """Grid search, refit of the best candidate on all rows, threshold from out-of-fold F-beta.
 
-    Returns the model, the report and the out-of-fold scores of the best candidate ``(id, label, fold, p)``.
+    Returns the model, the report and the out-of-fold probabilities of the best candidate
+    ``(id, label, fold, p)``. The out-of-fold margins also calibrate a support vector model.
     """
     report, scores = grid_search(df, id_col, label, features, specs, folds, seed)
+    path = fresh_path(df.sparkSession, "grid")
+    report.write.parquet(path)
+    report = df.sparkSession.read.parquet(path)
     best = report.orderBy(F.desc("mean_score"), "candidate").first()["candidate"]
-    oof = scores.select(quoted(id_col), quoted(label), "fold", F.col(best).alias("p"))
-    pairs: Pairs = {"best": (label, "p")}
-    model = fit(df, id_col, label, features, specs[int(best[1:])])
-    row = tuned_thresholds(oof, pairs, "fold", [beta]).first()
-    model.threshold = float(row["threshold"])
+    spec = specs[int(best[1:])]
+    model = fit(df, id_col, label, features, spec, platt_folds=0)
+    p = quoted(best)
+    if spec.family == "svm":
+        a, b = model.platt = fit_platt(scores, best, label)
+        p = 1.0 / (1.0 + F.exp(-(F.lit(a) * p + F.lit(b))))
+    oof = scores.select(quoted(id_col), quoted(label), "fold", p.alias("p"))
+    model.threshold = float(tuned_thresholds(oof, {"best": (label, "p")}, "fold", [beta]).first()["threshold"])
     return model, report, oof
 
 

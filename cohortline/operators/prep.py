@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.functions.cleaning import quoted
 from cohortline.operators.columns import fit_one_hot
+from cohortline.session import small_table
 
 STATE_SCHEMA = "column_name string, low double, high double, mean double, sd double"
 
@@ -27,7 +28,7 @@ def fit_numeric_state(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                  F.stddev_pop(x).alias(f"s{i}")]
     r = df.agg(*aggs).first()
     rows = [(c, r[f"a{i}"], r[f"b{i}"], r[f"m{i}"], r[f"s{i}"]) for i, c in enumerate(columns)]
-    return df.sparkSession.createDataFrame(rows, STATE_SCHEMA)
+    return small_table(df.sparkSession, rows, STATE_SCHEMA)
 
 
 def scaled(c: Column, low: float | None, high: float | None, mean: float | None) -> Column:
@@ -46,7 +47,11 @@ def standardized(c: Column, mean: float | None, sd: float | None) -> Column:
 def apply_numeric_state(df: DataFrame, state: DataFrame, how: str = "minmax") -> DataFrame:
     """Replace the fitted columns: ``minmax`` scales and imputes, ``impute`` only fills with the mean,
     ``standard`` centers and scales by the population deviation."""
-    by = {r["column_name"]: r for r in state.collect()}
+    return _prepared(df, [r.asDict() for r in state.collect()], how)
+
+
+def _prepared(df: DataFrame, state: Sequence[dict], how: str) -> DataFrame:
+    by = {r["column_name"]: r for r in state}
     out = []
     for n in df.columns:
         r = by.get(n)
@@ -86,15 +91,12 @@ class NumericPrep(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWrita
         rows = fit_numeric_state(dataset, self.getOrDefault("columns")).collect()
         model = NumericPrepModel()
         return model._set(columns=self.getOrDefault("columns"), how=self.getOrDefault("how"),
-                          state=json.dumps([list(r) for r in rows]))
+                          state=json.dumps([r.asDict() for r in rows]))
 
 
 class NumericPrepModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
-    def state_frame(self, spark) -> DataFrame:
-        return spark.createDataFrame([tuple(r) for r in json.loads(self.getOrDefault("state"))], STATE_SCHEMA)
-
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return apply_numeric_state(dataset, self.state_frame(dataset.sparkSession), self.getOrDefault("how"))
+        return _prepared(dataset, json.loads(self.getOrDefault("state")), self.getOrDefault("how"))
 
 
 def categorical_stages(columns: Sequence[str]) -> list:
@@ -116,7 +118,7 @@ def fill_categorical(df: DataFrame, columns: Sequence[str], value: str = "missin
 def fit_label_codes(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)``: sorted distinct values numbered from 0. Meant for columns of few values."""
     values = [r["value"] for r in fit_one_hot(df, [column]).collect()]
-    return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, code int")
+    return small_table(df.sparkSession, [(v, i) for i, v in enumerate(values)], "value string, code int")
 
 
 def apply_label_codes(df: DataFrame, column: str, state: DataFrame, name: str | None = None) -> DataFrame:

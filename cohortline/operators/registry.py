@@ -8,6 +8,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortline.session import small_table
+
 RUNS_SCHEMA = "experiment string, run_id string, run_name string, start_time timestamp"
 METRICS_SCHEMA = "run_id string, metric string, value double"
 PARAMS_SCHEMA = "run_id string, param string, value string"
@@ -35,7 +37,7 @@ def start_or_resume(spark: SparkSession, path: str, experiment: str, run_name: s
         return found
     run_id = uuid.uuid4().hex
     row = [(experiment, run_id, run_name, datetime.now(timezone.utc).replace(tzinfo=None))]
-    spark.createDataFrame(row, RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/runs")
+    small_table(spark, row, RUNS_SCHEMA).write.mode("append").parquet(f"{path}/runs")
     return run_id
 
 
@@ -52,14 +54,14 @@ def log_metrics(spark: SparkSession, path: str, run_id: str, metrics: Mapping[st
     """Append one row per metric as a double; nothing is written for no metrics."""
     rows = [(run_id, k, float(v)) for k, v in (metrics or {}).items()]
     if rows:
-        spark.createDataFrame(rows, METRICS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/run_metrics")
+        small_table(spark, rows, METRICS_SCHEMA).write.mode("append").parquet(f"{path}/run_metrics")
     return len(rows)
 
 
 def log_params(spark: SparkSession, path: str, run_id: str, params: Mapping[str, object] | None) -> int:
     rows = [(run_id, k, str(v)) for k, v in (params or {}).items()]
     if rows:
-        spark.createDataFrame(rows, PARAMS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/run_params")
+        small_table(spark, rows, PARAMS_SCHEMA).write.mode("append").parquet(f"{path}/run_params")
     return len(rows)
 
 

@@ -12,6 +12,7 @@ from cohortline.operators import correlate, crosstab as ct, describe as de, dist
 from cohortline.plans import views as v
 from cohortline.plans.catalog import query, r, rounded
 from cohortline.plans.preparing import band_sql
+from cohortline.session import small_table
 
 LABELS = fx.band_labels(fx.AGE_EDGES)
 BANDED = v.VISITS + f", banded AS (SELECT *, {band_sql('age', 'left')} AS band FROM visits)"
@@ -188,7 +189,7 @@ SELECT column_name FROM x WHERE s < 0.02""")
 def _(t):
     d = v.visits(t).select("age", (F.col("visit_id") % 97 == 0).cast("int").alias("rare"),
                            (F.col("visit_id") * 0).alias("constant"))
-    return t.spark.createDataFrame([(c,) for c in de.low_variance_columns(d)], "column_name string")
+    return small_table(t.spark, [(c,) for c in de.low_variance_columns(d)], "column_name string")
 
 
 _NUM = ("age", "cost", "weight_kg", "height_m", "pain")

@@ -10,6 +10,7 @@ from cohortline.operators import explain, registry
 from cohortline.operators.evaluate import METRIC_NAMES, headline_metrics
 from cohortline.operators.models import Classifier, Spec, grid_specs, tune
 from cohortline.operators.resample import background_sample
+from cohortline.session import small_table
 
 SAMPLERS: dict[str, str | None] = {"orig": None, "smote": "smote", "over": "over"}
 
@@ -36,7 +37,7 @@ def train_and_register(df: DataFrame, id_col: str, label: str, features: Sequenc
             registry.log_params(spark, registry_path, run_id, {**model.spec.params, "threshold": model.threshold})
             model.save(f"{registry_path}/models/{run_id}")
             rows += [(run_name, k, float(v)) for k, v in metrics.items()]
-    return spark.createDataFrame(rows, "run_name string, metric string, value double")
+    return small_table(spark, rows, "run_name string, metric string, value double")
 
 
 def load_best(spark: SparkSession, registry_path: str, label: str, metric: str = "K-Fold Average Precision",

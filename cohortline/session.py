@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 MAX_BUCKETS = 1024
 
@@ -57,6 +59,15 @@ def materialize(df, name: str = "stage"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A table of a few literal rows, without Python workers behind it."""
+    fields = T._parse_datatype_string(schema).fields
+    if not rows:
+        return spark.createDataFrame([], T.StructType(fields))
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
 def bucket_count(spark: SparkSession, at_least: int = 64) -> int:
     """How many ordered buckets a distributed sort or running total is cut into."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

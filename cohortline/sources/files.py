@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cohortline.functions.cleaning import nan_to_null, quoted
+from cohortline.session import small_table
 
 LISTS_SCHEMA = "list_name string, position int, column_name string"
 
@@ -63,7 +64,7 @@ def write_outputs(df: DataFrame, outputs: Mapping[str, Callable[[DataFrame], Dat
 def lists_to_state(spark: SparkSession, lists: Mapping[str, Iterable[str]]) -> DataFrame:
     """Fitted column lists as a table; repeated names are kept once, order is kept."""
     rows = [(name, i, c) for name, cols in lists.items() for i, c in enumerate(dict.fromkeys(cols))]
-    return spark.createDataFrame(rows, LISTS_SCHEMA)
+    return small_table(spark, rows, LISTS_SCHEMA)
 
 
 def state_to_lists(state: DataFrame) -> dict[str, list[str]]:
