@@ -24,7 +24,7 @@ from cohortline.functions.cleaning import numeric_columns, quoted
 from cohortline.functions.features import threshold_class
 from cohortline.operators.evaluate import ranking_metrics, tuned_thresholds
 from cohortline.operators.prep import (
-    NumericPrep, NumericPrepModel, apply_label_codes, fit_label_codes, fit_numeric_state, standardized)
+    NumericPrepModel, apply_label_codes, fit_label_codes, fit_numeric_state, standardized)
 from cohortline.operators.resample import random_oversample, smote, stratified_folds, with_class_weight
 from cohortline.session import fresh_path, small_table
 
@@ -245,20 +245,56 @@ class TrainingSet:
     label: str
 
 
-def prepare(df: DataFrame, id_col: str, label: str, features: Sequence[str], sampler: str | None = None) -> TrainingSet:
+def label_statistics(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str] = ()) -> list[dict]:
+    """Row count and per feature count, sum, min and max for each (key, label), from one aggregate.
+
+    With the fold as key, every training set's preparation and class sizes follow from these
+    few rows, so cross-validation scans the table once for them, not once per fold.
+    """
+    aggs = [F.count("*").alias("n")]
+    for i, c in enumerate(features):
+        x = quoted(c).cast("double")
+        aggs += [F.count(x).alias(f"c{i}"), F.sum(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
+    y = quoted(label).cast("double")
+    checked = F.when(y.isin(0.0, 1.0), y).otherwise(F.raise_error(F.lit(f"{label} must be 0 or 1")).cast("double"))
+    rows = (df.filter(quoted(label).isNotNull()).groupBy(*[quoted(k) for k in keys], checked.alias("__y"))
+            .agg(*aggs).collect())
+    return [r.asDict() for r in rows]
+
+
+def combined(stats: Sequence[Mapping], features: Sequence[str]) -> tuple[list[dict], dict[float, int]]:
+    """Preparation state and class sizes over several groups of :func:`label_statistics`."""
+    state = []
+    for i, c in enumerate(features):
+        used = [r for r in stats if r[f"c{i}"]]
+        state.append({
+            "column_name": c, "low": min((r[f"a{i}"] for r in used), default=None),
+            "high": max((r[f"b{i}"] for r in used), default=None), "sd": None,
+            "mean": sum(r[f"s{i}"] for r in used) / sum(r[f"c{i}"] for r in used) if used else None})
+    sizes: dict[float, int] = {}
+    for r in sorted(stats, key=lambda r: r["__y"]):
+        sizes[r["__y"]] = sizes.get(r["__y"], 0) + r["n"]
+    return state, sizes
+
+
+def prepare(df: DataFrame, id_col: str, label: str, features: Sequence[str], sampler: str | None = None,
+            stats: Sequence[Mapping] | None = None) -> TrainingSet:
     """Scale and impute, then rebalance: synthetic rows are drawn in the prepared space."""
     features = list(features)
+    state, sizes = combined(label_statistics(df, label, features) if stats is None else stats, features)
     train = df.filter(quoted(label).isNotNull()).select(
         quoted(id_col), quoted(label).cast("double").alias(label), *[quoted(c).cast("double").alias(c) for c in features])
-    prep = NumericPrep(columns=features).fit(train)
+    prep = NumericPrepModel.from_state(features, state)
     ready = prep.transform(train)
     if sampler == "over":
-        ready = random_oversample(ready, id_col, label, SEED)
+        ready = random_oversample(ready, id_col, label, SEED, sizes=sizes)
     elif sampler == "smote":
-        ready = smote(ready, id_col, label, features, seed=SEED)
+        ready = smote(ready, id_col, label, features, seed=SEED, sizes=sizes)
     elif sampler is not None:
         raise ValueError(f"unknown sampler {sampler!r}")
-    rows, n = with_class_weight(ready, label)
+    if sampler:
+        sizes = dict.fromkeys(sizes, max(sizes.values()))
+    rows, n = with_class_weight(ready, label, sizes=sizes)
     return TrainingSet(prep, right_sized(rows.select(label, "weight", *features), n), n, features, label)
 
 
@@ -297,12 +333,13 @@ def out_of_fold(df: DataFrame, id_col: str, label: str, features: Sequence[str],
     path = fresh_path(df.sparkSession, "folds")
     stratified_folds(base, id_col, label, folds, seed).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
+    stats = label_statistics(rows, label, features, ["fold"])
 
     def one(job: tuple[int, str | None]) -> dict[tuple[int, str], Classifier]:
         k, sampler = job
         mine = {n: s for n, s in specs.items() if s.sampler == sampler}
         train = rows.filter(F.col("fold") != k)
-        data = prepare(train, id_col, label, features, sampler)
+        data = prepare(train, id_col, label, features, sampler, [r for r in stats if r["fold"] != k])
         if len(mine) == 1:
             fitted = {n: fit_prepared(data, s) for n, s in mine.items()}
         else:

@@ -89,12 +89,15 @@ class NumericPrep(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWrita
 
     def _fit(self, dataset: DataFrame) -> NumericPrepModel:
         rows = fit_numeric_state(dataset, self.getOrDefault("columns")).collect()
-        model = NumericPrepModel()
-        return model._set(columns=self.getOrDefault("columns"), how=self.getOrDefault("how"),
-                          state=json.dumps([r.asDict() for r in rows]))
+        return NumericPrepModel.from_state(self.getOrDefault("columns"), [r.asDict() for r in rows],
+                                           self.getOrDefault("how"))
 
 
 class NumericPrepModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
+    @staticmethod
+    def from_state(columns: Sequence[str], state: Sequence[dict], how: str = "minmax") -> NumericPrepModel:
+        return NumericPrepModel()._set(columns=list(columns), how=how, state=json.dumps(list(state)))
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return _prepared(dataset, json.loads(self.getOrDefault("state")), self.getOrDefault("how"))
 

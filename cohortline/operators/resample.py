@@ -67,9 +67,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select("class", "n", (total["n"] / (total["k"] * F.col("n"))).alias("weight"))
 
 
-def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> tuple[DataFrame, int]:
-    """The rows with the balanced weight of their class (a handful of constants, so no join), and their number."""
-    sizes = _class_sizes(df, label)
+def with_class_weight(df: DataFrame, label: str, name: str = "weight", sizes: Mapping | None = None
+                      ) -> tuple[DataFrame, int]:
+    """The rows with the balanced weight of their class (a handful of constants, so no join), and their number.
+    ``sizes`` are the class sizes, where they are known already."""
+    sizes = sizes or _class_sizes(df, label)
     n, k = sum(sizes.values()), len(sizes)
     return df.withColumn(name, _per_class(label, {c: n / (k * m) for c, m in sizes.items()})), n
 
@@ -99,14 +101,15 @@ def _draws(spark: SparkSession, sizes: Mapping, label: str, dtype, seed: int) ->
     return out.select(label, "draw", F.pmod(hash_int(F.col("draw"), F.col(label), seed), F.col("size")).alias("pick"))
 
 
-def random_oversample(df: DataFrame, id_col: str, label: str, seed: int = 222, name: str = "draw") -> DataFrame:
+def random_oversample(df: DataFrame, id_col: str, label: str, seed: int = 222, name: str = "draw",
+                      sizes: Mapping | None = None) -> DataFrame:
     """All rows plus copies drawn with replacement until every class is as large as the largest.
 
     Column ``draw`` is 0 for an original row and the draw number for a copy.
     Ranks are unique and picks uniform, so the join has no hot key.
     """
     base = df.filter(quoted(label).isNotNull())
-    draws = _draws(df.sparkSession, _class_sizes(df, label), label, df.schema[label].dataType, seed)
+    draws = _draws(df.sparkSession, sizes or _class_sizes(df, label), label, df.schema[label].dataType, seed)
     originals = base.withColumn(name, F.lit(0).cast("bigint"))
     if draws is None:
         return originals
@@ -116,7 +119,7 @@ def random_oversample(df: DataFrame, id_col: str, label: str, seed: int = 222, n
 
 
 def smote(df: DataFrame, id_col: str, label: str, features: Sequence[str], neighbors: int = 5, seed: int = 222,
-          name: str = "draw") -> DataFrame:
+          name: str = "draw", sizes: Mapping | None = None) -> DataFrame:
     """All rows plus synthetic ones up to the size of the largest class: ``(id, label, features, draw)``.
 
     A synthetic row lies at a uniform point between a drawn row and one of its
@@ -124,7 +127,7 @@ def smote(df: DataFrame, id_col: str, label: str, features: Sequence[str], neigh
     """
     base = df.filter(quoted(label).isNotNull()).select(
         quoted(id_col), quoted(label), *[quoted(c).cast("double").alias(c) for c in features])
-    sizes = _class_sizes(df, label)
+    sizes = sizes or _class_sizes(df, label)
     draws = _draws(df.sparkSession, sizes, label, df.schema[label].dataType, seed)
     out = base.withColumn(name, F.lit(0).cast("bigint"))
     if draws is None:
