@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohortline.functions.cleaning import quoted
 from cohortline.functions.features import half_even
-from cohortline.operators.ranks import order_splits, running_totals, with_buckets
+from cohortline.operators.ranks import order_splits, running_totals, sql_name, sql_text, with_buckets
 
 Pairs = Mapping[str, tuple[str, str]]
 
@@ -24,11 +24,13 @@ Pairs = Mapping[str, tuple[str, str]]
 def stack_scores(df: DataFrame, pairs: Pairs, keys: Sequence[str] = (), extra: Mapping[str, Sequence] | None = None
                  ) -> DataFrame:
     """Long form ``(*keys, model, y, p)`` without rows that lack label or score."""
-    structs = [F.struct(F.lit(m).alias("model"), quoted(y).cast("int").alias("y"), quoted(p).cast("double").alias("p"),
-                        *[quoted(cols[i]).alias(a) for a, cols in (extra or {}).items()])
-               for i, (m, (y, p)) in enumerate(pairs.items())]
-    long = df.select(*[quoted(k) for k in keys], F.inline(F.array(*structs)))
-    return long.filter(F.col("y").isNotNull() & F.col("p").isNotNull() & ~F.isnan("p"))
+    structs = []
+    for i, (m, (y, p)) in enumerate(pairs.items()):
+        parts = [f"{sql_text(m)} as model", f"cast({sql_name(y)} as int) as y", f"cast({sql_name(p)} as double) as p"]
+        parts += [f"{sql_name(cols[i])} as {sql_name(a)}" for a, cols in (extra or {}).items()]
+        structs.append(f"struct({', '.join(parts)})")
+    long = df.selectExpr(*[sql_name(k) for k in keys], f"inline(array({', '.join(structs)}))")
+    return long.filter("y is not null and p is not null and not isnan(p)")
 
 
 def score_table(df: DataFrame, pairs: Pairs, keys: Sequence[str] = ()) -> DataFrame:

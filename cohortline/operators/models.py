@@ -25,6 +25,7 @@ from cohortline.functions.features import threshold_class
 from cohortline.operators.evaluate import ranking_metrics, tuned_thresholds
 from cohortline.operators.prep import (
     NumericPrepModel, apply_label_codes, fit_label_codes, fit_numeric_state, standardized)
+from cohortline.operators.ranks import sql_name
 from cohortline.operators.resample import random_oversample, smote, stratified_folds, with_class_weight
 from cohortline.session import fresh_path, small_table
 
@@ -42,6 +43,7 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 ROWS_PER_PARTITION = 20_000
 SMALL_TRAINING_SET = 1_000_000
+PREPARED = "__prepared"  # suffix of scaled and imputed copies; the raw columns stay beside them
 MAX_TREE_DEPTH = 30  # the deepest tree Spark grows; stands for "no limit"
 
 
@@ -200,22 +202,16 @@ class Classifier:
         return out.withColumn("predictions", threshold_class(F.col("predicted_probas"), t))
 
     def _scored(self, df: DataFrame, p: str | None, margin: str | None) -> DataFrame:
-        # the stages overwrite feature columns, so they work on copies inside a struct-carried row
-        carried = df.select(F.struct(*[quoted(c) for c in df.columns]).alias("__row"),
-                            *[quoted(c).cast("double").alias(c) for c in self.features])
-        out = self.stages.transform(carried)
-        columns = [F.col("__row").getField(c).alias(c) for c in df.columns]
+        value = vector_to_array("probability" if self.spec.family == "rf" else "rawPrediction")[1]
+        added = []
         if margin:
-            raw = "probability" if self.spec.family == "rf" else "rawPrediction"
-            columns.append(vector_to_array(raw)[1].alias(margin))
-        if p:
-            if self.platt:
-                a, b = self.platt
-                value = vector_to_array("probability" if self.spec.family == "rf" else "rawPrediction")[1]
-                columns.append((1.0 / (1.0 + F.exp(-(F.lit(a) * value + F.lit(b))))).alias(p))
-            else:
-                columns.append(vector_to_array("probability")[1].alias(p))
-        return out.select(*columns)
+            added.append(value.alias(margin))
+        if p and self.platt:
+            a, b = self.platt
+            added.append((1.0 / (1.0 + F.exp(-(F.lit(a) * value + F.lit(b))))).alias(p))
+        elif p:
+            added.append(vector_to_array("probability")[1].alias(p))
+        return self.stages.transform(df).select(*[sql_name(c) for c in df.columns], *added)
 
     def save(self, path: str) -> str:
         self.stages.write().overwrite().save(f"{path}/stages")
@@ -251,10 +247,10 @@ def label_statistics(df: DataFrame, label: str, features: Sequence[str], keys: S
     With the fold as key, every training set's preparation and class sizes follow from these
     few rows, so cross-validation scans the table once for them, not once per fold.
     """
-    aggs = [F.count("*").alias("n")]
+    aggs = [F.expr("count(*) as n")]
     for i, c in enumerate(features):
-        x = quoted(c).cast("double")
-        aggs += [F.count(x).alias(f"c{i}"), F.sum(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
+        x = f"cast({sql_name(c)} as double)"
+        aggs += [F.expr(f"{f}({x}) as {a}{i}") for f, a in (("count", "c"), ("sum", "s"), ("min", "a"), ("max", "b"))]
     y = quoted(label).cast("double")
     checked = F.when(y.isin(0.0, 1.0), y).otherwise(F.raise_error(F.lit(f"{label} must be 0 or 1")).cast("double"))
     rows = (df.filter(quoted(label).isNotNull()).groupBy(*[quoted(k) for k in keys], checked.alias("__y"))
@@ -282,10 +278,9 @@ def prepare(df: DataFrame, id_col: str, label: str, features: Sequence[str], sam
     """Scale and impute, then rebalance: synthetic rows are drawn in the prepared space."""
     features = list(features)
     state, sizes = combined(label_statistics(df, label, features) if stats is None else stats, features)
-    train = df.filter(quoted(label).isNotNull()).select(
-        quoted(id_col), quoted(label).cast("double").alias(label), *[quoted(c).cast("double").alias(c) for c in features])
-    prep = NumericPrepModel.from_state(features, state)
-    ready = prep.transform(train)
+    train = df.filter(quoted(label).isNotNull()).selectExpr(
+        sql_name(id_col), f"cast({sql_name(label)} as double) as {sql_name(label)}", *[sql_name(c) for c in features])
+    ready = NumericPrepModel.from_state(features, state).transform(train)
     if sampler == "over":
         ready = random_oversample(ready, id_col, label, SEED, sizes=sizes)
     elif sampler == "smote":
@@ -295,12 +290,15 @@ def prepare(df: DataFrame, id_col: str, label: str, features: Sequence[str], sam
     if sampler:
         sizes = dict.fromkeys(sizes, max(sizes.values()))
     rows, n = with_class_weight(ready, label, sizes=sizes)
-    return TrainingSet(prep, right_sized(rows.select(label, "weight", *features), n), n, features, label)
+    prep = NumericPrepModel.from_state(features, state, suffix=PREPARED)
+    return TrainingSet(prep, right_sized(rows.selectExpr(sql_name(label), "weight", *[
+        f"{sql_name(c)} as {sql_name(c + PREPARED)}" for c in features]), n), n, features, label)
 
 
 def fit_prepared(data: TrainingSet, spec: Spec) -> Classifier:
     """One candidate on a prepared training set."""
-    model = Pipeline(stages=_stages(spec, data.rows, data.features, data.label, float(data.n))).fit(data.rows)
+    inputs = [c + PREPARED for c in data.features]
+    model = Pipeline(stages=_stages(spec, data.rows, inputs, data.label, float(data.n))).fit(data.rows)
     return Classifier(spec, data.features, PipelineModel(stages=[data.prep, *model.stages]))
 
 

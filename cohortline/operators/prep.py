@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.functions.cleaning import quoted
 from cohortline.operators.columns import fit_one_hot
+from cohortline.operators.ranks import sql_name
 from cohortline.session import small_table
 
 STATE_SCHEMA = "column_name string, low double, high double, mean double, sd double"
@@ -31,13 +32,30 @@ def fit_numeric_state(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return small_table(df.sparkSession, rows, STATE_SCHEMA)
 
 
-def scaled(c: Column, low: float | None, high: float | None, mean: float | None) -> Column:
-    """Min-max scaled value, the scaled mean where missing; a constant column becomes 0."""
-    if low is None:
-        return F.lit(0.0)
-    span = (high - low) or 1.0
-    x = c.cast("double")
-    return F.coalesce((x - F.lit(low)) / F.lit(span), F.lit((mean - low) / span))
+def number(x: float | None) -> str:
+    """Double literal for a SQL expression."""
+    return "cast(null as double)" if x is None else f"({float(x)!r}D)"
+
+
+def prepared_sql(name: str, state: Mapping, how: str) -> str:
+    """SQL expression of one prepared column.
+
+    ``minmax`` scales and puts the scaled mean where the value is missing, a constant column
+    becomes 0; ``impute`` only fills with the mean; ``standard`` centers and scales by the
+    population deviation.
+    """
+    x = f"cast({sql_name(name)} as double)"
+    low, high, mean, sd = (state[k] for k in ("low", "high", "mean", "sd"))
+    if how == "minmax":
+        if low is None:
+            return "0.0D"
+        span = (high - low) or 1.0
+        return f"coalesce(({x} - {number(low)}) / {number(span)}, {number((mean - low) / span)})"
+    if how == "impute":
+        return f"coalesce({x}, {number(mean)})"
+    if how == "standard":
+        return f"({x} - {number(mean or 0.0)}) / {number(sd or 1.0)}"
+    raise ValueError("how must be 'minmax', 'impute' or 'standard'")
 
 
 def standardized(c: Column, mean: float | None, sd: float | None) -> Column:
@@ -45,37 +63,27 @@ def standardized(c: Column, mean: float | None, sd: float | None) -> Column:
 
 
 def apply_numeric_state(df: DataFrame, state: DataFrame, how: str = "minmax") -> DataFrame:
-    """Replace the fitted columns: ``minmax`` scales and imputes, ``impute`` only fills with the mean,
-    ``standard`` centers and scales by the population deviation."""
+    """Replace the fitted columns by their prepared form (see :func:`prepared_sql`)."""
     return _prepared(df, [r.asDict() for r in state.collect()], how)
 
 
-def _prepared(df: DataFrame, state: Sequence[dict], how: str) -> DataFrame:
-    by = {r["column_name"]: r for r in state}
-    out = []
-    for n in df.columns:
-        r = by.get(n)
-        if r is None:
-            out.append(quoted(n))
-        elif how == "minmax":
-            out.append(scaled(quoted(n), r["low"], r["high"], r["mean"]).alias(n))
-        elif how == "impute":
-            out.append(F.coalesce(quoted(n).cast("double"), F.lit(r["mean"])).alias(n))
-        elif how == "standard":
-            out.append(standardized(quoted(n), r["mean"], r["sd"]).alias(n))
-        else:
-            raise ValueError("how must be 'minmax', 'impute' or 'standard'")
-    return df.select(*out)
+def _prepared(df: DataFrame, state: Sequence[Mapping], how: str, suffix: str = "") -> DataFrame:
+    new = {r["column_name"]: f"{prepared_sql(r['column_name'], r, how)} as {sql_name(r['column_name'] + suffix)}"
+           for r in state if r["column_name"] in df.columns}
+    if suffix:
+        return df.selectExpr("*", *new.values())
+    return df.selectExpr(*[new.get(n, sql_name(n)) for n in df.columns])
 
 
 class _Columns(Params):
     columns = Param(Params._dummy(), "columns", "numeric columns", TypeConverters.toListString)
     how = Param(Params._dummy(), "how", "minmax, impute or standard", TypeConverters.toString)
+    suffix = Param(Params._dummy(), "suffix", "added to output names; empty replaces the inputs", TypeConverters.toString)
     state = Param(Params._dummy(), "state", "fitted values as JSON", TypeConverters.toString)
 
     def __init__(self):
         super().__init__()
-        self._setDefault(columns=[], how="minmax", state="[]")
+        self._setDefault(columns=[], how="minmax", suffix="", state="[]")
 
 
 class NumericPrep(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
@@ -95,11 +103,13 @@ class NumericPrep(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWrita
 
 class NumericPrepModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
     @staticmethod
-    def from_state(columns: Sequence[str], state: Sequence[dict], how: str = "minmax") -> NumericPrepModel:
-        return NumericPrepModel()._set(columns=list(columns), how=how, state=json.dumps(list(state)))
+    def from_state(columns: Sequence[str], state: Sequence[dict], how: str = "minmax", suffix: str = ""
+                   ) -> NumericPrepModel:
+        return NumericPrepModel()._set(columns=list(columns), how=how, suffix=suffix, state=json.dumps(list(state)))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return _prepared(dataset, json.loads(self.getOrDefault("state")), self.getOrDefault("how"))
+        return _prepared(dataset, json.loads(self.getOrDefault("state")), self.getOrDefault("how"),
+                         self.getOrDefault("suffix"))
 
 
 def categorical_stages(columns: Sequence[str]) -> list:

@@ -36,28 +36,32 @@ def order_splits(df: DataFrame, columns: Sequence[str], buckets: int | None = No
 
 
 def with_buckets(df: DataFrame, splits: dict[str, list[float]], suffix: str = "__bucket") -> DataFrame:
-    """Add ``{column}{suffix}``, the index of the bucket each value falls into."""
+    """Add ``{column}{suffix}``, the (double) index of the bucket each value falls into."""
     for c, points in splits.items():
-        name = c + suffix
-        df = Bucketizer(splits=points, inputCol=c, outputCol=name, handleInvalid="keep").transform(df)
-        df = df.withColumn(name, F.col(f"`{name}`").cast("int"))
+        df = Bucketizer(splits=points, inputCol=c, outputCol=c + suffix, handleInvalid="keep").transform(df)
     return df
 
 
+def sql_name(name: str) -> str:
+    """Column name as it is written in a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    """String literal as it is written in a SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str, value: str,
             extra: dict[str, Sequence[str]] | None = None, cast: str | None = None) -> DataFrame:
     """Wide to long: one row per (row, column). ``extra`` carries parallel columns along."""
-    def field(c):
-        col = F.col(f"`{c}`")
-        return col.cast(cast) if cast else col
-
     structs = []
     for i, c in enumerate(columns):
-        parts = [F.lit(c).alias(name), field(c).alias(value)]
-        for alias, cols in (extra or {}).items():
-            parts.append(F.col(f"`{cols[i]}`").alias(alias))
-        structs.append(F.struct(*parts))
-    return df.select(*[F.col(f"`{k}`") for k in keys], F.inline(F.array(*structs)))
+        cell = f"cast({sql_name(c)} as {cast})" if cast else sql_name(c)
+        parts = [f"{sql_text(c)} as {sql_name(name)}", f"{cell} as {sql_name(value)}"]
+        parts += [f"{sql_name(cols[i])} as {sql_name(alias)}" for alias, cols in (extra or {}).items()]
+        structs.append(f"struct({', '.join(parts)})")
+    return df.selectExpr(*[sql_name(k) for k in keys], f"inline(array({', '.join(structs)}))")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

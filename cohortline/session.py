@@ -24,6 +24,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "coho
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call sites for error messages cost more than the plans of small queries
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
