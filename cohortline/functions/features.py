@@ -56,13 +56,15 @@ def bmi_category(c: Column, gaps: str = "obese") -> Column:
             .otherwise("Obese"))
 
 
-def pressure_parts(c: Column, on_error: str = "null") -> tuple[Column, Column]:
-    """Systolic and diastolic part of "SBP/DBP" text. ``on_error="raise"`` fails on text that is no number."""
+def pressure_texts(c: Column) -> tuple[Column, Column]:
     parts = F.split(c, "/")
-    texts = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    if on_error == "raise":
-        return tuple(t.cast("double") for t in texts)
-    return tuple(coerce_number(t) for t in texts)
+    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+
+
+def pressure_parts(c: Column) -> tuple[Column, Column]:
+    """Systolic and diastolic part of "SBP/DBP" text; a part that is no number is missing."""
+    systolic, diastolic = pressure_texts(c)
+    return coerce_number(systolic), coerce_number(diastolic)
 
 
 def mean_pressure(systolic: Column, diastolic: Column) -> Column:
@@ -89,14 +91,23 @@ def split_bp_column(df: DataFrame, combined_bp_col: str, systolic_col_name: str
 def calculate_map(df: DataFrame, map_col_name: str = "MAP", systolic_col: str | None = None,
                   diastolic_col: str | None = None, combined_bp_col: str | None = None,
                   on_error: str = "raise") -> DataFrame:
-    """Mean arterial pressure from two columns or one composite column."""
+    """Mean arterial pressure from two columns or one composite column.
+
+    Composite text that is no pair of numbers is an error, or missing with ``on_error="null"``.
+    """
+    if on_error not in ("raise", "null"):
+        raise ValueError("on_error must be 'raise' or 'null'")
     if systolic_col and diastolic_col:
-        pair = quoted(systolic_col), quoted(diastolic_col)
-    elif combined_bp_col:
-        pair = pressure_parts(quoted(combined_bp_col), on_error)
-    else:
+        return df.withColumn(map_col_name, mean_pressure(quoted(systolic_col), quoted(diastolic_col)))
+    if not combined_bp_col:
         raise ValueError("give systolic_col and diastolic_col, or combined_bp_col")
-    return df.withColumn(map_col_name, mean_pressure(*pair))
+    c = quoted(combined_bp_col)
+    value = mean_pressure(*pressure_parts(c))
+    if on_error == "raise":
+        bad = [t.isNotNull() & coerce_number(t).isNull() for t in pressure_texts(c)]
+        message = F.concat(F.lit("not a blood pressure: "), c)
+        value = F.when(bad[0] | F.coalesce(bad[1], F.lit(False)), F.raise_error(message).cast("double")).otherwise(value)
+    return df.withColumn(map_col_name, value)
 
 
 def binary_encode(c: Column, zero_value: str) -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 MAX_BUCKETS = 1024
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "cohortline") -> SparkSession:
@@ -40,9 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="cohortline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="cohortline-")
+    return _LOCAL_DIRS[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
