@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.functions.cleaning import numeric_columns, quoted
 
@@ -50,6 +50,13 @@ def _wide_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
                        F.when(~flat, F.try_divide(cov, F.sqrt(vx * vy))).alias("r"))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson r over the rows where both are present, missing when either is constant there.
+    (The built-in ``corr`` fails on a constant column in ANSI mode.)"""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, full: bool = False) -> DataFrame:
     """Pearson r of every column pair over the rows where both are present: ``(x, y, r)``.
 
@@ -62,12 +69,11 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, full: bool
     if len(pairs) > MAX_PAIRS_IN_ONE_AGGREGATE:
         out = _wide_correlation(df, names)
     else:
-        wide = df.agg(*[F.corr(quoted(a).cast("double"), quoted(b).cast("double")).alias(f"r{i}")
+        wide = df.agg(*[pearson(quoted(a).cast("double"), quoted(b).cast("double")).alias(f"r{i}")
                         for i, (a, b) in enumerate(pairs)])
         out = wide.select(F.inline(F.array(*[
             F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r"))
             for i, (a, b) in enumerate(pairs)])))
-        out = out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
     if full:
         mirrored = out.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
         out = out.unionByName(mirrored)
@@ -89,7 +95,7 @@ def pair_fits(df: DataFrame, pairs: Sequence[tuple[str, str]], hue: str | None =
     for i, (x, y) in enumerate(pairs):
         a, b = quoted(x).cast("double"), quoted(y).cast("double")
         aggs += [F.regr_count(b, a).alias(f"n{i}"), F.regr_slope(b, a).alias(f"s{i}"),
-                 F.regr_intercept(b, a).alias(f"i{i}"), F.corr(a, b).alias(f"r{i}")]
+                 F.regr_intercept(b, a).alias(f"i{i}"), pearson(a, b).alias(f"r{i}")]
     if hue:
         wide = df.filter(quoted(hue).isNotNull()).groupBy(quoted(hue).alias("hue_value")).agg(*aggs)
     else:

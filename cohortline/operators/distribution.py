@@ -54,13 +54,13 @@ def kernel_density(df: DataFrame, column: str, low: float, high: float, points:
     step = (high - low) / (points - 1)
     at = F.lit(float(low)) + F.col("point") * F.lit(step)
     h = moments["h"]
-    distance = (at - F.col("v")) / h
+    distance = F.try_divide(at - F.col("v"), h)  # a constant column has no density
     weight = F.col("c") * F.exp(F.lit(-0.5) * distance * distance)
     return (present.groupBy("v").agg(F.count("*").alias("c"))
             .select("v", "c", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
             .groupBy("point").agg(F.sum(weight).alias("mass"))
             .select("point", at.alias("x"),
-                    (F.col("mass") / (F.lit(sqrt(2 * pi)) * h * moments["n"])).alias("density")))
+                    F.try_divide(F.col("mass"), F.lit(sqrt(2 * pi)) * h * moments["n"]).alias("density")))
 
 
 def sigma_bands(df: DataFrame, columns: Sequence[str], levels: Sequence[int] = (1, 2, 3)) -> DataFrame:
