@@ -12,12 +12,6 @@ from cohortline.session import small_table
 DASH_RUN = "-{2,}"
 DOT_RUN = "[.]{2,}"
 
-# Spellings accepted as numbers. Spark alone would also take "12d" and "12f".
-NUMBER = r"^\s*[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
-INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
-NOT_A_NUMBER = r"^\s*[+-]?[nN][aA][nN]\s*$"
-
-
 def quoted(name: str) -> Column:
     """Column by exact name, whatever characters the header holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -46,12 +40,23 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def missing_text(c: Column) -> Column:
-    return (c == "") | c.rlike(NOT_A_NUMBER)
+    """Empty text and NaN count as missing."""
+    return (c == "") | F.coalesce(F.isnan(c.try_cast("double")), F.lit(False))
+
+
+def is_number(c: Column) -> Column:
+    """Whether a text cell spells a number (infinities included, NaN not).
+
+    The cast alone would also take a type suffix, as in "12d", and hexadecimal text.
+    """
+    x = c.try_cast("double")
+    suffixed = F.lower(F.right(F.trim(c), F.lit(1))).isin("d", "f") & (F.abs(x) != float("inf"))
+    return F.coalesce(x.isNotNull() & ~F.isnan(x) & ~suffixed & ~F.contains(F.lower(c), F.lit("x")), F.lit(False))
 
 
 def to_number(c: Column) -> Column:
     """Number in a text cell, else NULL."""
-    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+    return F.when(is_number(c), c.try_cast("double"))
 
 
 def thousands_to_number(c: Column) -> Column:
@@ -80,10 +85,10 @@ def fit_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         c = quoted(n)
         present = c.isNotNull() & ~missing_text(c)
         aggs += [
-            F.count_if(present & ~c.rlike(NUMBER)).alias(f"bad{i}"),
+            F.count_if(present & ~is_number(c)).alias(f"bad{i}"),
             F.count_if(present).alias(f"n{i}"),
             F.count_if(~present).alias(f"gap{i}"),
-            F.count_if(present & ~c.rlike(INTEGER)).alias(f"frac{i}"),
+            F.count_if(present & c.try_cast("bigint").isNull()).alias(f"frac{i}"),
         ]
     row = df.agg(*aggs).first()
     state = [

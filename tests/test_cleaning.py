@@ -28,6 +28,8 @@ def test_null_tokens_search_anywhere_but_match_empty_exactly(spark):
     (["1", None, "3"], [1.0, None, 3.0], "double"),
     (["1", "", "NaN"], [1.0, None, None], "double"),
     (["1", "12d"], ["1", "12d"], "string"),
+    (["1", "0x1p3"], ["1", "0x1p3"], "string"),
+    (["1", "-inf", "Infinity"], [1.0, float("-inf"), float("inf")], "double"),
     (["1e3", ".5", "-2."], [1000.0, 0.5, -2.0], "double"),
     ([], [], "string"),
     ([None, None], [None, None], "string"),
