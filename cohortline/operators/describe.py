@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.functions.cleaning import numeric_columns, quoted
 from cohortline.functions.features import half_even
-from cohortline.operators.ranks import exact_quantiles, unpivot
+from cohortline.operators.ranks import exact_quantiles, sql_name, sql_text, unpivot
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -46,10 +46,22 @@ def group_mean(df: DataFrame, by: str, measure: str, ascending: bool | None = No
 
 def group_summary(df: DataFrame, by: str, measures: Sequence[str]) -> DataFrame:
     """Mean, sample deviation, min and max of several measures per group, from one shuffle."""
-    long = unpivot(df.filter(quoted(by).isNotNull()), [by], measures, "variable", "x", cast="double")
-    return (long.groupBy(quoted(by).alias("group_value"), "variable")
-            .agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-                 F.min("x").alias("min"), F.max("x").alias("max")))
+    return summarized(df.filter(quoted(by).isNotNull()), measures, {
+        "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}, quoted(by).alias("group_value"))
+
+
+def summarized(df: DataFrame, columns: Sequence[str], statistics: Mapping[str, Callable[[Column], Column]],
+               *by: Column) -> DataFrame:
+    """Statistics of every column, ``(*by, variable, *statistics)``.
+
+    All of them are one wide aggregate over the rows; only its few result rows are turned into long form.
+    """
+    aggs = [f(quoted(c).cast("double")).alias(f"{s}__{i}") for i, c in enumerate(columns) for s, f in statistics.items()]
+    wide = df.groupBy(*by).agg(*aggs)
+    structs = [f"struct({sql_text(c)} as variable, " + ", ".join(f"`{s}__{i}` as `{s}`" for s in statistics) + ")"
+               for i, c in enumerate(columns)]
+    keys = [sql_name(c) for c in wide.columns[:len(wide.columns) - len(aggs)]]
+    return wide.selectExpr(*keys, f"inline(array({', '.join(structs)}))")
 
 
 def group_totals(df: DataFrame, by: str, measure: str) -> DataFrame:
@@ -66,18 +78,15 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int
     ones, which need a single pass; their values then differ.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
-    long = unpivot(df, [], names, "variable", "x", cast="double")
-    basics = [F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-              F.min("x").alias("min"), F.max("x").alias("max")]
+    basics: dict[str, Callable[[Column], Column]] = {
+        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     if accuracy:
-        q = F.percentile_approx("x", list(QUARTILES), accuracy).alias("q")
-        return (long.groupBy("variable").agg(*basics, q)
-                .select("variable", "count", "mean", "std", "min", F.col("q")[0].alias("q25"),
-                        F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max"))
-    quartiles = exact_quantiles(df, names, QUARTILES).drop("n")
-    return (long.groupBy("variable").agg(*basics).join(quartiles, "variable", "left")
-            .select("variable", "count", "mean", "std", "min", F.col("q0").alias("q25"),
-                    F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max"))
+        basics["q"] = lambda x: F.percentile_approx(x, list(QUARTILES), accuracy)
+        out = summarized(df, names, basics).select("*", *[F.col("q")[i].alias(f"q{i}") for i in range(3)])
+    else:
+        out = summarized(df, names, basics).join(exact_quantiles(df, names, QUARTILES).drop("n"), "variable", "left")
+    return out.select("variable", "count", "mean", "std", "min", F.col("q0").alias("q25"),
+                      F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
 def dataframe_profiler(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -114,9 +123,7 @@ def dataframe_profiler(df: DataFrame, approximate: bool = False) -> DataFrame:
 def column_variances(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Sample variance of every numeric column, ``(variable, variance)``, from one aggregate."""
     names = list(columns) if columns is not None else numeric_columns(df)
-    wide = df.agg(*[F.var_samp(quoted(n).cast("double")).alias(f"v{i}") for i, n in enumerate(names)])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("variable"), F.col(f"v{i}").alias("variance")) for i, n in enumerate(names)])))
+    return summarized(df, names, {"variance": F.var_samp})
 
 
 def low_variance_columns(df: DataFrame, threshold: float = 0.02, columns: Sequence[str] | None = None) -> list[str]:

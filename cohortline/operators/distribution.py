@@ -8,8 +8,9 @@ from math import pi, sqrt
 from pyspark.sql import DataFrame, functions as F
 
 from cohortline.functions.cleaning import quoted
-from cohortline.operators.describe import QUARTILES
+from cohortline.operators.describe import QUARTILES, summarized
 from cohortline.operators.ranks import exact_quantiles, unpivot
+from cohortline.session import materialize
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10, low: float | None = None,
@@ -65,9 +66,8 @@ def kernel_density(df: DataFrame, column: str, low: float, high: float, points:
 
 def sigma_bands(df: DataFrame, columns: Sequence[str], levels: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Mean, median and mean +- k deviations per column, in long form ``(variable, line, x)``."""
-    long = unpivot(df, [], columns, "variable", "v", cast="double")
-    base = (long.groupBy("variable").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
-            .join(exact_quantiles(df, columns, [0.5]), "variable", "left"))
+    base = summarized(df, columns, {"mean": F.avg, "std": F.stddev_samp}).join(
+        exact_quantiles(df, columns, [0.5]), "variable", "left")
     lines = [("mean", F.col("mean")), ("median", F.col("q0"))]
     for k in levels:
         lines += [(f"mean-{k}sd", F.col("mean") - k * F.col("std")), (f"mean+{k}sd", F.col("mean") + k * F.col("std"))]
@@ -99,7 +99,8 @@ def box_outliers(df: DataFrame, by: str, measures: Sequence[str], key: str) -> D
 def _fenced(df: DataFrame, by: str, measures: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     source = df.select(quoted(by).alias("group_value"), *[quoted(c) for c in [*extra, *measures]]).filter(
         F.col("group_value").isNotNull())
-    quartiles = exact_quantiles(source, measures, QUARTILES, ["group_value"])
+    # written out, so its true size decides how it is joined to the rows
+    quartiles = materialize(exact_quantiles(source, measures, QUARTILES, ["group_value"]), "quartiles")
     long = unpivot(source, ["group_value", *extra], measures, "variable", "v", cast="double").filter("v is not null")
     reach = 1.5 * (F.col("q2") - F.col("q0"))
     return (long.join(quartiles, ["group_value", "variable"])

@@ -43,9 +43,10 @@ def score_table(df: DataFrame, pairs: Pairs, keys: Sequence[str] = ()) -> DataFr
                        if c not in scores], *[quoted(s).cast("double").alias(s) for s in scores])
     bucketed = with_buckets(wide, order_splits(wide, scores))
     long = stack_scores(bucketed, pairs, keys, {"bucket": [p + "__bucket" for _, p in pairs.values()]})
-    counts = long.groupBy(*keys, "model", "bucket", F.col("p").alias("score")).agg(
-        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    return running_totals(counts, [*keys, "model"], "bucket", "score", ["pos", "neg"]).drop("bucket")
+    classes = [F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")]
+    points = long.groupBy(*keys, "model", "bucket", F.col("p").alias("score")).agg(*classes)
+    totals = long.groupBy(*keys, "model", "bucket").agg(*classes)
+    return running_totals(points, totals, [*keys, "model"], "bucket", "score", ["pos", "neg"]).drop("bucket")
 
 
 def _precision(pos: Column, neg: Column) -> Column:

@@ -329,7 +329,8 @@ def out_of_fold(df: DataFrame, id_col: str, label: str, features: Sequence[str],
     base = df.filter(quoted(label).isNotNull()).select(quoted(id_col), quoted(label), *[quoted(c) for c in features])
     # written once: every fold model and every scored part reads the same small set of columns
     path = fresh_path(df.sparkSession, "folds")
-    stratified_folds(base, id_col, label, folds, seed).write.parquet(path)
+    # and, being partitioned by fold, only the folds it asks for
+    stratified_folds(base, id_col, label, folds, seed).write.partitionBy("fold").parquet(path)
     rows = df.sparkSession.read.parquet(path)
     stats = label_statistics(rows, label, features, ["fold"])
 

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cohortline.operators.ranks import hash_int
+from cohortline.session import materialize
 
 LEAF_ROWS = 4096
 MAX_LEAVES = 4096
@@ -108,6 +109,7 @@ def vector_neighbors(vectors: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) ->
     """For each distinct vector ``(vid, vec, ids)`` its ``k + 1`` nearest ids, itself included:
     ``(vid, near array<struct<d2, id>>)``."""
     want = k + 1
+    vectors = materialize(vectors, "vectors")  # read by every step below
     n = vectors.count()
     leaves = min(MAX_LEAVES, max(1, -(-n // leaf_rows)))
     if leaves > 1:
@@ -145,6 +147,8 @@ def vector_neighbors(vectors: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) ->
 
     local = placed.groupBy("leaf").applyInPandas(
         inside, "vid long, vec array<double>, names array<long>, dists array<double>, visits array<int>")
+    if leaves > 1:
+        local = materialize(local, "leaves")  # its lists and its visits are both used
     lists = local.select("vid", F.arrays_zip(F.col("dists").alias("d2"), F.col("names").alias("id")).alias("near"))
     if leaves > 1:
         lists = lists.unionByName(_visited(local, placed, want))

@@ -14,32 +14,41 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cohortline.session import bucket_count
+from cohortline.session import bucket_count, materialize
 
 INF = float("inf")
+SAMPLE_PER_BUCKET = 200
+MANY_PARTITIONS = 1000
 
 
 def order_splits(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
-    """Cut points that give each column about equally filled buckets (one scan for all columns).
+    """Cut points that give each column about equally filled buckets.
 
-    The points only balance the work; results never depend on their accuracy.
+    Taken from a sample of bounded size, so what reaches the one merging task does
+    not grow with the table. The points only balance the work; results never
+    depend on them.
     """
     n = buckets or bucket_count(df.sparkSession)
     probs = [i / n for i in range(1, n)]
-    row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), probs, 10 * n).alias(f"c{i}")
-                   for i, c in enumerate(columns)]).first()
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    fraction = SAMPLE_PER_BUCKET * n / max(1, df.count())
+    if fraction < 1.0:
+        rows = rows.sample(fraction, seed=7)
+    row = rows.agg(*[F.percentile_approx(f"c{i}", probs, 10 * n).alias(f"c{i}") for i in range(len(columns))]).first()
     out = {}
     for i, c in enumerate(columns):
-        points = sorted({v for v in (row[i] or []) if v == v and abs(v) != INF})
+        points = sorted({v for v in (row[f"c{i}"] or []) if v == v and abs(v) != INF})
         out[c] = [-INF, *points, INF] if points else [-INF, 0.0, INF]
     return out
 
 
 def with_buckets(df: DataFrame, splits: dict[str, list[float]], suffix: str = "__bucket") -> DataFrame:
-    """Add ``{column}{suffix}``, the (double) index of the bucket each value falls into."""
+    """Add ``{column}{suffix}``, the index of the bucket each value falls into."""
+    names = df.columns
     for c, points in splits.items():
         df = Bucketizer(splits=points, inputCol=c, outputCol=c + suffix, handleInvalid="keep").transform(df)
-    return df
+    return df.selectExpr(*[sql_name(c) for c in names],
+                         *[f"cast({sql_name(c + suffix)} as int) as {sql_name(c + suffix)}" for c in splits])
 
 
 def sql_name(name: str) -> str:
@@ -72,6 +81,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     buckets; only the buckets that hold a wanted rank are then read again,
     combined by value and ordered, so a small part of the table is shuffled and
     no key is gathered into one task. Rows with a missing key or value are left out.
+    The list of wanted buckets is written out: its true size then decides between
+    a broadcast and a shuffle join.
     """
     keys = list(keys)
     splits = order_splits(df, columns, buckets)
@@ -101,12 +112,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     for p in probs:
         for rank in (F.floor(target(p)), F.ceil(target(p))):
             wanted |= holds(rank, F.col("before"), F.col("upto"))
-    needed = counts.filter(wanted).select(*group, "bucket", "before", "n")
+    needed = materialize(counts.filter(wanted).select(*group, "bucket", "before", "n"), "buckets")
 
     in_bucket = W.partitionBy(*group, "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     placed = (
-        long.groupBy(*group, "bucket", "value").agg(F.count("*").alias("c"))
-        .join(needed, [*group, "bucket"])
+        long.join(needed, [*group, "bucket"])
+        .groupBy(*group, "bucket", "value", "before", "n").agg(F.count("*").alias("c"))
         .withColumn("end", F.col("before") + F.sum("c").over(in_bucket))
         .withColumn("start", F.col("end") - F.col("c"))
     )
@@ -122,24 +133,24 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     )
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], bucket: str, order: str, measures: Sequence[str],
-                   descending: bool = True) -> DataFrame:
+def running_totals(points: DataFrame, totals: DataFrame, keys: Sequence[str], bucket: str, order: str,
+                   measures: Sequence[str], descending: bool = True) -> DataFrame:
     """Inclusive running sums ``{m}_run`` and key totals ``{m}_all`` along ``order`` within ``keys``.
 
-    ``df`` holds one row per (keys, order) and an ordered ``bucket`` of ``order``.
+    ``points`` holds one row per (keys, bucket, order) and ``totals`` the sums per
+    (keys, bucket), both with the measures. The join and the window share one partitioning.
     """
     keys = list(keys)
     direction = F.desc if descending else F.asc
-    sums = df.groupBy(*keys, bucket).agg(*[F.sum(m).alias(f"{m}_in") for m in measures])
     per_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     prefix = per_key.orderBy(direction(bucket)).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(
+    offsets = totals.select(
         *keys, bucket,
-        *[F.coalesce(F.sum(f"{m}_in").over(prefix), F.lit(0)).alias(f"{m}_off") for m in measures],
-        *[F.sum(f"{m}_in").over(per_key).alias(f"{m}_all") for m in measures],
+        *[F.coalesce(F.sum(m).over(prefix), F.lit(0)).alias(f"{m}_off") for m in measures],
+        *[F.sum(m).over(per_key).alias(f"{m}_all") for m in measures],
     )
     inner = W.partitionBy(*keys, bucket).orderBy(direction(order)).rowsBetween(W.unboundedPreceding, 0)
-    out = df.join(offsets, [*keys, bucket])
+    out = points.join(offsets, [*keys, bucket])
     for m in measures:
         out = out.withColumn(f"{m}_run", F.col(f"{m}_off") + F.sum(m).over(inner))
     return out.drop(*[f"{m}_off" for m in measures])
@@ -161,28 +172,23 @@ def hash_unit(*parts: Column | str | int) -> Column:
     return hash_int(*parts).cast("double") / F.lit(float(1 << 60))
 
 
-def hashed_rank(df: DataFrame, id_col: str, seed: int | str, keys: Sequence[str] = (), name: str = "rank",
-                digits: int = 3) -> DataFrame:
+def hashed_rank(df: DataFrame, id_col: str, seed: int | str, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Dense 0-based rank of each row within ``keys``, in a seeded pseudo-random order.
 
-    The order is the md5 of id and seed. Its first ``digits`` hex characters cut
-    it into 16**digits even buckets, whatever the ids look like, so a class that
-    holds most rows is spread over all of them.
+    The order is the md5 of id and seed. Its first hex characters cut it into
+    even buckets, whatever the ids look like, so a class that holds most rows is
+    spread over all of them. Key and bucket form one struct, which compares missing
+    keys as equal and lets join and window share one shuffle.
     """
     keys = list(keys)
-    tagged = df.withColumn("__h", hash_text(F.col(id_col), seed)).withColumn("__b", F.substring("__h", 1, digits))
-    per_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    offsets = (
-        tagged.groupBy(*keys, "__b").agg(F.count("*").alias("__cnt"))
-        .withColumn("__off", F.coalesce(
-            F.sum("__cnt").over(per_key.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .drop("__cnt")
-    )
-    for k in keys:
-        offsets = offsets.withColumnRenamed(k, f"__k_{k}")
-    on = F.col("l.__b") == F.col("r.__b")
-    for k in keys:
-        on &= F.col(f"l.{k}").eqNullSafe(F.col(f"r.__k_{k}"))
-    joined = tagged.alias("l").join(offsets.alias("r"), on).select("l.*", "r.__off")
-    inner = W.partitionBy(*keys, "__b").orderBy("__h", id_col)
-    return joined.withColumn(name, F.col("__off") + F.row_number().over(inner) - 1).drop("__h", "__b", "__off")
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) > MANY_PARTITIONS
+    tagged = df.withColumn("__h", hash_text(F.col(id_col), seed))
+    part = F.struct(*[F.col(f"`{k}`") for k in keys], F.substring("__h", 1, 4 if many else 3).alias("__b"))
+    tagged = tagged.withColumn("__p", part)
+    group = F.struct(*[F.col("__p").getField(k) for k in keys]) if keys else F.lit(0)
+    before = W.partitionBy(group).orderBy(F.col("__p").getField("__b")).rowsBetween(W.unboundedPreceding, -1)
+    offsets = tagged.groupBy("__p").agg(F.count("*").alias("__cnt")).select(
+        "__p", F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"))
+    inner = W.partitionBy("__p").orderBy("__h", id_col)
+    return (tagged.join(offsets, "__p").withColumn(name, F.col("__off") + F.row_number().over(inner) - 1)
+            .select(*[F.col(f"`{c}`") for c in df.columns], name))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.functions.cleaning import quoted
 from cohortline.functions.features import half_even
 from cohortline.functions.stats import chi_square_tail, t_two_sided
+from cohortline.operators.describe import summarized
 from cohortline.operators.ranks import exact_quantiles, unpivot
 
 
@@ -25,22 +26,20 @@ def continuous_table(df: DataFrame, variables: Sequence[str], group: str | None
                      groups: Sequence = (0, 1), p_value: bool = True) -> DataFrame:
     """One row per variable: n, missing, mean, sd, median, min, max, mode; by two groups their
     n, mean and sd, Welch's t, degrees of freedom and p-value."""
-    keys = [group] if group else []
-    long = unpivot(df, keys, variables, "variable", "v", cast="double")
-    aggs = [F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("missing_n"),
-            (F.lit(100.0) * F.count_if(F.col("v").isNull()) / F.count("*")).alias("missing_pct"),
-            F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max")]
+    moments: dict[str, Callable[[Column], Column]] = {
+        "n": F.count, "missing_n": lambda x: F.count_if(x.isNull()),
+        "missing_pct": lambda x: F.try_divide(F.lit(100.0) * F.count_if(x.isNull()), F.count("*")),
+        "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
     if group:
         for i, g in enumerate(groups):
-            mine = F.when(quoted(group) == g, F.col("v"))
-            aggs += [F.count(mine).alias(f"n_{i}"), F.avg(mine).alias(f"mean_{i}"),
-                     F.stddev_samp(mine).alias(f"sd_{i}")]
-    moments = long.groupBy("variable").agg(*aggs)
+            for s, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp)):
+                moments[f"{s}_{i}"] = lambda x, f=f, g=g: f(F.when(quoted(group) == g, x))
+    long = unpivot(df, [], variables, "variable", "v", cast="double")
     # smallest of the most frequent values
     modes = (long.filter("v is not null").groupBy("variable", "v").agg(F.count("*").alias("c"))
              .groupBy("variable").agg(F.min_by("v", F.struct(-F.col("c"), F.col("v"))).alias("mode")))
     medians = exact_quantiles(df, variables, [0.5]).select("variable", F.col("q0").alias("median"))
-    out = moments.join(modes, "variable", "left").join(medians, "variable", "left")
+    out = summarized(df, variables, moments).join(modes, "variable", "left").join(medians, "variable", "left")
     if group and len(groups) == 2:
         t, dof = welch(*[F.col(f"{s}_{i}") for i in (0, 1) for s in ("n", "mean", "sd")])
         out = out.withColumn("t", t).withColumn("dof", dof)

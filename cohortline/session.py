@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 8192
 _LOCAL_DIRS: dict[str, str] = {}
 
 
