@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortline.session import small_table
 
-# Cells that count as missing, by search (not full match) unless empty.
-DASH_RUN = "-{2,}"
-DOT_RUN = "[.]{2,}"
+# A cell holding a run of two or more of these anywhere counts as missing.
+DASH_RUN = "--"
+DOT_RUN = ".."
+
+# Spellings of numbers and of missing numbers, compared in lower case.
+NUMBER_CHARACTERS = "0123456789+-.eE"
+INFINITE = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
+NOT_A_NUMBER = ("nan", "+nan", "-nan")
 
 def quoted(name: str) -> Column:
     """Column by exact name, whatever characters the header holds."""
@@ -27,7 +32,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def null_tokens(c: Column) -> Column:
     """Empty text and cells containing a run of dashes or dots become NULL."""
-    return F.when((c != "") & ~c.rlike(DASH_RUN) & ~c.rlike(DOT_RUN), c)
+    return F.when((c != "") & ~c.contains(DASH_RUN) & ~c.contains(DOT_RUN), c)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -41,22 +46,26 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def missing_text(c: Column) -> Column:
     """Empty text and NaN count as missing."""
-    return (c == "") | F.coalesce(F.isnan(c.try_cast("double")), F.lit(False))
-
+    return (c == "") | F.lower(F.trim(c)).isin(*NOT_A_NUMBER)
 
-def is_number(c: Column) -> Column:
-    """Whether a text cell spells a number (infinities included, NaN not).
 
-    The cast alone would also take a type suffix, as in "12d", and hexadecimal text.
-    """
-    x = c.try_cast("double")
-    suffixed = F.lower(F.right(F.trim(c), F.lit(1))).isin("d", "f") & (F.abs(x) != float("inf"))
-    return F.coalesce(x.isNotNull() & ~F.isnan(x) & ~suffixed & ~F.contains(F.lower(c), F.lit("x")), F.lit(False))
+def _spelled(c: Column) -> Column:
+    """Only characters of decimal numbers. Checked before any cast: it is cheaper than a failing one, and
+    the cast alone would also take "12d" and hexadecimal text."""
+    return (F.trim(c) != "") & (F.translate(F.trim(c), NUMBER_CHARACTERS, "") == "")
 
 
 def to_number(c: Column) -> Column:
-    """Number in a text cell, else NULL."""
-    return F.when(is_number(c), c.try_cast("double"))
+    """Number in a text cell (infinities included, NaN not), else NULL."""
+    return F.when(_spelled(c) | F.lower(F.trim(c)).isin(*INFINITE), c.try_cast("double"))
+
+
+def number_kind(c: Column) -> Column:
+    """0 missing, 1 integer, 2 other number, 3 no number."""
+    return (F.when(c.isNull() | missing_text(c), 0)
+            .when(_spelled(c), F.when(c.try_cast("bigint").isNotNull(), 1)
+                  .when(c.try_cast("double").isNotNull(), 2).otherwise(3))
+            .when(F.lower(F.trim(c)).isin(*INFINITE), 2).otherwise(3))
 
 
 def thousands_to_number(c: Column) -> Column:
@@ -80,22 +89,11 @@ def fit_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     schema = "column_name string, target_type string"
     if not names:
         return small_table(df.sparkSession, [], schema)
-    aggs = []
-    for i, n in enumerate(names):
-        c = quoted(n)
-        present = c.isNotNull() & ~missing_text(c)
-        aggs += [
-            F.count_if(present & ~is_number(c)).alias(f"bad{i}"),
-            F.count_if(present).alias(f"n{i}"),
-            F.count_if(~present).alias(f"gap{i}"),
-            F.count_if(present & c.try_cast("bigint").isNull()).alias(f"frac{i}"),
-        ]
-    row = df.agg(*aggs).first()
-    state = [
-        (n, "bigint" if row[f"frac{i}"] == 0 and row[f"gap{i}"] == 0 else "double")
-        for i, n in enumerate(names)
-        if row[f"bad{i}"] == 0 and row[f"n{i}"] > 0
-    ]
+    kinds = df.select(*[number_kind(quoted(n)).alias(f"k{i}") for i, n in enumerate(names)])
+    row = kinds.agg(*[f(f"k{i}").alias(f"{t}{i}") for i in range(len(names)) for f, t in ((F.min, "lo"), (F.max, "hi"))]
+                    ).first()
+    state = [(n, "bigint" if row[f"lo{i}"] == row[f"hi{i}"] == 1 else "double")
+             for i, n in enumerate(names) if row[f"hi{i}"] in (1, 2)]
     return small_table(df.sparkSession, state, schema)
 
 

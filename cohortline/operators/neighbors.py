@@ -76,7 +76,7 @@ def _leaf_of(x: np.ndarray, nodes: list[tuple]) -> np.ndarray:
 def _closest(queries: np.ndarray, points: np.ndarray, owner: np.ndarray, ids: np.ndarray, want: int):
     """Lists of up to ``want`` (distance, id) per query; ``points`` may hold several ids per vector via ``owner``."""
     names, dists = [], []
-    block = max(1, CELLS_PER_BLOCK // max(1, len(points)))
+    block = max(1, CELLS_PER_BLOCK // max(1, len(owner)))
     for s in range(0, len(queries), block):
         q = queries[s:s + block]
         d = np.zeros((len(q), len(points)))

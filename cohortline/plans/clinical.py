@@ -12,7 +12,7 @@ from cohortline.operators.cohort import minimum_filter
 from cohortline.operators.columns import (
     CLINICAL_NAMES, apply_one_hot, columns_matching, conform, drop_columns, fit_one_hot, rename_columns, with_mapped)
 from cohortline.operators.describe import low_variance_columns
-from cohortline.sources.files import lists_to_state, load_lists, save_lists, write_outputs, write_parquet
+from cohortline.sources.files import lists_to_state, load_lists, save_lists, write_parquet
 
 # Thresholds, spellings and column roles of the clinical table.
 ADULT_AGE = 18
@@ -119,12 +119,10 @@ def apply_clinical(raw: DataFrame, state: ClinicalState, key: str = "patient_id"
     """Trained features of any table with the raw columns, plus the outcome when asked for.
     A one-hot value the table lacks is a column of zeros."""
     full = _expanded(raw, state.numeric, state.one_hot)
-    x = conform(full, state.lists["X_columns"], key, fill_missing=None)
     if target is None:
-        return x
-    keep = [c for c in state.lists["X_columns"]]
+        return conform(full, state.lists["X_columns"], key)
     outcome = fx.any_flag(*[F.col(c) for c in OUTCOME_PARTS]).alias(target)
-    return full.select(key, *[cleaning.quoted(c) for c in keep], outcome)
+    return conform(full.withColumn(target, outcome), [*state.lists["X_columns"], target], key)
 
 
 def exploratory(raw: DataFrame, state: ClinicalState) -> DataFrame:
@@ -134,13 +132,13 @@ def exploratory(raw: DataFrame, state: ClinicalState) -> DataFrame:
 
 def write_cohort(raw: DataFrame, state: ClinicalState, eda_path: str, model_path: str, key: str = "patient_id",
                  target: str = TARGET) -> list[str]:
-    """Exploratory and model-ready copies from one pass over the raw table."""
-    full = _expanded(raw, state.numeric, state.one_hot)
+    """Exploratory and model-ready copies; the raw table is read once."""
+    write_parquet(exploratory(raw, state), eda_path)
+    # every model column is in the exploratory copy, so the second pass reads those few columns of it
+    described = raw.sparkSession.read.parquet(eda_path)
     outcome = fx.any_flag(*[F.col(c) for c in OUTCOME_PARTS]).alias(target)
-    return write_outputs(full, {
-        eda_path: lambda d: drop_columns(d, state.lists["low_variance"], strict=False),
-        model_path: lambda d: d.select(key, *[cleaning.quoted(c) for c in state.lists["X_columns"]], outcome),
-    })
+    write_parquet(described.select(key, *[cleaning.quoted(c) for c in state.lists["X_columns"]], outcome), model_path)
+    return [eda_path, model_path]
 
 
 def feature_names(state: ClinicalState, categorical: Sequence[str] = ()) -> list[str]:
