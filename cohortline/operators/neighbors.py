@@ -145,18 +145,20 @@ def vector_neighbors(vectors: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) ->
             visits.append([int(v) for v in box_leaf[near] if v != own])
         return pd.DataFrame({"vid": pdf["vid"], "vec": pdf["vec"], "names": names, "dists": dists, "visits": visits})
 
-    local = placed.groupBy("leaf").applyInPandas(
+    # a fixed number of partitions: small leaves take long to search, so they must not be merged into few tasks
+    tasks = min(2 * leaves, MAX_LEAVES)
+    local = placed.repartition(tasks, "leaf").groupBy("leaf").applyInPandas(
         inside, "vid long, vec array<double>, names array<long>, dists array<double>, visits array<int>")
     if leaves > 1:
         local = materialize(local, "leaves")  # its lists and its visits are both used
     lists = local.select("vid", F.arrays_zip(F.col("dists").alias("d2"), F.col("names").alias("id")).alias("near"))
     if leaves > 1:
-        lists = lists.unionByName(_visited(local, placed, want))
+        lists = lists.unionByName(_visited(local, placed, want, tasks))
     merged = lists.groupBy("vid").agg(F.flatten(F.collect_list("near")).alias("near"))
     return merged.select("vid", F.slice(F.array_sort("near"), 1, want).alias("near"))
 
 
-def _visited(local: DataFrame, placed: DataFrame, want: int) -> DataFrame:
+def _visited(local: DataFrame, placed: DataFrame, want: int, tasks: int) -> DataFrame:
     asks = local.select(F.explode("visits").alias("leaf"), "vid", "vec")
     # at most MAX_LEAVES rows, so these broadcasts are bounded
     chunks = asks.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(QUERIES_PER_TASK)).cast("int").alias("chunks"))
@@ -171,6 +173,7 @@ def _visited(local: DataFrame, placed: DataFrame, want: int) -> DataFrame:
         names, dists = _closest(_matrix(queries["vec"]), *_members(pdf), want)
         return pd.DataFrame({"vid": queries["vid"], "names": names, "dists": dists})
 
+    asks, members = (d.repartition(tasks, "leaf", "chunk") for d in (asks, members))
     out = asks.groupBy("leaf", "chunk").cogroup(members.groupBy("leaf", "chunk")).applyInPandas(
         visit, "vid long, names array<long>, dists array<double>")
     return out.select("vid", F.arrays_zip(F.col("dists").alias("d2"), F.col("names").alias("id")).alias("near"))

@@ -182,13 +182,15 @@ def hashed_rank(df: DataFrame, id_col: str, seed: int | str, keys: Sequence[str]
     """
     keys = list(keys)
     many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) > MANY_PARTITIONS
-    tagged = df.withColumn("__h", hash_text(F.col(id_col), seed))
-    part = F.struct(*[F.col(f"`{k}`") for k in keys], F.substring("__h", 1, 4 if many else 3).alias("__b"))
-    tagged = tagged.withColumn("__p", part)
+    text = hash_text(F.col(f"`{id_col}`"), seed)
+    part = F.struct(*[F.col(f"`{k}`") for k in keys], F.substring(text, 1, 4 if many else 3).alias("__b"))
+    tagged = df.withColumn("__p", part)
     group = F.struct(*[F.col("__p").getField(k) for k in keys]) if keys else F.lit(0)
     before = W.partitionBy(group).orderBy(F.col("__p").getField("__b")).rowsBetween(W.unboundedPreceding, -1)
     offsets = tagged.groupBy("__p").agg(F.count("*").alias("__cnt")).select(
         "__p", F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"))
     inner = W.partitionBy("__p").orderBy("__h", id_col)
-    return (tagged.join(offsets, "__p").withColumn(name, F.col("__off") + F.row_number().over(inner) - 1)
+    # the full hash is computed again behind the shuffle, which is cheaper than sending it
+    placed = tagged.repartition("__p").join(offsets, "__p").withColumn("__h", text)
+    return (placed.withColumn(name, F.col("__off") + F.row_number().over(inner) - 1)
             .select(*[F.col(f"`{c}`") for c in df.columns], name))

@@ -109,11 +109,14 @@ def random_oversample(df: DataFrame, id_col: str, label: str, seed: int = 222, n
     Ranks are unique and picks uniform, so the join has no hot key.
     """
     base = df.filter(quoted(label).isNotNull())
-    draws = _draws(df.sparkSession, sizes or _class_sizes(df, label), label, df.schema[label].dataType, seed)
+    sizes = sizes or _class_sizes(df, label)
+    draws = _draws(df.sparkSession, sizes, label, df.schema[label].dataType, seed)
     originals = base.withColumn(name, F.lit(0).cast("bigint"))
     if draws is None:
         return originals
-    ranked = hashed_rank(base, id_col, seed, [label], "pick")
+    # rows of the largest class are never copied, so they are not ranked either
+    small = [c for c, n in sizes.items() if n < max(sizes.values())]
+    ranked = hashed_rank(base.filter(quoted(label).isin(*small)), id_col, seed, [label], "pick")
     copies = ranked.join(draws, [label, "pick"]).drop("pick").withColumnRenamed("draw", name)
     return originals.unionByName(copies.select(*originals.columns))
 
