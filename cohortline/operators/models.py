@@ -27,7 +27,7 @@ from cohortline.operators.prep import (
     NumericPrepModel, apply_label_codes, fit_label_codes, fit_numeric_state, standardized)
 from cohortline.operators.ranks import sql_name
 from cohortline.operators.resample import random_oversample, smote, stratified_folds, with_class_weight
-from cohortline.session import fresh_path, small_table
+from cohortline.session import fresh_path, materialize, small_table
 
 SEED = 222
 
@@ -323,8 +323,8 @@ def out_of_fold(df: DataFrame, id_col: str, label: str, features: Sequence[str],
     """``(id, label, fold, one score column per spec)``: each row scored by models that never saw it.
 
     A fold's training rows are prepared and rebalanced once per sampler and shared by all
-    candidates. Only fitting runs jobs; the scores stay lazy. Fits of different folds
-    overlap on the cluster. ``calibrated=False`` keeps raw decision values, which rank the same.
+    candidates, which are fitted side by side. Only fitting runs jobs; the scores stay lazy.
+    ``calibrated=False`` keeps raw decision values, which rank the same.
     """
     base = df.filter(quoted(label).isNotNull()).select(quoted(id_col), quoted(label), *[quoted(c) for c in features])
     # written once: every fold model and every scored part reads the same small set of columns
@@ -334,25 +334,31 @@ def out_of_fold(df: DataFrame, id_col: str, label: str, features: Sequence[str],
     rows = df.sparkSession.read.parquet(path)
     stats = label_statistics(rows, label, features, ["fold"])
 
+    samplers = list(dict.fromkeys(s.sampler for s in specs.values()))
+    most = max(sum(s.sampler == sampler for s in specs.values()) for sampler in samplers)
+    # candidates of a fold share its cached rows; folds overlap only while the table is small
+    at_once = max(1, parallel // most) if sum(r["n"] for r in stats) < SMALL_TRAINING_SET else 1
+
     def one(job: tuple[int, str | None]) -> dict[tuple[int, str], Classifier]:
         k, sampler = job
-        mine = {n: s for n, s in specs.items() if s.sampler == sampler}
+        mine = [(n, s) for n, s in specs.items() if s.sampler == sampler]
         train = rows.filter(F.col("fold") != k)
         data = prepare(train, id_col, label, features, sampler, [r for r in stats if r["fold"] != k])
+
+        def candidate(item: tuple[str, Spec], shared: TrainingSet) -> tuple[tuple[int, str], Classifier]:
+            name, spec = item
+            model = fit_prepared(shared, spec)
+            if calibrated and spec.family == "svm":
+                model = calibrate(train, id_col, label, model, 3)
+            return (k, name), model
+
         if len(mine) == 1:
-            fitted = {n: fit_prepared(data, s) for n, s in mine.items()}
-        else:
-            with held(data.rows) as kept:
-                shared = replace(data, rows=kept)
-                fitted = {n: fit_prepared(shared, s) for n, s in mine.items()}
-        if calibrated:
-            fitted = {n: calibrate(train, id_col, label, m, 3) if m.spec.family == "svm" else m
-                      for n, m in fitted.items()}
-        return {(k, n): m for n, m in fitted.items()}
+            return dict([candidate(mine[0], data)])
+        with held(data.rows) as kept, ThreadPoolExecutor(min(parallel, len(mine))) as inner:
+            return dict(inner.map(candidate, mine, [replace(data, rows=kept)] * len(mine)))
 
-    samplers = list(dict.fromkeys(s.sampler for s in specs.values()))
     models: dict[tuple[int, str], Classifier] = {}
-    with ThreadPoolExecutor(parallel) as pool:
+    with ThreadPoolExecutor(at_once) as pool:
         for part in pool.map(one, [(k, s) for k in range(folds) for s in samplers]):
             models.update(part)
     out = None
@@ -372,7 +378,9 @@ def grid_search(df: DataFrame, id_col: str, label: str, features: Sequence[str],
     with one column ``c{candidate}`` each. All candidates are scored in one evaluation.
     """
     names = {f"c{i}": s for i, s in enumerate(specs)}
-    scores = out_of_fold(df, id_col, label, features, names, folds, seed, parallel, calibrated=False)
+    # written once: the evaluation, the calibration and the threshold search all read them
+    scores = materialize(out_of_fold(df, id_col, label, features, names, folds, seed, parallel, calibrated=False),
+                         "scores")
     pairs = {n: (label, n) for n in names}
     per_fold = ranking_metrics(scores, pairs, ["fold"])
     params = F.create_map(*[F.lit(x) for n, s in names.items() for x in (n, s.label())])
@@ -391,9 +399,7 @@ def tune(df: DataFrame, id_col: str, label: str, features: Sequence[str], specs:
     ``(id, label, fold, p)``. The out-of-fold margins also calibrate a support vector model.
     """
     report, scores = grid_search(df, id_col, label, features, specs, folds, seed)
-    path = fresh_path(df.sparkSession, "grid")
-    report.write.parquet(path)
-    report = df.sparkSession.read.parquet(path)
+    report = materialize(report, "grid")
     best = report.orderBy(F.desc("mean_score"), "candidate").first()["candidate"]
     spec = specs[int(best[1:])]
     model = fit(df, id_col, label, features, spec, platt_folds=0)
