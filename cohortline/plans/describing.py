@@ -67,9 +67,6 @@ def _(t):
     return de.group_totals(v.visits(t), "cost_type", "cost")
 
 
-_SHARE = ["_".join(("class", x)) for x in "01"]
-
-
 @query("scores_by_outcome", f"""WITH {v.VISITS}, l AS (
   SELECT 'pain' AS g, pain AS c, cost, weight_kg FROM visits UNION ALL
   SELECT 'edema', edema, cost, weight_kg FROM visits), s AS (

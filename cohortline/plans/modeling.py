@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortline.operators import explain, registry
 from cohortline.operators.evaluate import METRIC_NAMES, headline_metrics
-from cohortline.operators.models import Classifier, Spec, grid_specs, tune
+from cohortline.operators.models import Classifier, grid_specs, tune
 from cohortline.operators.resample import background_sample
 from cohortline.session import small_table
 

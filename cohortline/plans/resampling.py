@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cohortline.operators import neighbors as nb, resample as rs
 from cohortline.plans import views as v
 from cohortline.plans.catalog import query, r, rounded

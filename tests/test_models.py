@@ -79,6 +79,29 @@ def test_regression_matches_newton(data, c):
     np.testing.assert_allclose(got, newton(x, pdf.y.to_numpy(), w, c), atol=2e-3)
 
 
+def test_linear_margin_reaches_the_hinge_optimum(data):
+    pdf, d = data
+    training = mo.prepare(d, "id", "y", COLS)
+    svc = mo.fit_prepared(training, mo.Spec("svm", {"kernel": "linear", "C": 1.0})).stages.stages[-1]
+    x = pdf[COLS].to_numpy()
+    x = (x - x.min(axis=0)) / (x.max(axis=0) - x.min(axis=0))
+    sign = 2 * pdf.y.to_numpy() - 1
+    w = np.where(sign > 0, 240 / (2 * pdf.y.sum()), 240 / (2 * (240 - pdf.y.sum())))
+
+    def objective(b, b0):
+        return (w * np.maximum(0, 1 - sign * (x @ b + b0))).sum() / w.sum() + (b @ b) / (2 * 240)
+
+    b, b0, best = np.zeros(3), 0.0, np.inf
+    for i in range(1, 40001):  # subgradient steps
+        on = w * (sign * (x @ b + b0) < 1) / w.sum()
+        step = 20.0 / np.sqrt(i)
+        b = b - step * (b / 240 - (on * sign) @ x)
+        b0 += step * (on * sign).sum()
+        if i % 50 == 0:
+            best = min(best, objective(b, b0))
+    assert objective(svc.coefficients.toArray(), svc.intercept) <= best * 1.02
+
+
 def test_platt_matches_newton(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=400)
@@ -217,7 +240,8 @@ def test_additive_score_has_known_attributions(spark):
 
 
 def test_top_features_break_ties_by_position(spark):
-    d = spark.createDataFrame([(0.5, -0.5, 0.1, -0.501), (None, 0.0, -2.0, 1.0)], "f1 double, f2 double, f3 double, f4 double").coalesce(1)
+    d = spark.createDataFrame([(0.5, -0.5, 0.1, -0.501), (None, 0.0, -2.0, 1.0)],
+                              "f1 double, f2 double, f3 double, f4 double").coalesce(1)
     cols = ["f1", "f2", "f3", "f4"]
     assert [r[0] for r in d.select(ex.top_names(cols, 2)).collect()] == ["f1, f2", "f3, f4"]
     assert d.select(ex.top_json(cols, 2)).first()[0] == '{"f1":0.5,"f2":0.5}'
