@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortline.llm import bpe, chat, exact_dedup, packing, sharding
+from cohortline.llm import bpe, chat, decontaminate, exact_dedup, near_dup, packing, sharding
 from cohortline.llm.text import documents
 
 
@@ -19,6 +19,15 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder)).drop("first")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_groups(documents(spark, folder)).drop("group_digest")
+
+
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document and benchmark item found in it; documents without a hit have no row."""
+    return decontaminate.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op8_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder))
 
@@ -34,6 +43,6 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_packed_token_ids, op4_exact_dedup, op8_bpe_codec, op9_sharding, op10_chat_format)}
+    op2_packed_token_ids, op4_exact_dedup, op6_minhash_near_dedup, op7_decontaminate, op8_bpe_codec, op9_sharding, op10_chat_format)}
 CHECKS: dict[str, str] = {
-    "op4_exact_dedup": exact_dedup.SQL, "op9_sharding": sharding.SQL, "op10_chat_format": chat.SQL}
+    "op4_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dup.SQL, "op9_sharding": sharding.SQL, "op10_chat_format": chat.SQL}

@@ -21,8 +21,10 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 # a random 64-bit value per byte; capital A-Z share the value of their lower-case form
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+# for alignment, everything of ASCII but letters and digits separates words
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[str, np.ndarray] = {}
@@ -74,13 +76,13 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         start = end
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: pa.Array, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each lower-cased word, and where each text's words start and the last end."""
     data, at = flat(texts)
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = at[1:-1][at[1:-1] < n]
@@ -122,13 +124,14 @@ def grams(hashes: np.ndarray, at: np.ndarray, n: int, whole: bool = True) -> tup
 
 def distinct_by_text(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each text, and their bounds per text."""
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    values, owner = values[new], owner[new]
-    return values, np.searchsorted(owner, np.arange(len(at)))
+    sets, bounds = [], np.zeros(len(at), np.int64)
+    for i in range(len(at) - 1):
+        own = np.sort(values[at[i]:at[i + 1]])
+        if len(own) > 1:
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        sets.append(own)
+        bounds[i + 1] = bounds[i] + len(own)
+    return np.concatenate(sets) if sets else values, bounds
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
