@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortline.llm import bpe, chat, decontaminate, exact_dedup, near_dup, packing, sharding
+from cohortline.llm import bpe, chat, decontaminate, exact_dedup, langid, lm, near_dup, packing, sharding
 from cohortline.llm.text import documents
 
 
@@ -15,10 +15,18 @@ def op2_packed_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return packing.written(documents(spark, folder)).withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predicted(documents(spark, folder))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder)).drop("first")
 
 
+def op5_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scored(documents(spark, folder))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_groups(documents(spark, folder)).drop("group_digest")
 
@@ -43,6 +51,6 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_packed_token_ids, op4_exact_dedup, op6_minhash_near_dedup, op7_decontaminate, op8_bpe_codec, op9_sharding, op10_chat_format)}
+    op2_packed_token_ids, op3_language_id, op4_exact_dedup, op5_lm_score, op6_minhash_near_dedup, op7_decontaminate, op8_bpe_codec, op9_sharding, op10_chat_format)}
 CHECKS: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dup.SQL, "op9_sharding": sharding.SQL, "op10_chat_format": chat.SQL}
