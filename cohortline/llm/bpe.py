@@ -23,6 +23,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -260,22 +261,30 @@ def decoded(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the encoded and again decoded texts, in one pass."""
+def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None,
+            with_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the encoded and again decoded texts, in one pass.
+
+    With ``with_ids``, also ``ids`` as little-endian 16-bit numbers.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
-                        ("decoded_sha256", pa.string())])
+                        ("decoded_sha256", pa.string()), *([("ids", pa.binary())] if with_ids else [])])
 
     def digest(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(tokenizer)
+        if with_ids and len(model.token) > 1 << 16:
+            raise ValueError("ids are written as 16 bits")
         for batch in batches:
             for part in pieces(batch):
                 made = [model.encode(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in made], pa.int64()),
-                    pa.array([digest(ids) for ids, _ in made]), pa.array([digest(text) for _, text in made])], schema=schema)
+                columns = [part.column("doc_id"), pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in made], pa.int64()),
+                           pa.array([digest(ids) for ids, _ in made]), pa.array([digest(text) for _, text in made])]
+                if with_ids:
+                    columns.append(pa.array([array("H", map(int, ids.split())).tobytes() for ids, _ in made], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return id_and_text(docs, id_column, text_column).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""))

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortline.llm import bpe, chat, decontaminate, exact_dedup, langid, lm, near_dup, packing, sharding
+import corpus_pipeline
+from cohortline.llm import bpe, chat, decontaminate, exact_dedup, extract, langid, lm, near_dup, packing, sharding
 from cohortline.llm.text import documents
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extracted(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op2_packed_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Packed rows as written; the ids by their digest."""
     return packing.written(documents(spark, folder)).withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
@@ -51,6 +56,9 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_packed_token_ids, op3_language_id, op4_exact_dedup, op5_lm_score, op6_minhash_near_dedup, op7_decontaminate, op8_bpe_codec, op9_sharding, op10_chat_format)}
-CHECKS: dict[str, str] = {
-    "op4_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dup.SQL, "op9_sharding": sharding.SQL, "op10_chat_format": chat.SQL}
+    op1_html_text, op2_packed_token_ids, op3_language_id, op4_exact_dedup, op5_lm_score, op6_minhash_near_dedup,
+    op7_decontaminate, op8_bpe_codec, op9_sharding, op10_chat_format)} | {"pipeline": corpus_pipeline.run}
+CHECKS: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dup.SQL,
+                          "op9_sharding": sharding.SQL, "op10_chat_format": chat.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
