@@ -70,7 +70,7 @@ def number_kind(c: Column) -> Column:
 
 def thousands_to_number(c: Column) -> Column:
     """Number written with thousand separators, else NULL."""
-    return to_number(F.regexp_replace(c, ",", ""))
+    return to_number(F.replace(c, F.lit(","), F.lit("")))
 
 
 def coerce_number(c: Column) -> Column:

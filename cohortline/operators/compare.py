@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortline.functions.cleaning import quoted
+from cohortline.sources.files import assert_key
 
 
 def cell_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Cells that differ, as ``(key, column_name, left_value, right_value)`` text.
 
     A key present on one side only differs in every column. Missing equals missing.
+    A missing or repeated key on either side is an error.
     """
+    left, right = assert_key(left, key), assert_key(right, key)
     columns = [c for c in left.columns if c != key]
     a = left.select(quoted(key).alias("key"), F.lit(True).alias("in_left"),
                     *[quoted(c).alias(f"l{i}") for i, c in enumerate(columns)])

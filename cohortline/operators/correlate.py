@@ -11,9 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.functions.cleaning import numeric_columns, quoted
 
-MAX_PAIRS_IN_ONE_AGGREGATE = 300
-
-
 def _gram_blocks(names: Sequence[str], centers: Sequence[float]):
     """Per-batch pairwise-complete sums as matrix products; one (i, j) block per input partition."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,23 +30,6 @@ def _gram_blocks(names: Sequence[str], centers: Sequence[float]):
     return run
 
 
-def _wide_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    centers = df.agg(*[F.avg(quoted(n).cast("double")).alias(f"m{i}") for i, n in enumerate(names)]).first()
-    centers = [0.0 if v is None else v for v in centers]
-    sums = (df.select(*[quoted(n).cast("double").alias(n) for n in names])
-            .mapInPandas(_gram_blocks(list(names), centers),
-                         "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
-            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    label = F.array(*[F.lit(n) for n in names])
-    # rounding can leave a constant column a variance slightly off zero
-    flat = (vx <= F.col("sxx") * 1e-14) | (vy <= F.col("syy") * 1e-14)
-    return sums.select(F.get(label, "i").alias("x"), F.get(label, "j").alias("y"),
-                       F.when(~flat, F.try_divide(cov, F.sqrt(vx * vy))).alias("r"))
-
-
 def pearson(a: Column, b: Column) -> Column:
     """Pearson r over the rows where both are present, missing when either is constant there.
     (The built-in ``corr`` fails on a constant column in ANSI mode.)"""
@@ -60,25 +40,30 @@ def pearson(a: Column, b: Column) -> Column:
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, full: bool = False) -> DataFrame:
     """Pearson r of every column pair over the rows where both are present: ``(x, y, r)``.
 
-    The triangle including the diagonal, or with ``full`` the whole matrix. Up
-    to a few hundred pairs run as one aggregate; wider tables build pairwise sums per
-    partition with matrix products, so the shuffle carries columns squared, not rows.
+    The triangle including the diagonal, or with ``full`` the whole matrix. NaN and
+    infinite values count as missing; r is missing where a column is constant or has no
+    rows. Each partition builds its pairwise sums as matrix products, so the
+    shuffle carries columns squared, not rows. A first pass over the columns gives the
+    means around which the sums stay accurate.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    if len(pairs) > MAX_PAIRS_IN_ONE_AGGREGATE:
-        out = _wide_correlation(df, names)
-    else:
-        # full columns that vary can take the one-pass built-in
-        known = df.agg(F.count("*"), *[f(quoted(n)) for n in names for f in (F.count, F.min, F.max)]).first()
-        facts = {n: known[1 + 3 * i:4 + 3 * i] for i, n in enumerate(names)}
-        plain = {n for n, (count, low, high) in facts.items() if count == known[0] and low != high}
-        wide = df.agg(*[
-            (F.corr if {a, b} <= plain else pearson)(quoted(a).cast("double"), quoted(b).cast("double")).alias(f"r{i}")
-            for i, (a, b) in enumerate(pairs)])
-        out = wide.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)])))
+    numbers = [quoted(n).cast("double") for n in names]
+    centers = df.agg(*[F.avg(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)).alias(f"m{i}")
+                       for i, x in enumerate(numbers)]).first()
+    # columns travel by position: names may be any text
+    sums = (df.select(*[x.alias(f"c{i}") for i, x in enumerate(numbers)])
+            .mapInPandas(_gram_blocks([f"c{i}" for i in range(len(names))], [0.0 if v is None else v for v in centers]),
+                         "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
+    n = F.col("n")
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
+    label = F.array(*[F.lit(c) for c in names])
+    # rounding can leave a constant column a variance slightly off zero
+    flat = (vx <= F.col("sxx") * 1e-14) | (vy <= F.col("syy") * 1e-14)
+    out = sums.select(F.get(label, "i").alias("x"), F.get(label, "j").alias("y"),
+                      F.when(~flat, F.try_divide(cov, F.sqrt(vx * vy))).alias("r"))
     if full:
         mirrored = out.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
         out = out.unionByName(mirrored)

@@ -2,74 +2,151 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from math import factorial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.functions.cleaning import quoted
 from cohortline.functions.features import confusion_flags, half_even, threshold_class
-from cohortline.operators.ranks import unpivot
+from cohortline.operators.ranks import sql_name, unpivot
 
-MAX_EXACT_FEATURES = 12
+MAX_EXACT_FEATURES = 20  # 2**20 coalitions; beyond, permutations must be asked for
 MAX_BACKGROUND_ROWS = 1000
+CELLS_AT_ONCE = 1 << 20
 
 
-def coalition_plan(p: int, permutations: int = 64, seed: int = 42) -> tuple[list[int], np.ndarray]:
-    """Coalitions as bit masks and the weight of each one's value in each feature's attribution.
+def coalition_plan(p: int, permutations: int | None = None, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Coalitions as rows of booleans and the weight of each one's value in each feature's attribution.
 
-    All subsets with Shapley weights up to 12 features; above that the prefixes of seeded
-    permutations. Either way the attributions sum to f(x) - f(background).
+    All subsets with their Shapley weights; with ``permutations``, the prefixes of so
+    many seeded permutations. Either way the attributions sum to f(x) - f(background).
     """
-    if p <= MAX_EXACT_FEATURES:
-        masks = list(range(1 << p))
-        weights = np.zeros((p, len(masks)))
-        for m in masks:
-            size = m.bit_count()
-            for j in range(p):
-                if m >> j & 1:
-                    weights[j, m] = factorial(size - 1) * factorial(p - size) / factorial(p)
-                else:
-                    weights[j, m] = -factorial(size) * factorial(p - size - 1) / factorial(p)
-        return masks, weights
+    if permutations is None:
+        if p > MAX_EXACT_FEATURES:
+            raise ValueError(f"{p} features have too many coalitions: ask for permutations")
+        masks = (np.arange(1 << p)[:, None] >> np.arange(p) & 1).astype(bool)
+        size = masks.sum(axis=1)
+        inside = np.array([0.0] + [factorial(s - 1) * factorial(p - s) / factorial(p) for s in range(1, p + 1)])
+        outside = np.array([-factorial(s) * factorial(p - s - 1) / factorial(p) for s in range(p)] + [0.0])
+        return masks, np.where(masks, inside[size][:, None], outside[size][:, None]).T
     rng = np.random.default_rng(seed)
-    terms: dict[int, np.ndarray] = {}
+    terms: dict[bytes, np.ndarray] = {}
     for _ in range(permutations):
-        mask = 0
+        mask = np.zeros(p, bool)
         for j in rng.permutation(p):
-            grown = mask | 1 << int(j)
-            terms.setdefault(mask, np.zeros(p))[j] -= 1.0 / permutations
-            terms.setdefault(grown, np.zeros(p))[j] += 1.0 / permutations
-            mask = grown
-    masks = sorted(terms)
-    return masks, np.stack([terms[m] for m in masks], axis=1)
+            terms.setdefault(mask.tobytes(), np.zeros(p))[j] -= 1.0 / permutations
+            mask = mask.copy()
+            mask[j] = True
+            terms.setdefault(mask.tobytes(), np.zeros(p))[j] += 1.0 / permutations
+    keys = sorted(terms)
+    return np.array([np.frombuffer(k, bool) for k in keys]), np.stack([terms[k] for k in keys], axis=1)
+
+
+class LinearScore:
+    """The logistic curve over a linear function; missing features take their fill value."""
+
+    def __init__(self, weights: Sequence[float], bias: float, fill: Sequence[float] | None = None):
+        self.weights = np.asarray(weights, np.float64)
+        self.bias = float(bias)
+        self.fill = np.zeros(len(self.weights)) if fill is None else np.asarray(fill, np.float64)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-(np.where(np.isnan(x), self.fill, x) @ self.weights + self.bias)))
+
+    def coalition_values(self, rows: np.ndarray, background: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        """Mean score of each row under each coalition: the row's own part and the background's add up."""
+        own = np.where(np.isnan(rows), self.fill, rows) * self.weights
+        other = np.where(np.isnan(background), self.fill, background) * self.weights
+        step = max(1, CELLS_AT_ONCE // len(background))
+        out = np.empty((len(rows), len(masks)))
+        for at in range(0, len(masks), step):
+            part = masks[at:at + step]
+            rest = ~part @ other.T + self.bias
+            for i, mine in enumerate(own @ part.T):
+                out[i, at:at + step] = (1.0 / (1.0 + np.exp(-(rest + mine[:, None])))).mean(axis=1)
+        return out
+
+
+def coalition_values(score: Callable[[np.ndarray], np.ndarray], rows: np.ndarray, background: np.ndarray, masks: np.ndarray
+                     ) -> np.ndarray:
+    """Mean score of each row under each coalition, for any score over feature arrays."""
+    step = max(1, CELLS_AT_ONCE // background.size)
+    out = np.empty((len(rows), len(masks)))
+    for i, x in enumerate(rows):
+        for at in range(0, len(masks), step):
+            mixed = np.where(masks[at:at + step, None, :], x, background)
+            out[i, at:at + step] = score(mixed.reshape(-1, mixed.shape[-1])).reshape(-1, len(background)).mean(axis=1)
+    return out
+
+
+def background_rows(background: DataFrame | Sequence[Sequence], features: Sequence[str]) -> np.ndarray:
+    if isinstance(background, DataFrame):
+        background = background.select(*[quoted(c).cast("double") for c in features]).limit(MAX_BACKGROUND_ROWS + 1).collect()
+    if not background or len(background) > MAX_BACKGROUND_ROWS:
+        raise ValueError(f"the background must have 1 to {MAX_BACKGROUND_ROWS} rows")
+    return np.array([[np.nan if v is None else v for v in r] for r in background], np.float64)
 
 
-def kernel_shap(df: DataFrame, id_col: str, features: Sequence[str], background: DataFrame,
-                score: Callable[[DataFrame], DataFrame], permutations: int = 64, seed: int = 42) -> DataFrame:
-    """Shapley attributions of a score, in long form ``(id, feature, phi)``.
+def shapley(df: DataFrame, id_col: str, features: Sequence[str], background: DataFrame | Sequence[Sequence],
+            score: Callable[[np.ndarray], np.ndarray], permutations: int | None = None, seed: int = 42) -> DataFrame:
+    """Shapley attributions of a score over feature arrays, in long form ``(id, feature, phi)``.
+
+    Rows are explained in the batches they arrive in: coalitions are evaluated in
+    arrays of bounded size, no row is multiplied and nothing is shuffled. Exact
+    for all coalitions unless ``permutations`` are asked for.
+    """
+    features = list(features)
+    other = background_rows(background, features)
+    masks, weights = coalition_plan(len(features), permutations, seed)
+    id_type = df.select(quoted(id_col)).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.iloc[at:at + 64]
+                rows = part[names].to_numpy(dtype="float64")
+                if hasattr(score, "coalition_values"):
+                    values = score.coalition_values(rows, other, masks)
+                else:
+                    values = coalition_values(score, rows, other, masks)
+                phi = values @ weights.T
+                yield pd.DataFrame({id_col: np.repeat(part[id_col].to_numpy(), len(features)),
+                                    "feature": np.tile(np.array(features, object), len(part)), "phi": phi.ravel()})
+
+    names = [f"__f{i}" for i in range(len(features))]
+    wide = df.select(quoted(id_col), *[quoted(c).cast("double").alias(n) for c, n in zip(features, names)])
+    return wide.mapInPandas(run, f"{sql_name(id_col)} {id_type}, feature string, phi double")
+
+
+def kernel_shap(df: DataFrame, id_col: str, features: Sequence[str], background: DataFrame | Sequence[Sequence],
+                score: Callable[[DataFrame], DataFrame], permutations: int | None = None, seed: int = 42) -> DataFrame:
+    """Shapley attributions of a score that needs a DataFrame, in long form ``(id, feature, phi)``.
 
     ``score`` adds a column ``p`` to a frame with the feature columns: any model
     or expression. Each row is expanded over coalitions and background rows where
     it lies; the weighted sums combine there too, so one row per id is shuffled.
-    Cost per row is coalitions x background rows.
+    Cost per row is coalitions x background rows: :func:`shapley` is the better way
+    for a score that is a function of arrays, ``permutations`` for many features.
     """
     features = list(features)
-    rows = background.select(*[quoted(c).cast("double") for c in features]).limit(MAX_BACKGROUND_ROWS + 1).collect()
-    if not rows or len(rows) > MAX_BACKGROUND_ROWS:
-        raise ValueError(f"the background must have 1 to {MAX_BACKGROUND_ROWS} rows")
+    if len(features) > 62:
+        raise ValueError("a coalition of more than 62 features does not fit a mask")
+    other = background_rows(background, features)
     masks, weights = coalition_plan(len(features), permutations, seed)
-    b = len(rows)
-    mask_of = F.array(*[F.lit(m) for m in masks])
+    codes = [int(sum(1 << int(j) for j in np.flatnonzero(m))) for m in masks]
+    b = len(other)
+    mask_of = F.array(*[F.lit(m).cast("bigint") for m in codes])
     wide = df.select(quoted(id_col), *[quoted(c).cast("double").alias(c) for c in features]).withColumn(
         "__k", F.explode(F.sequence(F.lit(0), F.lit(len(masks) * b - 1))))
     wide = (wide.withColumn("__m", F.floor(F.col("__k") / b).cast("int"))
             .withColumn("__b", F.pmod(F.col("__k"), F.lit(b)).cast("int"))
             .withColumn("__mask", F.get(mask_of, F.col("__m"))))
     mixed = wide.select(quoted(id_col), "__m", *[
-        F.when(F.col("__mask").bitwiseAND(F.lit(1 << j)) != 0, quoted(c))
-        .otherwise(F.get(F.array(*[F.lit(float(r[j])) for r in rows]), F.col("__b"))).alias(c)
+        F.when(F.col("__mask").bitwiseAND(F.lit(1 << j).cast("bigint")) != 0, quoted(c))
+        .otherwise(F.get(F.array(*[F.lit(None if np.isnan(r[j]) else float(r[j])).cast("double") for r in other]), F.col("__b"))).alias(c)
         for j, c in enumerate(features)])
     scored = score(mixed)
     sums = scored.groupBy(quoted(id_col)).agg(*[

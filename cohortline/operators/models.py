@@ -7,14 +7,15 @@ from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
-from itertools import product
+from itertools import combinations_with_replacement, product
+from math import factorial
 
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortline.functions.cleaning import numeric_columns, quoted
 from cohortline.functions.features import threshold_class
 from cohortline.operators.evaluate import ranking_metrics, tuned_thresholds
+from cohortline.operators.explain import LinearScore
 from cohortline.operators.prep import (
     NumericPrepModel, apply_label_codes, fit_label_codes, fit_numeric_state, standardized)
 from cohortline.operators.ranks import sql_name
-from cohortline.operators.resample import random_oversample, smote, stratified_folds, with_class_weight
+from cohortline.operators.resample import background_sample, random_oversample, smote, stratified_folds, with_class_weight
 from cohortline.session import fresh_path, materialize, small_table
 
 SEED = 222
@@ -41,8 +43,7 @@ GRIDS: dict[str, dict[str, list]] = {
         "gamma": [0.001, 0.01, 0.05, 0.1, 0.2, 0.5, "scale", "auto"],
     },
 }
-ROWS_PER_PARTITION = 20_000
-SMALL_TRAINING_SET = 1_000_000
+BACKGROUND_ROWS = 100  # kept with a tuned model, as what attributions compare with
 PREPARED = "__prepared"  # suffix of scaled and imputed copies; the raw columns stay beside them
 MAX_TREE_DEPTH = 30  # the deepest tree Spark grows; stands for "no limit"
 
@@ -60,9 +61,16 @@ class Spec:
 
 
 def grid_specs(family: str, grid: Mapping[str, Sequence] | None = None, sampler: str | None = None) -> list[Spec]:
-    """All combinations of a grid."""
+    """All combinations of a grid, each once. A linear kernel has no gamma."""
     grid = grid or GRIDS[family]
-    return [Spec(family, dict(zip(grid, values)), sampler) for values in product(*grid.values())]
+    specs: dict[str, Spec] = {}
+    for values in product(*grid.values()):
+        params = dict(zip(grid, values))
+        if params.get("kernel") == "linear":
+            params.pop("gamma", None)
+        spec = Spec(family, params, sampler)
+        specs.setdefault(spec.label(), spec)
+    return list(specs.values())
 
 
 class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -105,6 +113,53 @@ class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable)
                                   array_to_vector(project(vector_to_array(self.getOrDefault("inputCol")))))
 
 
+class PolynomialFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Monomials whose inner products are the polynomial kernel (gamma x.y + coef0)^degree.
+
+    Each monomial of the scaled inputs carries the square root of its multinomial
+    coefficient; a constant input of sqrt(coef0) adds the lower degrees.
+    """
+
+    inputCol = Param(Params._dummy(), "inputCol", "vector column", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "vector column", TypeConverters.toString)
+    gamma = Param(Params._dummy(), "gamma", "scale of the inner product", TypeConverters.toFloat)
+    coef0 = Param(Params._dummy(), "coef0", "constant of the kernel", TypeConverters.toFloat)
+    degree = Param(Params._dummy(), "degree", "degree", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol: str = "features", outputCol: str = "mapped", gamma: float = 1.0, coef0: float = 0.0,
+                 degree: int = 3):
+        super().__init__()
+        self._setDefault(inputCol="features", outputCol="mapped", gamma=1.0, coef0=0.0, degree=3)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        gamma, coef0, degree = (self.getOrDefault(p) for p in ("gamma", "coef0", "degree"))
+
+        @F.pandas_udf("array<double>")
+        def expand(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            return pd.Series(list(monomials(np.vstack(x.to_numpy()), gamma, coef0, degree)))
+
+        return dataset.withColumn(self.getOrDefault("outputCol"),
+                                  array_to_vector(expand(vector_to_array(self.getOrDefault("inputCol")))))
+
+
+def monomials(x: np.ndarray, gamma: float, coef0: float, degree: int) -> np.ndarray:
+    """Feature map of the polynomial kernel, one row per row of ``x``."""
+    x = x * np.sqrt(gamma)
+    if coef0 > 0:
+        x = np.column_stack([x, np.full(len(x), np.sqrt(coef0))])
+    out = []
+    for chosen in combinations_with_replacement(range(x.shape[1]), degree):
+        ways = factorial(degree)
+        for j in set(chosen):
+            ways //= factorial(chosen.count(j))
+        out.append(np.sqrt(ways) * x[:, list(chosen)].prod(axis=1))
+    return np.stack(out, axis=1)
+
+
 def kernel_gamma(df: DataFrame, features: Sequence[str], gamma: float | str) -> float:
     """``"auto"`` is 1 / features, ``"scale"`` is 1 / (features * variance over all cells)."""
     if gamma == "auto":
@@ -143,7 +198,8 @@ def _stages(spec: Spec, df: DataFrame, features: Sequence[str], label: str, weig
             "linear": [],
             "rbf": [FourierFeatures(inputCol="features", outputCol="mapped", gamma=gamma,
                                     size=int(p.get("size", 128)))],
-            "poly": [PolynomialExpansion(inputCol="features", outputCol="mapped", degree=int(p.get("degree", 3)))],
+            "poly": [PolynomialFeatures(inputCol="features", outputCol="mapped", gamma=gamma, coef0=float(p.get("coef0", 0.0)),
+                                        degree=int(p.get("degree", 3)))],
         }
         if kernel not in mapped:
             raise ValueError(f"kernel {kernel!r} has no Spark counterpart")
@@ -154,9 +210,15 @@ def _stages(spec: Spec, df: DataFrame, features: Sequence[str], label: str, weig
     raise ValueError(f"unknown model family {spec.family!r}")
 
 
-def right_sized(df: DataFrame, rows: int) -> DataFrame:
-    """Fewer partitions for small training sets: every iteration of a learner is one task per partition."""
-    return df.coalesce(max(1, rows // ROWS_PER_PARTITION)) if rows < SMALL_TRAINING_SET else df
+def evenly_dealt(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows dealt by their content and sorted, into ``partitions`` (the session's number of shuffle partitions).
+
+    Learners that draw rows per partition then grow the same model from the same
+    rows, however these came and however many they are.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [quoted(c) for c in df.columns]
+    return df.repartition(n, F.xxhash64(*columns)).sortWithinPartitions(*columns)
 
 
 @contextmanager
@@ -186,6 +248,7 @@ class Classifier:
     stages: PipelineModel
     platt: tuple[float, float] | None = None
     threshold: float = 0.5
+    background: list[list[float | None]] | None = None  # feature rows that attributions compare with
 
     def with_margin(self, df: DataFrame, name: str = "margin") -> DataFrame:
         """Adds the decision value (or the probability, for families that only have one)."""
@@ -213,10 +276,30 @@ class Classifier:
             added.append(vector_to_array("probability")[1].alias(p))
         return self.stages.transform(df).select(*[sql_name(c) for c in df.columns], *added)
 
+    def linear_score(self) -> LinearScore:
+        """The probability as a function of feature arrays, for families that are linear in the features."""
+        last = self.stages.stages[-1]
+        if self.spec.family not in ("lr", "svm") or self.spec.params.get("kernel", "linear") != "linear":
+            raise ValueError(f"{self.spec.label()} is not linear in its features")
+        if self.spec.family == "svm" and not self.platt:
+            raise ValueError("the model has no calibration")
+        state = {r["column_name"]: r for r in json.loads(self.stages.stages[0].getOrDefault("state"))}
+        low, span, fill = [], [], []
+        for c in self.features:
+            r = state[c]
+            width = (r["high"] - r["low"]) or 1.0 if r["low"] is not None else np.inf
+            low.append(r["low"] or 0.0)
+            span.append(width)
+            fill.append(r["mean"] if r["mean"] is not None else 0.0)
+        weights = np.asarray(last.coefficients) / np.asarray(span)
+        a, b = self.platt or (1.0, 0.0)
+        bias = float(last.intercept) - float(weights @ np.asarray(low))
+        return LinearScore(a * weights, a * bias + b, np.asarray(fill))
+
     def save(self, path: str) -> str:
         self.stages.write().overwrite().save(f"{path}/stages")
         meta = {"family": self.spec.family, "params": dict(self.spec.params), "sampler": self.spec.sampler,
-                "features": self.features, "platt": self.platt, "threshold": self.threshold}
+                "features": self.features, "platt": self.platt, "threshold": self.threshold, "background": self.background}
         spark = SparkSession.active()
         small_table(spark, [(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(
             f"{path}/meta")
@@ -227,7 +310,7 @@ class Classifier:
         meta = json.loads(SparkSession.active().read.schema("meta string").parquet(f"{path}/meta").first()["meta"])
         return Classifier(Spec(meta["family"], meta["params"], meta["sampler"]), meta["features"],
                           PipelineModel.load(f"{path}/stages"),
-                          tuple(meta["platt"]) if meta["platt"] else None, meta["threshold"])
+                          tuple(meta["platt"]) if meta["platt"] else None, meta["threshold"], meta.get("background"))
 
 
 @dataclass
@@ -291,8 +374,8 @@ def prepare(df: DataFrame, id_col: str, label: str, features: Sequence[str], sam
         sizes = dict.fromkeys(sizes, max(sizes.values()))
     rows, n = with_class_weight(ready, label, sizes=sizes)
     prep = NumericPrepModel.from_state(features, state, suffix=PREPARED)
-    return TrainingSet(prep, right_sized(rows.selectExpr(sql_name(label), "weight", *[
-        f"{sql_name(c)} as {sql_name(c + PREPARED)}" for c in features]), n), n, features, label)
+    return TrainingSet(prep, evenly_dealt(rows.selectExpr(sql_name(label), "weight", *[
+        f"{sql_name(c)} as {sql_name(c + PREPARED)}" for c in features])), n, features, label)
 
 
 def fit_prepared(data: TrainingSet, spec: Spec) -> Classifier:
@@ -336,8 +419,8 @@ def out_of_fold(df: DataFrame, id_col: str, label: str, features: Sequence[str],
 
     samplers = list(dict.fromkeys(s.sampler for s in specs.values()))
     most = max(sum(s.sampler == sampler for s in specs.values()) for sampler in samplers)
-    # candidates of a fold share its cached rows; folds overlap only while the table is small
-    at_once = max(1, parallel // most) if sum(r["n"] for r in stats) < SMALL_TRAINING_SET else 1
+    # candidates of a fold share its cached rows; ``parallel`` bounds what is fitted at once over all folds
+    at_once = max(1, parallel // most)
 
     def one(job: tuple[int, str | None]) -> dict[tuple[int, str], Classifier]:
         k, sampler = job
@@ -396,17 +479,18 @@ def tune(df: DataFrame, id_col: str, label: str, features: Sequence[str], specs:
     """Grid search, refit of the best candidate on all rows, threshold from out-of-fold F-beta.
 
     Returns the model, the report and the out-of-fold probabilities of the best candidate
-    ``(id, label, fold, p)``. The out-of-fold margins also calibrate a support vector model.
+    ``(id, label, fold, p)``. The out-of-fold decision values calibrate the model, whatever its
+    family, and a hashed sample of the rows stays with it as the background of attributions.
     """
     report, scores = grid_search(df, id_col, label, features, specs, folds, seed)
     report = materialize(report, "grid")
     best = report.orderBy(F.desc("mean_score"), "candidate").first()["candidate"]
     spec = specs[int(best[1:])]
     model = fit(df, id_col, label, features, spec, platt_folds=0)
-    p = quoted(best)
-    if spec.family == "svm":
-        a, b = model.platt = fit_platt(scores, best, label)
-        p = 1.0 / (1.0 + F.exp(-(F.lit(a) * p + F.lit(b))))
+    a, b = model.platt = fit_platt(scores, best, label)
+    p = 1.0 / (1.0 + F.exp(-(F.lit(a) * quoted(best) + F.lit(b))))
+    sample = background_sample(df, id_col, BACKGROUND_ROWS).select(*[quoted(c).cast("double") for c in features])
+    model.background = [list(r) for r in sample.collect()]
     oof = scores.select(quoted(id_col), quoted(label), "fold", p.alias("p"))
     model.threshold = float(tuned_thresholds(oof, {"best": (label, "p")}, "fold", [beta]).first()["threshold"])
     return model, report, oof
@@ -432,7 +516,7 @@ def decision_surface(df: DataFrame, id_col: str, label: str, pair: Sequence[str]
                (state[c]["high"] - state[c]["mean"]) / (state[c]["sd"] or 1.0) + 1.0) for c in pair]
     rows = ready.withColumn("weight", F.lit(1.0))
     n = rows.count()
-    model = Pipeline(stages=_stages(spec, rows, list(pair), label, float(n))).fit(right_sized(rows, n))
+    model = Pipeline(stages=_stages(spec, rows, list(pair), label, float(n))).fit(evenly_dealt(rows.drop(id_col)))
     i, j = F.floor(F.col("id") / points).cast("int"), F.pmod(F.col("id"), F.lit(points)).cast("int")
     (x0, x1), (y0, y1) = bounds
     grid = (df.sparkSession.range(points * points).select(i.alias("i"), j.alias("j"))

@@ -6,13 +6,18 @@ import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortline.session import small_table
 
 RUNS_SCHEMA = "experiment string, run_id string, run_name string, start_time timestamp"
-METRICS_SCHEMA = "run_id string, metric string, value double"
-PARAMS_SCHEMA = "run_id string, param string, value string"
+METRICS_SCHEMA = "run_id string, metric string, value double, step bigint, logged_at timestamp"
+PARAMS_SCHEMA = "run_id string, param string, value string, logged_at timestamp"
+
+
+def _now() -> datetime:
+    return datetime.now(timezone.utc)
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -36,7 +41,7 @@ def start_or_resume(spark: SparkSession, path: str, experiment: str, run_name: s
     if found is not None:
         return found
     run_id = uuid.uuid4().hex
-    row = [(experiment, run_id, run_name, datetime.now(timezone.utc).replace(tzinfo=None))]
+    row = [(experiment, run_id, run_name, _now())]
     small_table(spark, row, RUNS_SCHEMA).write.mode("append").parquet(f"{path}/runs")
     return run_id
 
@@ -44,22 +49,44 @@ def start_or_resume(spark: SparkSession, path: str, experiment: str, run_name: s
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One registry table; empty before its first write."""
     schema = {"runs": RUNS_SCHEMA, "run_metrics": METRICS_SCHEMA, "run_params": PARAMS_SCHEMA}[name]
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{name}")
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return small_table(spark, [], schema)
+
+
+def latest_values(logged: DataFrame, name: str) -> DataFrame:
+    """The value logged last for every run and ``name`` (``metric`` or ``param``): latest time, then step, then value."""
+    order = F.struct("logged_at", *(["step"] if "step" in logged.columns else []), "value")
+    return logged.groupBy("run_id", name).agg(F.max_by("value", order).alias("value"))
+
 
+def metric_rows(values: DataFrame, at: datetime | Column, step: int | Column = 0) -> DataFrame:
+    """``(run_id, metric, value)`` with the time and step they are logged at."""
+    def column(x):
+        return x if isinstance(x, Column) else F.lit(x)
 
-def log_metrics(spark: SparkSession, path: str, run_id: str, metrics: Mapping[str, float] | None) -> int:
-    """Append one row per metric as a double; nothing is written for no metrics."""
+    return values.select("run_id", "metric", F.col("value").cast("double").alias("value"), column(step).cast("bigint").alias("step"),
+                         column(at).cast("timestamp").alias("logged_at"))
+
+
+def append_metrics(values: DataFrame, path: str, at: datetime | Column, step: int | Column = 0) -> None:
+    """Append many metrics at once, from a table ``(run_id, metric, value)``."""
+    metric_rows(values, at, step).write.mode("append").parquet(f"{path}/run_metrics")
+
+
+def log_metrics(spark: SparkSession, path: str, run_id: str, metrics: Mapping[str, float] | None, step: int = 0) -> int:
+    """Append one row per metric as a double, with time and step; nothing is written for no metrics."""
     rows = [(run_id, k, float(v)) for k, v in (metrics or {}).items()]
     if rows:
-        small_table(spark, rows, METRICS_SCHEMA).write.mode("append").parquet(f"{path}/run_metrics")
+        append_metrics(small_table(spark, rows, "run_id string, metric string, value double"), path, _now(), step)
     return len(rows)
 
 
 def log_params(spark: SparkSession, path: str, run_id: str, params: Mapping[str, object] | None) -> int:
-    rows = [(run_id, k, str(v)) for k, v in (params or {}).items()]
+    rows = [(run_id, k, str(v), _now()) for k, v in (params or {}).items()]
     if rows:
         small_table(spark, rows, PARAMS_SCHEMA).write.mode("append").parquet(f"{path}/run_params")
     return len(rows)
@@ -74,8 +101,11 @@ def rank_key(mode: str):
 
 
 def best_run_table(runs: DataFrame, metrics: DataFrame, experiment: str, metric: str, mode: str = "max") -> DataFrame:
-    """The best run of an experiment as a one-row table with its estimator (run name up to the first ``_``)."""
-    wanted = metrics.filter(F.col("metric") == metric).select("run_id", "value")
+    """The best run of an experiment as a one-row table with its estimator (run name up to the first ``_``).
+
+    A run that was logged again counts with its latest value.
+    """
+    wanted = latest_values(metrics.filter(F.col("metric") == metric), "metric").select("run_id", "value")
     return (runs.filter(F.col("experiment") == experiment).join(wanted, "run_id", "left")
             .orderBy(*rank_key(mode)).limit(1)
             .select("experiment", "run_id", "run_name", F.split("run_name", "_")[0].alias("estimator"), "value"))

@@ -202,9 +202,9 @@ def _(t):
 @query("wide_correlations", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, "
        "generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) "
        f"SELECT concat('e', a.i) AS x, concat('e', b.i) AS y, {r('corr(a.x, b.x)')} AS r "
-       "FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i WHERE a.i < 40 AND b.i < 40 GROUP BY a.i, b.i")
+       "FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i")
 def _(t):
-    d = t.embeddings.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(40)])
+    d = t.embeddings.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
     return rounded(correlate.correlations(d), "r")
 
 

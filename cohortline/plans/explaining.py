@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import functions as F
 
 from cohortline.operators import columns as co, explain as ex, models as mo
@@ -105,7 +107,36 @@ def _phi(t):
     return ex.kernel_shap(d, "vec_id", SOME, background_sample(d, "vec_id", 100), linear_score)
 
 
-@query("attributions", f"{_PHI} SELECT vec_id, feature, {r('phi')} AS phi FROM phi")
+ALL = [f"d{i}" for i in range(13)]
+MANY_WEIGHTS = (3.0, -2.0, 1.5, 0.5, -1.0, 2.5, -0.5, 1.0, 0.25, -1.5, 2.0, -3.0, 0.75)
+
+
+def _thirteen_sql() -> str:
+    """All 8192 coalitions of 13 features: the row's and the background's share of the margin add up per coalition."""
+    p, fact = len(ALL), [factorial(k) for k in range(14)]
+    frame = "ml13 AS (SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {d}" for i, d in enumerate(ALL)) + " FROM embeddings)"
+    inside = " + ".join(f"{w}e0 * {c} * ((m >> {j}) & 1)" for j, (c, w) in enumerate(zip(ALL, MANY_WEIGHTS)))
+    outside = " + ".join(f"{w}e0 * {c} * (1 - ((m >> {j}) & 1))" for j, (c, w) in enumerate(zip(ALL, MANY_WEIGHTS)))
+    win = ", ".join(f"{fact[s - 1] * fact[p - s]}e0 / {fact[p]}" for s in range(1, p + 1))
+    lose = ", ".join(f"-{fact[s] * fact[p - s - 1]}e0 / {fact[p]}" for s in range(p))
+    phis = ", ".join(f"sum(v * CASE WHEN (m >> {j}) & 1 = 1 THEN [{win}][bit_count(m)] ELSE [{lose}][bit_count(m) + 1] END) AS {c}"
+                     for j, c in enumerate(ALL))
+    return f"""WITH {frame}, g AS (SELECT m::INT AS m FROM generate_series(0, {(1 << p) - 1}) s(m)),
+b AS (SELECT * FROM ml13 ORDER BY md5(concat_ws(':', vec_id, '42')), vec_id LIMIT 100),
+x AS (SELECT vec_id, m, {inside} AS z FROM ml13 CROSS JOIN g), o AS (SELECT m, {outside} - 0.5e0 AS z FROM b CROSS JOIN g),
+val AS (SELECT x.vec_id, m, avg(1 / (1 + exp(-(x.z + o.z)))) AS v FROM x JOIN o USING (m) GROUP BY ALL),
+wide AS (SELECT vec_id, {phis} FROM val GROUP BY 1)
+""" + " UNION ALL ".join(f"SELECT vec_id, '{c}' AS feature, {r(c)} AS phi FROM wide" for c in ALL)
+
+
+@query("attributions", _thirteen_sql())
+def _(t):
+    d = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(ALL)])
+    score = ex.LinearScore(MANY_WEIGHTS, -0.5)
+    return rounded(ex.shapley(d, "vec_id", ALL, background_sample(d, "vec_id", 100), score), "phi")
+
+
+@query("attributions_of_expression", f"{_PHI} SELECT vec_id, feature, {r('phi')} AS phi FROM phi")
 def _(t):
     return rounded(_phi(t), "phi")
 
@@ -158,4 +189,4 @@ def _(t):
 def _(t):
     d = v.ml(t).select("vec_id", "y", *SOME)
     model = mo.fit(d, "vec_id", "y", SOME, mo.Spec("lr", {"C": 1.0}))
-    return rounded(modeling.explain_rows(d, "vec_id", model, 3, 20, "y"), "y_pred_proba")
+    return rounded(modeling.explain_rows(d, "vec_id", model, 3, 100, "y"), "y_pred_proba")

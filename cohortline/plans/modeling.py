@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortline.operators import explain, registry
 from cohortline.operators.evaluate import METRIC_NAMES, headline_metrics
-from cohortline.operators.models import Classifier, grid_specs, tune
-from cohortline.operators.resample import background_sample
+from cohortline.operators.models import Classifier, grid_specs, out_of_fold, tune
+from cohortline.operators.resample import background_sample, choose_split
 from cohortline.session import small_table
 
 SAMPLERS: dict[str, str | None] = {"orig": None, "smote": "smote", "over": "over"}
@@ -40,6 +40,20 @@ def train_and_register(df: DataFrame, id_col: str, label: str, features: Sequenc
     return small_table(spark, rows, "run_name string, metric string, value double")
 
 
+def evaluate_registered(df: DataFrame, id_col: str, label: str, registry_path: str, run_id: str, folds: int = 10) -> DataFrame:
+    """Recompute a registered model's K-fold metrics over ``df`` and log them to its run: ``(run_id, metric, value)``."""
+    spark = df.sparkSession
+    model = Classifier.load(f"{registry_path}/models/{run_id}")
+    oof = out_of_fold(df, id_col, label, model.features, {"m": model.spec}, folds, calibrated=False)
+    if model.platt:
+        a, b = model.platt
+        oof = oof.withColumn("m", 1.0 / (1.0 + F.exp(-(F.lit(a) * F.col("m") + F.lit(b)))))
+    found = headline_metrics(oof, {model.spec.family: (label, "m")}, model.threshold).first()
+    metrics = {f"K-Fold {title}": found[c] for c, title in METRIC_NAMES.items()}
+    registry.log_metrics(spark, registry_path, run_id, metrics)
+    return small_table(spark, [(run_id, k, float(v)) for k, v in metrics.items()], "run_id string, metric string, value double")
+
+
 def load_best(spark: SparkSession, registry_path: str, label: str, metric: str = "K-Fold Average Precision",
               mode: str = "max") -> Classifier:
     """The best registered model of an outcome."""
@@ -57,13 +71,25 @@ def predict_rows(df: DataFrame, id_col: str, model: Classifier) -> DataFrame:
 
 
 def explain_rows(df: DataFrame, id_col: str, model: Classifier, top: int = 3, background_rows: int = 100,
-                 label: str | None = None, with_values: bool = True, scores: DataFrame | None = None) -> DataFrame:
+                 label: str | None = None, with_values: bool = True, scores: DataFrame | None = None,
+                 permutations: int | None = None, split: str | None = None, shares: Mapping[str, float] | None = None
+                 ) -> DataFrame:
     """Explanation table of every row. Rows and background pass through the same fitted preparation.
 
-    ``scores`` may bring out-of-fold probabilities ``(id[, label], p)``; otherwise the model scores the rows.
+    The background is the one stored with the model, so a row's attribution does not
+    depend on its batch; a model without one takes ``background_rows`` of the batch.
+    ``scores`` may bring out-of-fold probabilities ``(id[, label], p)``; otherwise the model
+    scores the rows. ``split`` explains one named part of a stratified split by ``shares``.
+    Attributions are exact unless ``permutations`` are asked for.
     """
-    background = background_sample(df, id_col, background_rows)
-    long = explain.kernel_shap(df, id_col, model.features, background, lambda d: model.score(d, "p"))
+    if split is not None:
+        df = choose_split(df, id_col, label, split, shares or {"train": 0.8, "test": 0.2})
+    background = model.background or background_sample(df, id_col, background_rows)
+    linear = model.spec.family in ("lr", "svm") and model.spec.params.get("kernel", "linear") == "linear"
+    if linear:
+        long = explain.shapley(df, id_col, model.features, background, model.linear_score(), permutations)
+    else:
+        long = explain.kernel_shap(df, id_col, model.features, background, lambda d: model.score(d, "p"), permutations)
     wide = explain.attribution_wide(long, id_col, model.features)
     if scores is None:
         scores = model.score(df, "p").select(id_col, *([label] if label else []), F.col("p"))

@@ -180,18 +180,22 @@ def _(t):
     return registry.latest_runs(v.runs(t))
 
 
-@query("logged_metrics", f"""WITH {v.RUNS} SELECT run_id, 'score' AS metric, value FROM runs
-UNION ALL SELECT run_id, 'double score', 2 * value FROM runs""")
+@query("logged_metrics", f"""WITH {v.RUNS}, n AS (SELECT count(*)::DOUBLE AS n, min(value) AS low FROM runs)
+SELECT run_id, 'score' AS metric, value, 0::BIGINT AS step FROM runs
+UNION ALL SELECT run_id, 'double score', 2 * value, 1 FROM runs
+UNION ALL SELECT 'all', 'runs', n, 2 FROM n UNION ALL SELECT 'all', 'low', low, 2 FROM n""")
 def _(t):
-    path = fresh_path(t.spark, "registry") + "/run_metrics"
+    path = fresh_path(t.spark, "registry")
     d = v.runs(t)
-    d.select("run_id", F.lit("score").alias("metric"), "value").write.mode("append").parquet(path)
-    d.select("run_id", F.lit("double score").alias("metric"), (2 * F.col("value")).alias("value")).write.mode(
-        "append").parquet(path)
-    return registry.read_table(t.spark, path.rsplit("/", 1)[0], "run_metrics")
+    registry.append_metrics(d.select("run_id", F.lit("score").alias("metric"), "value"), path, F.current_timestamp())
+    registry.append_metrics(d.select("run_id", F.lit("double score").alias("metric"), (2 * F.col("value")).alias("value")),
+                            path, F.current_timestamp(), 1)
+    total = d.agg(F.count(F.lit(1)).alias("runs"), F.min("value").alias("low")).first()
+    registry.log_metrics(t.spark, path, "all", total.asDict(), 2)
+    return registry.read_table(t.spark, path, "run_metrics").drop("logged_at")
 
 
-@query("best_runs", f"""WITH {v.RUNS}, hi AS (SELECT 'max' AS mode, * FROM runs WHERE experiment = 'click'
+@query("best_runs", f"""WITH {v.RERUNS}, hi AS (SELECT 'max' AS mode, * FROM runs WHERE experiment = 'click'
   ORDER BY value DESC NULLS LAST, start_time DESC, run_id DESC LIMIT 1), lo AS (
   SELECT 'min' AS mode, * FROM runs WHERE experiment = 'click'
   ORDER BY value ASC NULLS LAST, start_time DESC, run_id DESC LIMIT 1)
@@ -199,7 +203,12 @@ SELECT mode, experiment, run_id, run_name, split_part(run_name, '_', 1) AS estim
 FROM (SELECT * FROM hi UNION ALL SELECT * FROM lo)""")
 def _(t):
     d = v.runs(t)
-    metrics = d.select("run_id", F.lit("score").alias("metric"), "value")
+    # half of the runs are logged again an hour later, with another value
+    first = registry.metric_rows(d.select("run_id", F.lit("score").alias("metric"), "value", "start_time"), F.col("start_time"))
+    again = registry.metric_rows(d.filter(F.col("run_id").cast("bigint") % 2 == 0).select(
+        "run_id", F.lit("score").alias("metric"), (100 - F.col("value")).alias("value"), "start_time"),
+        F.col("start_time") + F.expr("interval 1 hour"), 1)
+    metrics = first.unionByName(again)
     out = None
     for mode in ("max", "min"):
         one = registry.best_run_table(d.drop("value"), metrics, "click", "score", mode).select(

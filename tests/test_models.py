@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from cohortline.operators import evaluate as ev, explain as ex, models as mo, prep as pr
+from cohortline.operators import evaluate as ev, explain as ex, models as mo, prep as pr, registry
 from cohortline.plans import modeling
 from cohortline.session import fresh_path
 
@@ -174,6 +174,9 @@ def test_train_register_pick_predict_explain(spark, data):
     grids = {"lr": {"C": [1e-4, 1.0]}, "rf": {"n_estimators": [10], "max_depth": [3], "min_samples_split": [2]}}
     logged = modeling.train_and_register(d, "id", "y", COLS, path, ["lr", "rf"], ["orig", "over"], grids, folds=3)
     assert logged.count() == 4 * 6
+    run = registry.read_table(spark, path, "runs").filter("run_name = 'rf_orig_training'").first()["run_id"]
+    assert mo.Classifier.load(f"{path}/models/{run}").platt is not None
+    assert modeling.evaluate_registered(d, "id", "y", path, run, folds=3).count() == 6
     model = modeling.load_best(spark, path, "y", "K-Fold AUC ROC")
     out = modeling.predict_rows(d, "id", model)
     assert out.columns == ["id", "predictions", "predicted_probas"]
@@ -229,6 +232,80 @@ def test_attributions_sum_to_the_gap_from_the_background(spark, p):
     long = ex.kernel_shap(d, "id", cols, d.filter("id < 5"), score, permutations=8).toPandas()
     f = 1 / (1 + np.exp(-(0.2 + x @ weights)))
     np.testing.assert_allclose(long.groupby("id").phi.sum().sort_index(), f - f[:5].mean(), atol=1e-9)
+    exact = ex.shapley(d, "id", cols, d.filter("id < 5"), ex.LinearScore(weights, 0.2)).toPandas()
+    np.testing.assert_allclose(exact.groupby("id").phi.sum().sort_index(), f - f[:5].mean(), atol=1e-9)
+
+
+def test_exact_attributions_of_an_interacting_score():
+    """Against the definition: the mean over all orders of what a feature adds."""
+    from itertools import permutations
+
+    rng = np.random.default_rng(1)
+    rows, other = rng.normal(size=(3, 4)), rng.normal(size=(5, 4))
+
+    def score(x):
+        return x[:, 0] * x[:, 1] + np.tanh(x[:, 2] * x[:, 3]) - x[:, 0]
+
+    masks, weights = ex.coalition_plan(4)
+    got = ex.coalition_values(score, rows, other, masks) @ weights.T
+    for x, phi in zip(rows, got):
+        want, orders = np.zeros(4), list(permutations(range(4)))
+        for order in orders:
+            mask = np.zeros(4, bool)
+            for j in order:
+                before = score(np.where(mask, x, other)).mean()
+                mask[j] = True
+                want[j] += (score(np.where(mask, x, other)).mean() - before) / len(orders)
+        np.testing.assert_allclose(phi, want, atol=1e-12)
+
+
+def test_too_many_features_need_permutations(spark):
+    with pytest.raises(ValueError):
+        ex.coalition_plan(21)
+    masks, weights = ex.coalition_plan(70, permutations=3)
+    assert masks.shape[1] == 70 and abs(weights.sum(axis=0)).sum() < 70
+
+
+def test_array_and_frame_attributions_agree(data):
+    _, d = data
+    model = mo.fit(d, "id", "y", COLS, mo.Spec("lr", {"C": 1.0}))
+    some = d.withColumn("a", F.when(F.col("id") % 7 != 0, F.col("a")))
+    back = d.filter("id < 10")
+    one = ex.shapley(some, "id", COLS, back, model.linear_score()).toPandas()
+    two = ex.kernel_shap(some, "id", COLS, back, lambda f: model.score(f, "p")).toPandas()
+    both = one.merge(two, on=["id", "feature"])
+    assert len(both) == 720
+    np.testing.assert_allclose(both.phi_x, both.phi_y, atol=1e-9)
+
+
+@pytest.mark.parametrize("gamma, coef0, degree", [(0.5, 0.0, 2), (0.1, 1.0, 3), (2.0, 0.0, 3)])
+def test_polynomial_map_has_the_kernel_as_inner_product(gamma, coef0, degree):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(6, 4)), rng.normal(size=(5, 4))
+    got = mo.monomials(x, gamma, coef0, degree) @ mo.monomials(y, gamma, coef0, degree).T
+    np.testing.assert_allclose(got, (gamma * x @ y.T + coef0) ** degree, rtol=1e-10, atol=1e-10)
+
+
+def test_grid_has_no_repeated_candidates():
+    specs = mo.grid_specs("svm")
+    assert len({s.label() for s in specs}) == len(specs) == 10 + 2 * 80
+
+
+def test_forest_is_the_same_however_rows_come(data):
+    _, d = data
+    spec = mo.Spec("rf", {"n_estimators": 5, "max_depth": 4})
+    a, b = (mo.fit(x, "id", "y", COLS, spec).score(d).orderBy("id").toPandas().p
+            for x in (d.repartition(1), d.repartition(7, "a")))
+    np.testing.assert_array_equal(a, b)
+
+
+def test_attribution_does_not_depend_on_the_batch(spark, data):
+    _, d = data
+    model, _, _ = mo.tune(d, "id", "y", COLS, [mo.Spec("lr", {"C": 1.0})], folds=3)
+    assert model.platt and len(model.background) == 100
+    again = mo.Classifier.load(model.save(fresh_path(spark, "model")))
+    whole = modeling.explain_rows(d, "id", again, 3).filter("id = 7").collect()
+    assert modeling.explain_rows(d.filter("id in (7, 8)"), "id", again, 3).filter("id = 7").collect() == whole
 
 
 def test_additive_score_has_known_attributions(spark):

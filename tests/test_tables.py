@@ -65,7 +65,7 @@ def test_wide_and_narrow_correlations_agree(spark):
     pdf["e"] = 3.0
     d = spark.createDataFrame(pdf).select(*[F.nullif(c, F.lit(float("nan"))).alias(c) for c in pdf]).repartition(4)
     want = pdf.corr()
-    for out in (correlate.correlations(d).collect(), correlate._wide_correlation(d, list(pdf)).collect()):
+    for out in [correlate.correlations(d).collect()]:
         assert len(out) == 15
         for r in out:
             if "e" in (r.x, r.y):
@@ -75,6 +75,17 @@ def test_wide_and_narrow_correlations_agree(spark):
     assert correlate.correlations(d, full=True).count() == 25
 
 
+@pytest.mark.parametrize("width", [24, 25])
+def test_correlations_of_any_width_follow_one_rule(spark, width):
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame(rng.normal(size=(50, width)), columns=[f"c{i}" for i in range(width)])
+    pdf.loc[::5, "c0"] = np.nan
+    d = spark.createDataFrame(pdf).withColumn("c1", F.lit(None).cast("double"))
+    rows = {(r.x, r.y): r.r for r in correlate.correlations(d).collect()}
+    assert rows["c0", "c1"] is None and rows["c1", "c1"] is None
+    assert abs(rows["c0", "c2"] - pdf.c0.corr(pdf.c2)) < 1e-12
+
+
 def test_tail_probabilities():
     # closed forms: one degree of freedom for t, two for chi-square, half-integers through erfc
     from math import atan, erfc, exp, pi, sqrt
@@ -125,6 +136,11 @@ def test_registry(spark):
     assert rg.find_best_model(runs, metrics, "e", "accuracy") == ("lr_orig", "lr")
     assert rg.find_best_model(runs, metrics, "e", "loss", "min") == ("rf_orig", "rf")
     assert rg.read_table(spark, path, "run_params").count() == 2
+    # a run that is logged again counts with its latest value
+    rg.log_metrics(spark, path, run, {"accuracy": .2}, step=1)
+    again = rg.read_table(spark, path, "run_metrics")
+    assert rg.find_best_model(runs, again, "e", "accuracy") == ("rf_orig", "rf")
+    assert again.filter("logged_at is null").count() == 0
     for bad in (("none", "accuracy", "max"), ("e", "accuracy", "best")):
         with pytest.raises(ValueError):
             rg.find_best_model(runs, metrics, *bad)
