@@ -3,9 +3,9 @@
 Words are runs of letters and digits (ASCII punctuation separates), lower-cased.
 First the documents holding each four-word sequence of the benchmark are counted
 over the whole corpus. A sequence is common if more than one document in a
-thousand holds it and it is also more frequent than half of its item's; all other
-sequences are the item's seeds, so even an item copied into every document keeps
-half of them. Where a seed occurs in a document, the item is aligned with the
+thousand holds it and it is also eight times as frequent as the median of those of
+its item that occur; all other sequences are the item's seeds. An item or a part of it
+copied into many documents makes the sequences there frequent alike, and keeps them. Where a seed occurs in a document, the item is aligned with the
 passage around it, word by word: 2 for equal words, -1 for unequal ones and for
 each skipped word. The score is the best local alignment over the best possible
 one; items of more than 64 words count as found once 64 words' worth aligns. A
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortline.llm.text import PUNCTUATION, grams, id_and_text, pieces, words
 
 SEED_WORDS = 4
-COMMON_SHARE = 1e-3
+COMMON_SHARE, COMMON_FACTOR = 1e-3, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 ENOUGH_WORDS = 64
 LEAST_SCORE = 0.6
@@ -92,8 +92,9 @@ class Items:
         frequency = counts[np.searchsorted(self.seeds, every)] if len(every) else np.zeros(0, np.int64)
         middle = np.zeros(len(self.ids))
         for i in np.unique(owner):
-            middle[i] = np.median(frequency[owner == i])
-        self.index_seeds((frequency <= COMMON_SHARE * n_docs) | (frequency <= middle[owner]))
+            seen = frequency[(owner == i) & (frequency > 0)]
+            middle[i] = np.median(seen) if len(seen) else 0
+        self.index_seeds((frequency <= COMMON_SHARE * n_docs) | (frequency <= COMMON_FACTOR * middle[owner]))
 
     def hits(self, texts: pa.Array) -> list[tuple[int, int, float, int]]:
         """Row, item number, score and last word of each item found in each text; the best place only."""
