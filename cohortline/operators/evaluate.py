@@ -45,7 +45,8 @@ def score_table(df: DataFrame, pairs: Pairs, keys: Sequence[str] = ()) -> DataFr
     long = stack_scores(bucketed, pairs, keys, {"bucket": [p + "__bucket" for _, p in pairs.values()]})
     classes = [F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")]
     points = long.groupBy(*keys, "model", "bucket", F.col("p").alias("score")).agg(*classes)
-    totals = long.groupBy(*keys, "model", "bucket").agg(*classes)
+    # from the points, so that the source is read once for both
+    totals = points.groupBy(*keys, "model", "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return running_totals(points, totals, [*keys, "model"], "bucket", "score", ["pos", "neg"]).drop("bucket")
 
 
@@ -57,30 +58,28 @@ def _rate(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def _with_end(points: DataFrame, keys: Sequence[str], point: Column, end: Mapping[str, float]) -> DataFrame:
+    """One row per point; the highest score of each curve also brings the end point, which has no threshold."""
+    highest = (F.col("pos_run") == F.col("pos")) & (F.col("neg_run") == F.col("neg"))
+    last = F.struct(F.lit(None).cast("double").alias("threshold"), *[F.lit(v).alias(c) for c, v in end.items()])
+    return points.select(*keys, "model", F.inline(F.when(highest, F.array(last, point)).otherwise(F.array(point))))
+
+
 def roc_curve(df: DataFrame, pairs: Pairs, keys: Sequence[str] = ()) -> DataFrame:
     """``(*keys, model, threshold, fpr, tpr)``, one point per distinct score.
 
     The starting point (0, 0) has a missing threshold: it lies above every score.
     """
-    points = score_table(df, pairs, keys)
-    curve = points.select(*keys, "model", F.col("score").alias("threshold"),
-                          _rate(F.col("neg_run"), F.col("neg_all")).alias("fpr"),
-                          _rate(F.col("pos_run"), F.col("pos_all")).alias("tpr"))
-    start = stack_scores(df, pairs, keys).select(*keys, "model").distinct().select(
-        *keys, "model", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return curve.unionByName(start)
+    point = F.struct(F.col("score").alias("threshold"), _rate(F.col("neg_run"), F.col("neg_all")).alias("fpr"),
+                     _rate(F.col("pos_run"), F.col("pos_all")).alias("tpr"))
+    return _with_end(score_table(df, pairs, keys), keys, point, {"fpr": 0.0, "tpr": 0.0})
 
 
 def pr_curve(df: DataFrame, pairs: Pairs, keys: Sequence[str] = ()) -> DataFrame:
     """``(*keys, model, threshold, precision, recall)``; the end point (recall 0, precision 1) has no threshold."""
-    points = score_table(df, pairs, keys)
-    curve = points.select(*keys, "model", F.col("score").alias("threshold"),
-                          _precision(F.col("pos_run"), F.col("neg_run")).alias("precision"),
-                          _rate(F.col("pos_run"), F.col("pos_all")).alias("recall"))
-    end = stack_scores(df, pairs, keys).select(*keys, "model").distinct().select(
-        *keys, "model", F.lit(None).cast("double").alias("threshold"),
-        F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return curve.unionByName(end)
+    point = F.struct(F.col("score").alias("threshold"), _precision(F.col("pos_run"), F.col("neg_run")).alias("precision"),
+                     _rate(F.col("pos_run"), F.col("pos_all")).alias("recall"))
+    return _with_end(score_table(df, pairs, keys), keys, point, {"precision": 1.0, "recall": 0.0})
 
 
 def ranking_metrics(df: DataFrame, pairs: Pairs, keys: Sequence[str] = ()) -> DataFrame:
@@ -198,6 +197,13 @@ def classification_report(df: DataFrame, pairs: Pairs, thresholds: Mapping[str,
                  v[3].cast("bigint").alias("support")) for name, v in rows.items()])))
 
 
+def pooled_metrics(df: DataFrame, pairs: Pairs, thresholds: Mapping[str, float] | float = 0.5) -> DataFrame:
+    """Counts over all folds and the rates that follow from them; one aggregate."""
+    return confusion_counts(df, pairs, thresholds).select(
+        "model", "tp", "fn", "fp", "tn", _precision(F.col("tp"), F.col("fp")).alias("precision"),
+        _precision(F.col("tp"), F.col("fn")).alias("sensitivity"), _precision(F.col("tn"), F.col("fp")).alias("specificity"))
+
+
 def headline_metrics(df: DataFrame, pairs: Pairs, thresholds: Mapping[str, float] | float = 0.5,
                      keys: Sequence[str] = ()) -> DataFrame:
     """One row per model: precision, average precision, sensitivity, specificity, ROC area and Brier score.
@@ -251,7 +257,7 @@ def fbeta_thresholds(df: DataFrame, pairs: Pairs, betas: Sequence[float] = (1.0,
     """Threshold that maximizes F-beta on a 1/grid raster, ``(*keys, model, beta, threshold, fbeta)``.
 
     Scores are first counted per raster cell, which bounds the window to ``grid``
-    rows. Among equal values the lowest threshold is taken.
+    rows. Among equal values the lowest threshold is taken; where all scores are 0 it is 0.
     """
     floor = F.floor(F.col("p") * grid)
     # raster thresholds strictly below the score: p > i / grid for i < cell
@@ -263,16 +269,20 @@ def fbeta_thresholds(df: DataFrame, pairs: Pairs, betas: Sequence[float] = (1.0,
     runs = (counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
             .withColumn("all_pos", F.sum("pos").over(per_model))
             .withColumn("at", F.coalesce(F.lag("cell").over(per_model.orderBy("cell")), F.lit(0)))
-            .filter("cell > 0"))
+            .withColumn("top", F.max("cell").over(per_model))
+            .filter("cell > 0 OR top = 0"))
 
     def fbeta(b: float) -> Column:
         w = float(b) * float(b)
-        return F.try_divide((1 + w) * F.col("tp"), F.lit(w) * F.col("all_pos") + F.col("tp") + F.col("fp"))
+        # no score is above the lowest threshold where all are 0
+        called = F.col("cell") > 0
+        tp, fp = F.when(called, F.col("tp")).otherwise(0), F.when(called, F.col("fp")).otherwise(0)
+        return F.try_divide((1 + w) * tp, F.lit(w) * F.col("all_pos") + tp + fp)
 
-    long = runs.select(*keys, "model", "at", F.inline(F.array(*[
+    long = runs.select(*keys, "model", F.when(F.col("cell") > 0, F.col("at")).otherwise(0).alias("at"), F.inline(F.array(*[
         F.struct(F.lit(float(b)).alias("beta"), fbeta(b).alias("f")) for b in betas])))
     best = long.groupBy(*keys, "model", "beta").agg(
-        F.max_by(F.struct("at", "f"), F.struct(F.col("f"), -F.col("at"))).alias("b"))
+        F.max_by(F.struct("at", "f"), F.struct(F.coalesce("f", F.lit(-1.0)), -F.col("at"))).alias("b"))
     return best.select(*keys, "model", "beta", (F.col("b.at") / F.lit(float(grid))).alias("threshold"),
                        F.col("b.f").alias("fbeta"))
 

@@ -176,9 +176,7 @@ def _(t):
   FROM cells GROUP BY 1) SELECT model, tp, fn, fp, tn, {r('tp / (tp + fp)')} AS precision,
   {r('tp / (tp + fn)')} AS sensitivity, {r('tn / (tn + fp)')} AS specificity FROM pooled""")
 def _(t):
-    d = ev.headline_metrics(v.scored(t), PAIRS, _THRESHOLDS)
-    return rounded(d.select("model", "tp", "fn", "fp", "tn", "precision", "sensitivity", "specificity"),
-                   "precision", "sensitivity", "specificity")
+    return rounded(ev.pooled_metrics(v.scored(t), PAIRS, _THRESHOLDS), "precision", "sensitivity", "specificity")
 
 
 @query("metric_frame", "WITH h AS (" + _headline_sql() + ") " + " UNION ALL ".join(
@@ -188,11 +186,13 @@ def _(t):
     return ev.metric_frame(d, "K-Fold")
 
 
-@query("concatenated_metrics", f"""{_CELLS} SELECT concat_ws(' ', 'train', model) AS metric, {r('brier', 3)} AS value FROM cells
-UNION ALL SELECT concat_ws(' ', 'test', model), {r('brier', 3)} FROM cells""")
+@query("concatenated_metrics", f"""{_CELLS_SQL.format("if(fold = 0, 'test', 'train') AS part, ")}
+SELECT concat_ws(' ', part, model) AS metric, {r('brier', 3)} AS value FROM cells""")
 def _(t):
-    d = ev.brier_score(v.scored(t), PAIRS).select(F.col("model").alias("metric"), F.col("brier").alias("value"))
-    return ev.concat_metrics({"train": d, "test": d})
+    def part(rows):
+        return ev.brier_score(v.scored(t).filter(rows), PAIRS).select(F.col("model").alias("metric"), F.col("brier").alias("value"))
+
+    return ev.concat_metrics({"train": part("fold <> 0"), "test": part("fold = 0")})
 
 
 _FBETA = f"""WITH {v.SCORED}, long AS (SELECT fold, 'signal' AS model, y, signal AS p FROM scored

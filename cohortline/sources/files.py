@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cohortline.functions.cleaning import nan_to_null, quoted
-from cohortline.session import materialize, small_table
+from cohortline.session import small_table
 
 LISTS_SCHEMA = "list_name string, position int, column_name string"
 
@@ -53,10 +53,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 def write_outputs(df: DataFrame, outputs: Mapping[str, Callable[[DataFrame], DataFrame]],
                   mode: str = "overwrite") -> list[str]:
-    """Several parquet outputs of one parent. The parent is computed once and written; each output
-    then reads only the columns it needs, and a lost executor costs no recomputation."""
-    shared = materialize(df, "parent")
-    return [write_parquet(build(shared), path, mode) for path, build in outputs.items()]
+    """Several parquet outputs of one parent, which is computed once and kept while they are written.
+
+    Kept blocks that go with an executor are computed again; no copy of the parent is written.
+    """
+    kept = df.persist()
+    try:
+        return [write_parquet(build(kept), path, mode) for path, build in outputs.items()]
+    finally:
+        kept.unpersist()
 
 
 def lists_to_state(spark: SparkSession, lists: Mapping[str, Iterable[str]]) -> DataFrame:

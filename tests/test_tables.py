@@ -179,3 +179,10 @@ def test_stream_scores_new_files_once(spark):
     run()
     out = spark.read.parquet(sink)
     assert out.count() == d.count() == out.select("id").distinct().count()
+
+
+def test_threshold_of_scores_that_are_all_zero(spark):
+    d = spark.createDataFrame([(1, 0.0, 0.9), (0, 0.0, 0.1), (1, 0.0, 0.8)], "y int, zero double, some double")
+    rows = {(r.model, r.beta): r for r in ev.fbeta_thresholds(d, {"zero": ("y", "zero"), "some": ("y", "some")}).collect()}
+    assert len(rows) == 4 and (rows["zero", 1.0].threshold, rows["zero", 1.0].fbeta) == (0.0, 0.0)
+    assert rows["some", 1.0].fbeta == 1.0
