@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from cohortline.llm.text import id_and_text, pieces
 
-CACHED_CHUNKS, CACHED_PAIRS = 200_000, 1_000_000
+CACHED_CHUNKS, CACHED_PAIRS = 120_000, 250_000
 END = "\x00"  # stands for the end-of-word mark inside the automaton; bytes are written as printable characters
 _WHITE = "\t-\r \x85\xa0  -     　"
 _SPLIT = re.compile(f"[{_WHITE}]+")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 SHINGLE = 5
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
