@@ -7,9 +7,9 @@ the bytes the longer context already excludes, down to equal shares. Statistics
 are frozen after learning, so a byte's code length depends on it and the three
 bytes before it alone, and is looked up in one table for all languages.
 
-Bytes are read as an alphabet of 48 symbols: capital A-Z as lower case, white space
-as one, the most frequent 47 in training and one for all others. The table has
-48**4 entries per language (21 MB) whatever the corpus size; it is the only thing
+Bytes are read as an alphabet of 40 symbols: capital A-Z as lower case, white space
+as one, the most frequent 39 in training and one for all others. The table has
+40**4 entries per language (10 MB) whatever the corpus size; it is the only thing
 handed to the tasks. Counts come from all training texts, summed where they are
 read before they are shuffled, so a language that holds most rows is no hot key.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.llm.text import SPACE, flat, pieces
 
-ORDER, SYMBOLS = 3, 48
+ORDER, SYMBOLS = 3, 40
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -99,10 +99,9 @@ def counted(training: DataFrame, symbols: np.ndarray) -> DataFrame:
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
     """Bits of each symbol after each three, by partial matching with exclusion."""
-    tree = counts.reshape((SYMBOLS,) * (ORDER + 1)).astype(np.float64)
-    lower = np.full(SYMBOLS, 1 / SYMBOLS)
-    for order in range(ORDER + 1):
-        own = tree.sum(axis=tuple(range(ORDER - order)))
+    tree = counts.reshape((SYMBOLS,) * (ORDER + 1))
+
+    def shares(own: np.ndarray, lower: np.ndarray) -> np.ndarray:
         seen = own > 0
         total, kinds = own.sum(-1, keepdims=True), seen.sum(-1, keepdims=True)
         shared = np.broadcast_to(lower, own.shape)
@@ -111,9 +110,17 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
         # where every symbol has been seen nothing can escape
         escape = np.where(left > 0, kinds, 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            lower = np.where(seen, own / (total + escape), kinds / (total + kinds) * rest / left)
-        lower = np.where(total > 0, lower, shared)
-    return -np.log2(lower).ravel()
+            found = np.where(seen, own / (total + escape), kinds / (total + kinds) * rest / left)
+        return np.where(total > 0, found, shared)
+
+    lower = np.full(SYMBOLS, 1 / SYMBOLS)
+    for order in range(ORDER):
+        lower = shares(tree.sum(axis=tuple(range(ORDER - order)), dtype=np.float64), lower)
+    # the longest contexts by their first symbol, which keeps the memory of one step small
+    out = np.empty(tree.shape, np.float32)
+    for first in range(SYMBOLS):
+        out[first] = -np.log2(shares(tree[first].astype(np.float64), lower))
+    return out.ravel()
 
 
 class Languages:
@@ -153,7 +160,7 @@ def learned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     bits = np.empty((SYMBOLS**(ORDER + 1), len(names)), np.float32)
     for k, name in enumerate(names):
         own = counts[counts["lang"] == name]
-        dense = np.zeros(len(bits), np.int64)
+        dense = np.zeros(len(bits), np.int32)
         dense[own["code"].to_numpy()] = own["n"].to_numpy()
         bits[:, k] = code_lengths(dense)
     return docs.sparkSession.sparkContext.broadcast(Languages(names, symbols, bits))
