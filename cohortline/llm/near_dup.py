@@ -21,9 +21,9 @@ So a group of thousands of near copies costs a few comparisons per copy, never
 all pairs, and no vertex is left out for being in a large node. A pair of 0.75
 is missed by one tree with probability 1/4 and by all eight with 1/65536.
 
-Candidates pass an estimate over 64 minwise tokens (0.5 or more; five standard
-deviations below the limit) before sets are compared. Sets are only kept for
-vertices that share a node. Components are found by the star algorithm, a fixed
+Candidates pass an estimate over 64 minwise tokens (0.5 or more; four and a half
+standard deviations below the limit) before sets are compared. Texts are only kept
+for vertices that share a node, and their sets are made anew where two meet. Components are found by the star algorithm, a fixed
 few joins per round. Each round is written to the shared folder.
 
 Defined cases: null text is empty; ``component_id`` is the smallest id of the
@@ -44,7 +44,9 @@ from cohortline.session import materialize
 
 TREES, LEVELS = 8, 8
 TOKENS = TREES * LEVELS
-FEW_OPEN = 12
+FEW_OPEN = 48
+NODE_PART = 4096
+MAX_SENT_PAIRS = 1 << 18
 GOOD_PART = 0.3
 LEAST_ESTIMATE = 0.5
 _odd = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, (TOKENS, 2), dtype=np.uint64)
@@ -96,48 +98,77 @@ def described(rows: DataFrame, size: int, tokens: bool) -> DataFrame:
     return rows.mapInArrow(run, ids + "n_shingles long, v binary, " + ("tokens array<int>" if tokens else "text string"))
 
 
-def resembling(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose minwise tokens agree often enough."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (np.asarray(batch.column(c).flatten()).reshape(-1, TOKENS) for c in ("one", "two"))
-            near = (one == two).mean(axis=1) >= LEAST_ESTIMATE
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    both = pairs.join(tokens.select(F.col("v").alias("a"), F.col("tokens").alias("one")), "a").join(
-        tokens.select(F.col("v").alias("b"), F.col("tokens").alias("two")), "b")
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a binary, b binary")
+def neighbors_in_nodes(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` in one node, one of them a leader, whose minwise tokens agree often enough.
 
+    Leaders are all open vertices of a node with few, else its first open one.
+    Rows of a node pass by in a stream behind its leaders, so memory holds
+    leaders only; a node of many rows is cut into parts, each with a copy of the leaders.
+    """
+    parts = F.ceil(F.col("n") / NODE_PART).cast("int")
+    leads = F.when(F.col("n_open") <= FEW_OPEN, F.col("open")).otherwise(F.col("v") == F.col("pivot"))
+    copies = rows.filter(leads).select("tree", "node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+                                       F.lit(True).alias("leads"), "v", "tokens")
+    dealt = rows.select("tree", "node", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"), F.lit(False).alias("leads"),
+                        "v", "tokens").union(copies)
+    dealt = dealt.repartition("tree", "node", "part").sortWithinPartitions("tree", "node", "part", F.desc("leads"), "v")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose sets have 100 * intersection >= percent * union."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, table = None, [], np.zeros((0, TOKENS), np.int32)
         for batch in batches:
-            near = []
-            for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                near.append(100 * shared >= percent * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("members").alias("one")), "a").join(
-        sets.select(F.col("v").alias("b"), F.col("members").alias("two")), "b")
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a binary, b binary")
-
-
-def members_of(texts: DataFrame, size: int) -> DataFrame:
-    """``v``, ``members``: the sorted set of each row's text as 64-bit values."""
-    schema = pa.schema([("v", pa.binary()), ("members", pa.binary())])
+            tokens = np.asarray(batch.column("tokens").flatten()).reshape(-1, TOKENS)
+            found = []
+            for k, (tree, node, part, leads, v) in enumerate(zip(*(batch.column(c).to_pylist() for c in
+                                                                   ("tree", "node", "part", "leads", "v")))):
+                if key != (tree, node, part):
+                    key, names, table = (tree, node, part), [], table[:0]
+                if leads:
+                    names.append(v)
+                    table = np.concatenate([table, tokens[k:k + 1]])
+                elif names:
+                    near = np.flatnonzero((table == tokens[k]).sum(axis=1) >= LEAST_ESTIMATE * TOKENS)
+                    found += [(min(v, names[i]), max(v, names[i])) for i in near if names[i] != v]
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose sets have 100 * intersection >= percent * union.
+
+    ``pairs`` must be written rows, whose number is known: few are sent to the
+    texts, many meet them in a shuffle.
+    """
+    sides = pairs.withColumn("pair", F.xxhash64("a", "b")).select("a", "b", "pair", F.explode(F.array("a", "b")).alias("v"))
+    if pairs.count() <= MAX_SENT_PAIRS:
+        sides = F.broadcast(sides)
+    both = texts.join(sides, "v").select("pair", "a", "b", "v", "text")
+    both = both.repartition("pair").sortWithinPartitions("pair", "a", "b", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
             for part in pieces(batch):
                 values, at = shingle_sets(part.column("text"), size)
-                rows = [values[at[i]:at[i + 1]].tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("v"), pa.array(rows, pa.binary())], schema=schema)
-
-    return texts.select("v", "text").mapInArrow(run, "v binary, members binary")
+                near = []
+                for k, key in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist())):
+                    own = values[at[k]:at[k + 1]]
+                    if before is None or before[0] != key:
+                        before = key, own
+                        continue
+                    together = np.sort(np.concatenate([before[1], own]))
+                    shared = int((together[1:] == together[:-1]).sum())
+                    if 100 * shared >= percent * (len(together) - shared):
+                        near.append(key)
+                    before = None
+                if near:
+                    a, b = zip(*near)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def links(source: DataFrame, vertices: DataFrame, size: int, percent: int) -> DataFrame:
@@ -146,36 +177,35 @@ def links(source: DataFrame, vertices: DataFrame, size: int, percent: int) -> Da
     rows = vertices.select("v", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)),
                                                          lambda t: F.get("tokens", t * LEVELS))).alias("tree", "token"))
     rows = rows.select("v", "tree", F.xxhash64("tree", "token").alias("node"), F.lit(True).alias("open"))
-    level, found, tested, sets = 0, [], None, None
+    level, found, texts = 0, None, None
     while True:
         stats = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("n_open"),
                                       F.min(F.when(F.col("open"), F.col("v"))).alias("pivot"))
-        rows = materialize(rows.join(stats.filter("n > 1 AND n_open > 0"), key), "nodes")
+        rows = rows.join(stats.filter("n > 1 AND n_open > 0"), key)
+        if "tokens" not in rows.columns:
+            rows = rows.join(vertices.select("v", "tokens"), "v")
+        rows = materialize(rows.select("v", *key, "open", "n", "n_open", "pivot", "tokens"), "nodes")
         if rows.isEmpty():
             break
-        if sets is None:
+        if texts is None:
             wanted = rows.select("v").distinct()
-            texts = described(source, size, False).filter("v IS NOT NULL").groupBy("v").agg(F.first("text").alias("text"))
-            sets = materialize(members_of(texts.join(wanted, "v", "left_semi"), size), "sets")
-        done = rows.filter(F.col("n_open") <= FEW_OPEN)
-        large = rows.filter(F.col("n_open") > FEW_OPEN)
-        exhaustive = done.filter("open").select(*key, F.col("v").alias("x")).join(done.select(*key, "v"), key)
-        starred = large.select(F.col("pivot").alias("x"), "v")
-        pairs = exhaustive.select("x", "v").union(starred).filter("x != v").select(
-            F.least("x", "v").alias("a"), F.greatest("x", "v").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            every = described(source, size, False).filter("v IS NOT NULL").groupBy("v").agg(F.first("text").alias("text"))
+            texts = materialize(every.join(wanted, "v", "left_semi"), "texts")
+        pairs = neighbors_in_nodes(rows)
+        if found is not None:
+            pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        near = materialize(resembling(pairs, vertices), "resembling")
-        found.append(materialize(confirmed(near, sets, percent), "links"))
+        near = confirmed(pairs, texts, size, percent).withColumn("near", F.lit(True))
+        # tested pairs stay known, near or not
+        tested = pairs.join(near, ["a", "b"], "left").select("a", "b", F.coalesce("near", F.lit(False)).alias("near"))
+        tested = materialize(tested, "tested")
+        found = tested if found is None else found.union(tested)
+        large = rows.filter(F.col("n_open") > FEW_OPEN)
         if large.isEmpty():
             break
-        linked = found[0]
-        for more in found[1:]:
-            linked = linked.union(more)
-        spokes = linked.select(F.col("a").alias("pivot"), F.col("b").alias("v")).union(
-            linked.select(F.col("b").alias("pivot"), F.col("a").alias("v"))).withColumn("met", F.lit(True))
+        near = found.filter("near")
+        spokes = near.select(F.col("a").alias("pivot"), F.col("b").alias("v")).union(
+            near.select(F.col("b").alias("pivot"), F.col("a").alias("v"))).withColumn("met", F.lit(True))
         after = large.join(spokes, ["pivot", "v"], "left").withColumn(
             "open", F.col("open") & F.col("met").isNull() & (F.col("v") != F.col("pivot"))).drop("met")
         left = after.groupBy(key).agg(F.sum(F.col("open").cast("long")).alias("still"))
@@ -183,15 +213,13 @@ def links(source: DataFrame, vertices: DataFrame, size: int, percent: int) -> Da
         stay = F.col("still") <= (1 - GOOD_PART) * F.col("n_open")
         # beyond its own levels a tree takes the tokens of the next ones
         level += 1
-        after = after.join(vertices.select("v", "tokens"), "v")
         token = F.get("tokens", (F.col("tree") * LEVELS + level) % TOKENS)
         move = ~stay if level < TOKENS else F.lit(False)
         rows = after.select("v", "tree", F.when(move, F.xxhash64("node", F.lit(level), token)).otherwise(F.col("node")).alias("node"),
-                            "open")
-    out = vertices.sparkSession.createDataFrame([], "a binary, b binary")
-    for more in found:
-        out = out.union(more)
-    return out.distinct()
+                            "open", "tokens")
+    if found is None:
+        return vertices.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0)
+    return found.filter("near").select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
