@@ -4,22 +4,24 @@ A document's set holds its distinct five-word shingles (fewer words: the whole
 sequence as one; none: empty, linked with nothing). Documents whose sets have a
 similarity of 0.75 or more are linked, each link confirmed on the full sets.
 
-Equal sets are one vertex. Several independent trees branch the vertices: at
-each level a vertex follows one minwise token of its set, drawn anew per tree
-and level, so two vertices stay together with the probability of their
-similarity. Unrelated vertices part at once, and most nodes are small after one
-level. What a node does depends on its open vertices, those not yet linked to a
-vertex that was compared with the whole node:
+Equal sets are one vertex. Several independent trees branch the vertices: a
+vertex starts at one minwise token of its set, so two vertices meet with the
+probability of their similarity. Unrelated vertices part at once, and most nodes
+are small at the start. A vertex gets a label once it is linked to a vertex that
+was compared with the whole node; vertices of one label are connected. What a
+node does depends on its open vertices, those without its most frequent label:
 
 - few open vertices: each is compared with all of the node, and the node is done;
-- many: the first open vertex is compared with all of the node; those it links
-  to are no longer open, as any link among them changes nothing. When this
-  closes a good part, the node goes on with the next open vertex; otherwise it
-  branches, which parts what is not alike.
+- many: one vertex without a label, the first in an order of the tree's own, is
+  compared with all of the node, and takes the vertices it links to and their
+  labels into its own. When this labels a good part, the node goes on with the
+  next one; otherwise it branches, and each vertex follows two minwise tokens.
 
-So a group of thousands of near copies costs a few comparisons per copy, never
-all pairs, and no vertex is left out for being in a large node. A pair of 0.75
-is missed by one tree with probability 1/4 and by all eight with 1/65536.
+So a group of thousands of near copies costs a few comparisons per copy, no vertex
+is left out for being in a large node, and only vertices of one label are never
+compared. A pair of similarity s that must branch stays together with probability
+1 - q, q = (1 - s + s * q)^2 at any depth: at 0.75 one tree finds it with
+0.75 * 0.889 = 0.667 at least, and all eight miss it with 0.00015 at most.
 
 Candidates pass an estimate over 64 minwise tokens (0.5 or more; four and a half
 standard deviations below the limit) before sets are compared. Texts are only kept
@@ -44,6 +46,8 @@ from cohortline.session import materialize
 
 TREES, LEVELS = 8, 8
 TOKENS = TREES * LEVELS
+CHILDREN = 2
+MAX_DEPTH = (TOKENS - 1) // CHILDREN
 FEW_OPEN = 48
 NODE_PART = 4096
 MAX_SENT_PAIRS = 1 << 18
@@ -51,6 +55,9 @@ GOOD_PART = 0.3
 LEAST_ESTIMATE = 0.5
 _odd = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, (TOKENS, 2), dtype=np.uint64)
 _FACTORS, _SHIFTS = _odd[:, 0] * np.uint64(2) + np.uint64(1), _odd[:, 1]
+# a tree starts at a token of its own; then it takes the others, each once, in an order of its own
+_ORDERS = [[t * LEVELS, *np.random.Generator(np.random.PCG64(t)).permutation(
+    [k for k in range(TOKENS) if k != t * LEVELS]).tolist()] for t in range(TREES)]
 
 
 def minwise(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -101,34 +108,37 @@ def described(rows: DataFrame, size: int, tokens: bool) -> DataFrame:
 def neighbors_in_nodes(rows: DataFrame) -> DataFrame:
     """Pairs ``a, b`` in one node, one of them a leader, whose minwise tokens agree often enough.
 
-    Leaders are all open vertices of a node with few, else its first open one.
+    Leaders are all open vertices of a node with few, else its pivot. Two of one label are no pair.
     Rows of a node pass by in a stream behind its leaders, so memory holds
     leaders only; a node of many rows is cut into parts, each with a copy of the leaders.
     """
     parts = F.ceil(F.col("n") / NODE_PART).cast("int")
-    leads = F.when(F.col("n_open") <= FEW_OPEN, F.col("open")).otherwise(F.col("v") == F.col("pivot"))
+    leads = F.when(F.col("few"), ~F.col("label").eqNullSafe(F.col("main")) | F.col("label").isNull()).otherwise(
+        F.col("v").eqNullSafe(F.col("pivot")))
     copies = rows.filter(leads).select("tree", "node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
-                                       F.lit(True).alias("leads"), "v", "tokens")
+                                       F.lit(True).alias("leads"), "v", "label", "tokens")
     dealt = rows.select("tree", "node", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"), F.lit(False).alias("leads"),
-                        "v", "tokens").union(copies)
+                        "v", "label", "tokens").union(copies)
     dealt = dealt.repartition("tree", "node", "part").sortWithinPartitions("tree", "node", "part", F.desc("leads"), "v")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # names and labels of the leaders
         key, names, table = None, [], np.zeros((0, TOKENS), np.int32)
         for batch in batches:
             tokens = np.asarray(batch.column("tokens").flatten()).reshape(-1, TOKENS)
             found = []
-            for k, (tree, node, part, leads, v) in enumerate(zip(*(batch.column(c).to_pylist() for c in
-                                                                   ("tree", "node", "part", "leads", "v")))):
+            for k, (tree, node, part, leads, v, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in
+                                                                          ("tree", "node", "part", "leads", "v", "label")))):
                 if key != (tree, node, part):
                     key, names, table = (tree, node, part), [], table[:0]
                 if leads:
-                    names.append(v)
+                    names.append((v, label))
                     table = np.concatenate([table, tokens[k:k + 1]])
                 elif names:
                     near = np.flatnonzero((table == tokens[k]).sum(axis=1) >= LEAST_ESTIMATE * TOKENS)
-                    found += [(min(v, names[i]), max(v, names[i])) for i in near if names[i] != v]
+                    found += [(min(v, other), max(v, other)) for other, its in (names[i] for i in near)
+                              if other != v and (label is None or its != label)]
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
@@ -171,20 +181,33 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def node_stats(rows: DataFrame) -> DataFrame:
+    """Of each node: rows ``n``, open ones, the ``main`` label (null: none yet) and the ``pivot`` (null: all have labels)."""
+    key = ["tree", "node"]
+    free = F.min(F.when(F.col("label").isNull(), F.struct(F.xxhash64("tree", "v").alias("h"), "v")))
+    if "depth" not in rows.columns:
+        return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("n_open"),
+                                     F.lit(None).cast("binary").alias("main"), free.getField("v").alias("pivot"))
+    labels = rows.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("c"), free.alias("first"))
+    most = F.max(F.when(F.col("label").isNotNull(), F.struct("c", "label")))
+    return labels.groupBy(key).agg(F.sum("c").alias("n"), (F.sum("c") - F.coalesce(most.getField("c"), F.lit(0))).alias("n_open"),
+                                   most.getField("label").alias("main"), F.min("first").getField("v").alias("pivot"))
+
+
 def links(source: DataFrame, vertices: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links ``a, b`` between vertices; all that connectivity needs."""
     key = ["tree", "node"]
     rows = vertices.select("v", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)),
                                                          lambda t: F.get("tokens", t * LEVELS))).alias("tree", "token"))
-    rows = rows.select("v", "tree", F.xxhash64("tree", "token").alias("node"), F.lit(True).alias("open"))
-    level, found, texts = 0, None, None
+    rows = rows.select("v", "tree", F.xxhash64("tree", "token").alias("node"), F.lit(None).cast("binary").alias("label"))
+    found, texts = None, None
     while True:
-        stats = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("n_open"),
-                                      F.min(F.when(F.col("open"), F.col("v"))).alias("pivot"))
-        rows = rows.join(stats.filter("n > 1 AND n_open > 0"), key)
+        rows = rows.join(node_stats(rows).filter("n > 1 AND n_open > 0"), key)
         if "tokens" not in rows.columns:
-            rows = rows.join(vertices.select("v", "tokens"), "v")
-        rows = materialize(rows.select("v", *key, "open", "n", "n_open", "pivot", "tokens"), "nodes")
+            rows = rows.join(vertices.select("v", "tokens"), "v").withColumn("depth", F.lit(0))
+        # without tokens or pivots left, all open vertices meet the node, however many
+        few = (F.col("n_open") <= FEW_OPEN) | ((F.col("depth") >= MAX_DEPTH) & F.col("pivot").isNull())
+        rows = materialize(rows.select("v", *key, "depth", "label", "n", "main", "pivot", few.alias("few"), "tokens"), "nodes")
         if rows.isEmpty():
             break
         if texts is None:
@@ -200,23 +223,30 @@ def links(source: DataFrame, vertices: DataFrame, size: int, percent: int) -> Da
         tested = pairs.join(near, ["a", "b"], "left").select("a", "b", F.coalesce("near", F.lit(False)).alias("near"))
         tested = materialize(tested, "tested")
         found = tested if found is None else found.union(tested)
-        large = rows.filter(F.col("n_open") > FEW_OPEN)
+        large = rows.filter("NOT few")
         if large.isEmpty():
             break
         near = found.filter("near")
         spokes = near.select(F.col("a").alias("pivot"), F.col("b").alias("v")).union(
             near.select(F.col("b").alias("pivot"), F.col("a").alias("v"))).withColumn("met", F.lit(True))
         after = large.join(spokes, ["pivot", "v"], "left").withColumn(
-            "open", F.col("open") & F.col("met").isNull() & (F.col("v") != F.col("pivot"))).drop("met")
-        left = after.groupBy(key).agg(F.sum(F.col("open").cast("long")).alias("still"))
-        after = after.join(left.filter("still > 0"), key)
-        stay = F.col("still") <= (1 - GOOD_PART) * F.col("n_open")
-        # beyond its own levels a tree takes the tokens of the next ones
-        level += 1
-        token = F.get("tokens", (F.col("tree") * LEVELS + level) % TOKENS)
-        move = ~stay if level < TOKENS else F.lit(False)
-        rows = after.select("v", "tree", F.when(move, F.xxhash64("node", F.lit(level), token)).otherwise(F.col("node")).alias("node"),
-                            "open", "tokens")
+            "met", F.coalesce("met", F.col("v") == F.col("pivot"), F.lit(False)))
+        free = F.col("label").isNull()
+        left = after.groupBy(key).agg(F.sum(free.cast("long")).alias("free"), F.sum((free & ~F.col("met")).cast("long")).alias("still"),
+                                      F.collect_set(F.when(F.col("met"), F.col("label"))).alias("joined"))
+        after = after.join(left, key)
+        # the pivot's label takes in those of all it links to
+        own = F.col("met") | F.coalesce(F.array_contains("joined", F.col("label")), F.lit(False))
+        stay = (F.col("still") > 0) & (F.col("still") <= (1 - GOOD_PART) * F.col("free")) | (F.col("depth") >= MAX_DEPTH)
+        after = after.select("v", *key, F.when(own, F.col("pivot")).otherwise(F.col("label")).alias("label"), "tokens",
+                             stay.alias("stay"), F.when(stay, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"))
+        orders = F.array(*[F.array(*map(F.lit, order)) for order in _ORDERS])
+        follows = F.transform(F.sequence(F.lit(1 - CHILDREN), F.lit(0)), lambda c: F.struct(
+            c.alias("c"), F.get("tokens", F.get(F.get(orders, F.col("tree")), CHILDREN * F.col("depth") + c)).alias("token")))
+        # both tokens of a vertex lead to nodes of their own
+        nodes = F.when(F.col("stay"), F.array("node")).otherwise(
+            F.transform(follows, lambda x: F.xxhash64("node", "depth", x["c"], x["token"])))
+        rows = after.select("v", "tree", F.explode(nodes).alias("node"), "label", "depth", "tokens")
     if found is None:
         return vertices.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0)
     return found.filter("near").select("a", "b")

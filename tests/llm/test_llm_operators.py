@@ -345,6 +345,16 @@ def test_near_groups_against_all_pairs(spark, odd):
         assert found == plain_components(rows)
 
 
+def test_pairs_in_a_large_passage_group_are_found(spark):
+    passage, rows = [f"p{k}" for k in range(350)], []
+    for i in range(100):  # pairs of 0.75 to 0.77; others share the passage only, 0.66
+        for side in "ab":
+            rows.append((2 * i + (side == "b"), " ".join(passage + [f"{i}c{k}" for k in range(32)] + [f"{i}{side}{k}" for k in range(56)])))
+    assert len(plain_components(rows)) == 200 and len({k[2] for k in plain_components(rows)}) == 100
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_groups(d).collect()) == plain_components(rows)
+
+
 def test_one_of_each_near_group_stays(spark, none):
     rows = copies(60)
     d = spark.createDataFrame(rows + [(None, "a text without an id"), (None, "another one"), (5, ""), (6, None)],
