@@ -355,6 +355,21 @@ def test_pairs_in_a_large_passage_group_are_found(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_groups(d).collect()) == plain_components(rows)
 
 
+def test_two_groups_with_one_bridge_are_one(spark):
+    core, rows = [f"c{k}" for k in range(104)], []
+    for side in (0, 1):
+        own = [f"{'ab'[side]}{k}" for k in range(16)]
+        for i in range(200):  # members link within their group and to their end of the bridge
+            w = core + own
+            w[2 + i % 90] = f"x{i}s{side}"
+            rows.append((2 * i + side, " ".join(w)))
+        rows.append((500 + side, " ".join(core + own)))  # what the two ends share is in nearly all members
+    want = plain_components(rows)
+    assert len({k[2] for k in want}) == 1 and len({k[2] for k in plain_components(rows[:-1])}) == 2
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_groups(d).collect()) == want
+
+
 def test_one_of_each_near_group_stays(spark, none):
     rows = copies(60)
     d = spark.createDataFrame(rows + [(None, "a text without an id"), (None, "another one"), (5, ""), (6, None)],
