@@ -1,16 +1,15 @@
-"""Benchmark items found in documents: rare word n-grams as seeds, then Smith-Waterman alignment.
+"""Benchmark items found in documents: word n-grams as seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits (ASCII punctuation separates), lower-cased.
-First the documents holding each four-word sequence of the benchmark are counted
-over the whole corpus. A sequence is common if more than one document in a
-thousand holds it and it is also eight times as frequent as the median of those of
-its item that occur; all other sequences are the item's seeds. An item or a part of it
-copied into many documents makes the sequences there frequent alike, and keeps them. Where a seed occurs in a document, the item is aligned with the
-passage around it, word by word: 2 for equal words, -1 for unequal ones and for
+Every four-word sequence of an item is a seed, however many documents hold it. Where
+a seed occurs in a document, the item is aligned with the passage around it, word by word: 2 for equal words, -1 for unequal ones and for
 each skipped word. The score is the best local alignment over the best possible
 one; items of more than 64 words count as found once 64 words' worth aligns. A
 score of 0.6 is a hit: about three words in four the same and in order.
 
+An item that a common sequence names in many documents costs them little: items with
+too few words anywhere in a document to reach the score are left out in one step.
+
 Documents are searched where they are read: nothing is shuffled, so passages that
 a third of all documents share are no hot keys. The benchmark comes to the tasks
 in blocks of bounded size, one pass over the documents for each block.
@@ -31,7 +30,6 @@ from pyspark.sql import DataFrame, functions as F
 from cohortline.llm.text import PUNCTUATION, grams, id_and_text, pieces, words
 
 SEED_WORDS = 4
-COMMON_SHARE, COMMON_FACTOR = 1e-3, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 ENOUGH_WORDS = 64
 LEAST_SCORE = 0.6
@@ -65,17 +63,13 @@ class Items:
         owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
         place = np.arange(len(every)) - bounds[:-1][owner]
         order = np.lexsort((place, owner, every))
-        self.occurrence = every[order], owner[order], place[order]
-        self.index_seeds(np.ones(len(every), bool))
-
-    def index_seeds(self, keep: np.ndarray) -> None:
-        """Index the occurrences marked in ``keep``."""
-        every, owner, place = (x[keep] for x in self.occurrence)
-        self.seeds, first = np.unique(every, return_index=True)
+        self.owner, self.place = owner[order], place[order]
+        self.seeds, first = np.unique(every[order], return_index=True)
         self.first = np.append(first, len(every))
-        self.owner, self.place = owner, place
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.seeds & np.uint64((1 << _FILTER_BITS) - 1)] = True
+        self.vocabulary, numbers = np.unique(found, return_inverse=True)
+        self.numbers = numbers.reshape(-1)
 
     def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``hashes`` that hold a seed, and the seed's number."""
@@ -86,15 +80,17 @@ class Items:
         true = self.seeds[number] == hashes[maybe]
         return maybe[true], number[true]
 
-    def keep_rare(self, counts: np.ndarray, n_docs: int) -> None:
-        """Drop common n-grams; ``counts`` holds the documents of each seed."""
-        every, owner, _ = self.occurrence
-        frequency = counts[np.searchsorted(self.seeds, every)] if len(every) else np.zeros(0, np.int64)
-        middle = np.zeros(len(self.ids))
-        for i in np.unique(owner):
-            seen = frequency[(owner == i) & (frequency > 0)]
-            middle[i] = np.median(seen) if len(seen) else 0
-        self.index_seeds((frequency <= COMMON_SHARE * n_docs) | (frequency <= COMMON_FACTOR * middle[owner]))
+    def possible(self, document: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which of ``items`` have enough words in the document, wherever they stand."""
+        number = np.minimum(np.searchsorted(self.vocabulary, document), len(self.vocabulary) - 1)
+        present = np.zeros(len(self.vocabulary), bool)
+        present[number[self.vocabulary[number] == document]] = True
+        lengths = np.diff(self.at)[items]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.at[items] - (ends - lengths), lengths) + np.arange(ends[-1])
+        # seeds have words, so no item here is empty
+        shared = np.add.reduceat(present[self.numbers[at]].astype(np.int64), ends - lengths)
+        return shared >= LEAST_SCORE * np.minimum(lengths, ENOUGH_WORDS)
 
     def hits(self, texts: pa.Array) -> list[tuple[int, int, float, int]]:
         """Row, item number, score and last word of each item found in each text; the best place only."""
@@ -116,7 +112,11 @@ class Items:
         new[1:] = (rows[1:] != rows[:-1]) | (items[1:] != items[:-1]) | (starts[1:] - starts[:-1] > lengths[1:])
         cuts = np.append(np.flatnonzero(new), len(rows))
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for first, last in zip(cuts[:-1], cuts[1:] - 1):
+        begins, lasts = cuts[:-1], cuts[1:] - 1
+        by_row = np.append(np.flatnonzero(np.diff(rows[begins], prepend=-1)), len(begins))
+        good = np.concatenate([self.possible(found[at[rows[begins[x]]]:at[rows[begins[x]] + 1]], items[begins[x:y]])
+                               for x, y in zip(by_row[:-1], by_row[1:])])
+        for first, last in zip(begins[good], lasts[good]):
             row, item = int(rows[first]), int(items[first])
             own = self.words[self.at[item]:self.at[item + 1]]
             n_words = at[row + 1] - at[row]
@@ -147,37 +147,6 @@ def blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[I
         yield Items([r.item_id for r in own], [r.text for r in own])
 
 
-def with_rare_seeds(texts: DataFrame, items: Items) -> Items:
-    """``items`` with seeds chosen by their number of documents in the whole corpus."""
-    shared = texts.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        counts, n = np.zeros(len(own.seeds), np.int64), 0
-        for batch in batches:
-            for part in pieces(batch):
-                hashes, bounds = grams(*words(part.column("text"), PUNCTUATION), SEED_WORDS)
-                places, numbers = own.found(hashes)
-                rows = np.searchsorted(bounds, places, side="right") - 1
-                once = np.unique(rows * (len(own.seeds) + 1) + numbers) % (len(own.seeds) + 1)
-                np.add.at(counts, once, 1)
-                n += part.num_rows
-        seen = np.flatnonzero(counts)
-        # number -1 counts the documents themselves
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(counts[seen], n))], ["seed", "docs"])
-
-    found = texts.select("text").mapInArrow(run, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).collect()
-    counts = np.zeros(len(items.seeds), np.int64)
-    n_docs = 0
-    for r in found:
-        if r.seed < 0:
-            n_docs = r.docs
-        else:
-            counts[r.seed] = r.docs
-    items.keep_rare(counts, n_docs)
-    return items
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                  item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id``, ``item_id``, ``score`` and ``end_word`` (words of the document up to the passage's end) of each hit."""
@@ -185,7 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("end_word", pa.int64())])
     out = None
     for items in blocks(benchmark, item_column, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(with_rare_seeds(texts, items))
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -204,9 +173,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id",
                       item_text: str = "text") -> DataFrame:
     """The documents without a hit, with the columns they came with."""
-    texts = docs.select(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     for items in blocks(benchmark, item_column, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(with_rare_seeds(texts, items))
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

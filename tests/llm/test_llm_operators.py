@@ -447,6 +447,15 @@ def test_an_item_in_every_document_is_found(spark):
     assert decontaminate.contaminated(d, b).count() == 3000
 
 
+def test_a_part_in_many_documents_and_the_rest_in_one_are_found(spark):
+    item = [f"q{i}" for i in range(100)]
+    parts = [item[:42] if i < 100 else item[42:] if i == 100 else [] for i in range(200)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(20)] + w + [f"b{i}x{k}" for k in range(20)])) for i, w in enumerate(parts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(d, b).collect()} == set(range(101))
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     d, b, want = contaminated_fixture(spark)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1500)
