@@ -5,13 +5,14 @@ all labelled training texts. A byte is coded in the longest context that has bee
 seen; a byte new to a context costs an escape and is coded one order lower, without
 the bytes the longer context already excludes, down to equal shares. Statistics
 are frozen after learning, so a byte's code length depends on it and the three
-bytes before it alone, and is looked up in one table for all languages.
+bytes before it alone, and is looked up once for each distinct code of a slice.
 
-Bytes are read as an alphabet of 40 symbols: capital A-Z as lower case, white space
-as one, the most frequent 39 in training and one for all others. The table has
-40**4 entries per language (10 MB) whatever the corpus size; it is the only thing
-handed to the tasks. Counts come from all training texts, summed where they are
-read before they are shuffled, so a language that holds most rows is no hot key.
+All bytes count as themselves but capital A-Z (lower case) and white space (one
+space), so no script folds into another's. Only contexts that were seen are kept, in
+sorted arrays of each order, which grow with what the training texts hold; they
+come to the driver one language at a time and are handed to the tasks. Counts come
+from all training texts, summed where they are read before they are shuffled, so a
+language that holds most rows is no hot key.
 
 Defined cases: ``und`` with score 0 if a text is null or has no letter, or nothing
 was learned; ties go to the first language in order; a null id is a training id.
@@ -28,8 +29,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.llm.text import SPACE, flat, pieces
+from cohortline.session import materialize
 
-ORDER, SYMBOLS = 3, 40
+ORDER, BYTES = 3, 256
+# a small alphabet whose codes can all be listed (code_lengths)
+SYMBOLS = 40
+HELD_CODES = 1 << 21
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -42,100 +47,109 @@ def remainder(key: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def alphabet(training: DataFrame) -> np.ndarray:
-    """Symbol of each byte: 0 for bytes outside the most frequent ones."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(256, np.int64)
-        for batch in batches:
-            for part in pieces(batch):
-                counts += np.bincount(_FOLD[flat(part.column("text"))[0]], minlength=256)
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], ["byte", "n"])
-
-    found = training.select("text").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    common = sorted(found, key=lambda r: (-r.n, r.byte))[:SYMBOLS - 1]
-    symbols = np.zeros(256, np.int64)
-    symbols[sorted(r.byte for r in common)] = np.arange(1, len(common) + 1)
-    return symbols[_FOLD]
-
-
-def contexts(texts: pa.Array, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def contexts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Each byte with the three before it as one number, and where each text's numbers start and the last end."""
     data, at = flat(texts)
     padded = at + ORDER * np.arange(len(at))
-    stream = np.full(padded[-1] + ORDER, symbols[32], np.int64)
+    stream = np.full(padded[-1] + ORDER, 32, np.int64)
     own = np.arange(len(data)) + np.repeat(ORDER * np.arange(1, len(at)), np.diff(at))
-    stream[own] = symbols[data]
+    stream[own] = _FOLD[data]
     code = stream.copy()
     for back in range(1, ORDER + 1):
-        code[back:] += stream[:-back] * SYMBOLS**back
+        code[back:] += stream[:-back] * BYTES**back
     return code[own], at
 
 
-def counted(training: DataFrame, symbols: np.ndarray) -> DataFrame:
-    """``lang``, ``code``, ``n``: how often each byte followed each three in each language."""
-    size = SYMBOLS**(ORDER + 1)
+def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order and the sum of each."""
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.add.reduceat(n, first) if len(n) else n
 
+
+def counted(training: DataFrame) -> DataFrame:
+    """``lang``, ``code``, ``n``: how often each byte followed each three in each language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        totals: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def given(lang: str) -> Iterator[pa.RecordBatch]:
+            codes, n = summed(*map(np.concatenate, zip(*totals.pop(lang))))
+            for k in range(0, len(codes), 1 << 16):
+                part = codes[k:k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.int64()),
+                                                  pa.array(n[k:k + (1 << 16)], pa.int64())], ["lang", "code", "n"])
+
         for batch in batches:
             for part in pieces(batch):
-                codes, at = contexts(part.column("text"), symbols)
+                codes, at = contexts(part.column("text"))
                 langs = np.array(part.column("lang").to_pylist(), object)
                 for lang in set(langs.tolist()):
-                    mine = np.repeat(langs == lang, np.diff(at))
-                    found, n = np.unique(codes[mine], return_counts=True)
-                    totals.setdefault(lang, np.zeros(size, np.int32))[found] += n.astype(np.int32)
-        for lang, n in totals.items():
-            seen = np.flatnonzero(n)
-            for k in range(0, len(seen), 1 << 16):
-                part = seen[k:k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.int32()),
-                                                  pa.array(n[part], pa.int64())], ["lang", "code", "n"])
-
-    return training.select("text", "lang").mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(
+                    own = totals.setdefault(lang, [])
+                    own.append(np.unique(codes[np.repeat(langs == lang, np.diff(at))], return_counts=True))
+                    if sum(len(c) for c, _ in own) > 2 * HELD_CODES // len(totals):
+                        totals[lang] = [summed(*map(np.concatenate, zip(*own)))]
+                        # many seen codes go on to be summed outside
+                        if len(totals[lang][0][0]) > HELD_CODES // len(totals):
+                            yield from given(lang)
+        for lang in list(totals):
+            yield from given(lang)
+
+    return training.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(
         F.sum("n").alias("n"))
 
 
+class Contexts:
+    """Partial matching with exclusion over the contexts that were seen, in sorted arrays of each order."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, symbols: int = BYTES):
+        self.symbols, self.orders = symbols, []
+        before = None
+        for order in range(ORDER + 1):
+            own, counts = summed(codes % symbols**(order + 1), n)
+            names, first = np.unique(own // symbols, return_index=True)
+            total, kinds = np.add.reduceat(counts, first), np.diff(np.append(first, len(own)))
+            lower = np.full(len(own), 1 / symbols) if before is None else before[1][np.searchsorted(before[0], own % symbols**order)]
+            # what the order below leaves to symbols not seen here
+            left = np.maximum(1 - np.add.reduceat(lower, first), 1e-12)
+            # where every symbol has been seen nothing can escape
+            shares = counts / np.repeat(total + np.where(kinds < symbols, kinds, 0), kinds)
+            before = own, shares
+            self.orders.append((own, shares, names, kinds / (total + kinds) / left))
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of each code's last symbol after the ones before it."""
+        share = np.full(len(codes), 1 / self.symbols)
+        for order, (own, shares, names, escapes) in enumerate(self.orders):
+            code = codes % self.symbols**(order + 1)
+            at = np.minimum(np.searchsorted(own, code), len(own) - 1)
+            name = np.minimum(np.searchsorted(names, code // self.symbols), len(names) - 1)
+            share = np.where(names[name] == code // self.symbols, escapes[name] * share, share)
+            share = np.where(own[at] == code, shares[at], share)
+        return -np.log2(share)
+
+
 def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Bits of each symbol after each three, by partial matching with exclusion."""
-    tree = counts.reshape((SYMBOLS,) * (ORDER + 1))
-
-    def shares(own: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        seen = own > 0
-        total, kinds = own.sum(-1, keepdims=True), seen.sum(-1, keepdims=True)
-        shared = np.broadcast_to(lower, own.shape)
-        rest = np.where(seen, 0, shared)
-        left = rest.sum(-1, keepdims=True)
-        # where every symbol has been seen nothing can escape
-        escape = np.where(left > 0, kinds, 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            found = np.where(seen, own / (total + escape), kinds / (total + kinds) * rest / left)
-        return np.where(total > 0, found, shared)
-
-    lower = np.full(SYMBOLS, 1 / SYMBOLS)
-    for order in range(ORDER):
-        lower = shares(tree.sum(axis=tuple(range(ORDER - order)), dtype=np.float64), lower)
-    # the longest contexts by their first symbol, which keeps the memory of one step small
-    out = np.empty(tree.shape, np.float32)
-    for first in range(SYMBOLS):
-        out[first] = -np.log2(shares(tree[first].astype(np.float64), lower))
-    return out.ravel()
+    """Bits of all codes of a small alphabet (``SYMBOLS``), from their counts."""
+    seen = np.flatnonzero(counts)
+    return Contexts(seen, counts[seen].astype(np.int64), SYMBOLS).bits(np.arange(len(counts)))
 
 
 class Languages:
     """Frozen statistics of all languages."""
 
-    def __init__(self, names: list[str], symbols: np.ndarray, bits: np.ndarray):
-        self.names, self.symbols, self.bits = names, symbols, bits
+    def __init__(self, names: list[str], trees: list[Contexts]):
+        self.names, self.trees = names, trees
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Code length in bits of each text in each language."""
-        codes, at = contexts(texts, self.symbols)
+        codes, at = contexts(texts)
         out = np.zeros((len(at) - 1, len(self.names)))
         full = np.flatnonzero(np.diff(at))
         if len(full):
-            out[full] = np.add.reduceat(self.bits[codes], at[full], axis=0, dtype=np.float64)
+            kinds, number = np.unique(codes, return_inverse=True)
+            for k, tree in enumerate(self.trees):
+                out[full, k] = np.add.reduceat(tree.bits(kinds)[number], at[full])
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -154,16 +168,13 @@ def learned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     key = F.col(f"`{id_column}`")
     training = docs.select(F.col(f"`{text_column}`").alias("text"), F.col(f"`{lang_column}`").alias("lang"), key.alias("key")).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("key"), 3) != 1)).select("text", "lang")
-    symbols = alphabet(training)
-    counts = counted(training, symbols).toPandas()
-    names = sorted(set(counts["lang"]))
-    bits = np.empty((SYMBOLS**(ORDER + 1), len(names)), np.float32)
-    for k, name in enumerate(names):
-        own = counts[counts["lang"] == name]
-        dense = np.zeros(len(bits), np.int32)
-        dense[own["code"].to_numpy()] = own["n"].to_numpy()
-        bits[:, k] = code_lengths(dense)
-    return docs.sparkSession.sparkContext.broadcast(Languages(names, symbols, bits))
+    counts = materialize(counted(training), "counts")
+    names = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    trees = []
+    for name in names:
+        own = counts.filter(F.col("lang") == name).select("code", "n").toPandas()
+        trees.append(Contexts(own["code"].to_numpy(), own["n"].to_numpy()))
+    return docs.sparkSession.sparkContext.broadcast(Languages(names, trees))
 
 
 def predicted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:

@@ -209,6 +209,19 @@ def test_languages_of_held_out_texts(spark):
     assert sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_small_languages_of_one_script_beside_a_large_one(spark):
+    rng = random.Random(4)
+    latin = [f"{w}{x}" for w in ("lorem", "quick", "jumps", "vexed", "zebra", "fghkw") for x in "0123456789.,;:!?-()'"]
+    # words of one length in letters of one script, in two orders
+    scripts = {"la": latin, "uk": ["кот", "дом", "сад", "лес"], "bg": ["ток", "мод", "дас", "сел"]}
+    rows = [(i, lang, " ".join(rng.choice(scripts[lang]) for _ in range(2000 if lang == "la" else 12)))
+            for i in range(600) for lang in [("la", "la", "uk", "bg")[i % 4]]]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predicted(d).collect()}
+    assert all(got[i][0] == lang and got[i][1] > 0.9 for i, lang, _ in rows)
+    assert langid.keep_identified(d).count() == len(rows)
+
+
 def test_odd_languages(odd, none):
     rows = langid.predicted(odd).collect()
     assert len(rows) == 10
