@@ -21,7 +21,8 @@ So a group of thousands of near copies costs a few comparisons per copy, no vert
 is left out for being in a large node, and only vertices of one label are never
 compared. A pair of similarity s that must branch stays together with probability
 1 - q, q = (1 - s + s * q)^2 at any depth: at 0.75 one tree finds it with
-0.75 * 0.889 = 0.667 at least, and all eight miss it with 0.00015 at most.
+0.75 * 0.889 = 0.667 at least, and all eight miss it with 0.00015 at most, if
+draws were independent; the trees share 64 tokens, each in an order of its own.
 
 Candidates pass an estimate over 64 minwise tokens (0.5 or more; four and a half
 standard deviations below the limit) before sets are compared. Texts are only kept
