@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cohortline.llm import bpe, chat, decontaminate, exact_dedup, extract, langid, lm, near_dup, packing, sharding
+from cohortline.llm import (bpe, chat, collocations, decontaminate, exact_dedup, extract, hard_negatives, harmonic, langid, lm,
+                            near_dup, packing, sharding)
 from cohortline.llm.text import documents
 
 
@@ -55,10 +56,26 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.conversation_turns(chat.threads(rows), "conv_id", "node", "parent", "role", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; every seventh row takes the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder))
+
+
+def op13_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return harmonic.piece_checksums(harmonic.sequences(documents(spark, folder)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_html_text, op2_packed_token_ids, op3_language_id, op4_exact_dedup, op5_lm_score, op6_minhash_near_dedup,
-    op7_decontaminate, op8_bpe_codec, op9_sharding, op10_chat_format)} | {"pipeline": corpus_pipeline.run}
+    op7_decontaminate, op8_bpe_codec, op9_sharding, op10_chat_format, op11_hard_negatives, op12_collocations,
+    op13_harmonic_packing)} | {"pipeline": corpus_pipeline.run}
 CHECKS: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dup.SQL,
-                          "op9_sharding": sharding.SQL, "op10_chat_format": chat.SQL}
+                          "op9_sharding": sharding.SQL, "op10_chat_format": chat.SQL,
+                          "op11_hard_negatives": hard_negatives.SQL, "op12_collocations": collocations.SQL}
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
