@@ -92,32 +92,37 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int
 def dataframe_profiler(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Per column: type, missing count and share, distinct values, most frequent value and its count.
 
-    Exact mode counts values once in long form; both aggregation steps combine
-    on the map side, so a value that fills a column is no hot spot.
-    ``approximate=True`` estimates the distinct count and leaves the values out.
+    Every column is counted by itself, in its own type: a scan of that column alone, combined on the map side, so
+    what is shuffled is at most its distinct values per task, and only those are ever written as text. A value that
+    fills a column is no hot spot. ``approximate=True`` estimates the distinct counts in one pass and leaves the
+    values out.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    long = unpivot(df, [], df.columns, "column_name", "value", cast="string")
-    dtype = F.element_at(F.create_map(*[F.lit(x) for kv in types.items() for x in kv]), F.col("column_name"))
     share = half_even(F.lit(100.0) * F.col("null_total") / F.col("rows"))
     if approximate:
-        flat = long.groupBy("column_name").agg(
-            F.count("*").alias("rows"), F.count_if(F.col("value").isNull()).alias("null_total"),
-            F.approx_count_distinct("value").alias("unique_values"))
-        return flat.select("column_name", dtype.alias("dtype"), "null_total", share.alias("null_percentage"),
-                           "unique_values")
-    counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    present = F.col("value").isNotNull()
-    # most frequent first, smaller text on equal counts
-    best = F.min_by(F.col("value"), F.when(present, F.struct(-F.col("n"), F.col("value"))))
-    flat = counts.groupBy("column_name").agg(
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("null_total"),
-        F.count("value").alias("unique_values"),
-        best.alias("max_unique_value"),
-        F.max(F.when(present, F.col("n"))).alias("max_unique_value_total"))
-    return flat.select("column_name", dtype.alias("dtype"), "null_total", share.alias("null_percentage"),
-                       "unique_values", "max_unique_value", "max_unique_value_total")
+        one = df.agg(F.count("*").alias("rows"), *[f for i, c in enumerate(df.columns) for f in (
+            F.count_if(quoted(c).isNull()).alias(f"m{i}"), F.approx_count_distinct(quoted(c)).alias(f"u{i}"))])
+        return one.select(F.inline(F.array(*[F.struct(
+            F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"), F.col(f"m{i}").alias("null_total"),
+            half_even(F.lit(100.0) * F.col(f"m{i}") / F.col("rows")).alias("null_percentage"),
+            F.col(f"u{i}").alias("unique_values")) for i, c in enumerate(df.columns)])))
+    out = None
+    for c in df.columns:
+        # maps cannot be grouped by
+        value = quoted(c).cast("string") if types[c].startswith("map") else quoted(c)
+        counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
+        present, text = F.col("value").isNotNull(), F.col("value").cast("string")
+        # most frequent first, smaller text on equal counts
+        best = F.min(F.when(present, F.struct((-F.col("n")).alias("n"), text.alias("value"))))
+        flat = counts.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("null_total"),
+            F.count("value").alias("unique_values"), best.alias("best"))
+        flat = flat.filter("rows > 0").select(
+            F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"), "null_total", share.alias("null_percentage"),
+            "unique_values", F.col("best.value").alias("max_unique_value"), (-F.col("best.n")).alias("max_unique_value_total"))
+        out = flat if out is None else out.unionByName(flat)
+    return out
 
 
 def column_variances(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

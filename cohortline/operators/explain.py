@@ -1,4 +1,9 @@
-"""Attribution of scores to features, and its rendering."""
+"""Attribution of scores to features, and its rendering.
+
+Scores over feature arrays (:mod:`cohortline.operators.scores`) are explained where
+the rows lie; no row is multiplied. :func:`kernel_shap` is for scores that need a
+DataFrame, and refuses what would multiply rows too often.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +17,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortline.functions.cleaning import quoted
 from cohortline.functions.features import confusion_flags, half_even, threshold_class
 from cohortline.operators.ranks import sql_name, unpivot
+from cohortline.operators.scores import CELLS_AT_ONCE, LinearScore  # noqa: F401
+from cohortline.session import bucket_count
 
 MAX_EXACT_FEATURES = 20  # 2**20 coalitions; beyond, permutations must be asked for
 MAX_BACKGROUND_ROWS = 1000
-CELLS_AT_ONCE = 1 << 20
+MAX_COPIES = 1 << 18  # of a row, for scores that need a DataFrame
+ROWS_AT_ONCE = 256
 
 
 def coalition_plan(p: int, permutations: int | None = None, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -45,18 +53,41 @@ def coalition_plan(p: int, permutations: int | None = None, seed: int = 42) -> t
     return np.array([np.frombuffer(k, bool) for k in keys]), np.stack([terms[k] for k in keys], axis=1)
 
 
-class LinearScore:
-    """The logistic curve over a linear function; missing features take their fill value."""
-
-    def __init__(self, weights: Sequence[float], bias: float, fill: Sequence[float] | None = None):
-        self.weights = np.asarray(weights, np.float64)
-        self.bias = float(bias)
-        self.fill = np.zeros(len(self.weights)) if fill is None else np.asarray(fill, np.float64)
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-(np.where(np.isnan(x), self.fill, x) @ self.weights + self.bias)))
-
-    def coalition_values(self, rows: np.ndarray, background: np.ndarray, masks: np.ndarray) -> np.ndarray:
+def coalition_slices(p: int, step: int, permutations: int | None = None, seed: int = 42) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows and weights of :func:`coalition_plan`, so many at once: subsets are counted through, never held together."""
+    if permutations is not None:
+        masks, weights = coalition_plan(p, permutations, seed)
+        for at in range(0, len(masks), step):
+            yield masks[at:at + step], weights[:, at:at + step]
+        return
+    if p > MAX_EXACT_FEATURES:
+        raise ValueError(f"{p} features have too many coalitions: ask for permutations")
+    inside = np.array([0.0] + [factorial(s - 1) * factorial(p - s) / factorial(p) for s in range(1, p + 1)])
+    outside = np.array([-factorial(s) * factorial(p - s - 1) / factorial(p) for s in range(p)] + [0.0])
+    for at in range(0, 1 << p, step):
+        masks = (np.arange(at, min(1 << p, at + step))[:, None] >> np.arange(p) & 1).astype(bool)
+        size = masks.sum(axis=1)
+        yield masks, np.where(masks, inside[size][:, None], outside[size][:, None]).T
+
+
+def attributions(score: Callable[[np.ndarray], np.ndarray], rows: np.ndarray, background: np.ndarray,
+                 permutations: int | None = None, seed: int = 42) -> np.ndarray:
+    """Shapley values of a score over arrays, one row each, in slices of bounded size."""
+    if permutations is None and hasattr(score, "attributions"):
+        return score.attributions(rows, background)
+    p = rows.shape[1]
+    phi = np.zeros(rows.shape)
+    step = max(1, CELLS_AT_ONCE // max(len(rows), len(background), 1))
+    for masks, weights in coalition_slices(p, step, permutations, seed):
+        if hasattr(score, "coalition_values"):
+            values = score.coalition_values(rows, background, masks)
+        else:
+            values = coalition_values(score, rows, background, masks)
+        phi += values @ weights.T
+    return phi
+
+
+def coalition_values(self, rows: np.ndarray, background: np.ndarray, masks: np.ndarray) -> np.ndarray:
         """Mean score of each row under each coalition: the row's own part and the background's add up."""
         own = np.where(np.isnan(rows), self.fill, rows) * self.weights
         other = np.where(np.isnan(background), self.fill, background) * self.weights
@@ -94,31 +125,29 @@ def shapley(df: DataFrame, id_col: str, features: Sequence[str], background: Dat
             score: Callable[[np.ndarray], np.ndarray], permutations: int | None = None, seed: int = 42) -> DataFrame:
     """Shapley attributions of a score over feature arrays, in long form ``(id, feature, phi)``.
 
-    Rows are explained in the batches they arrive in: coalitions are evaluated in
-    arrays of bounded size, no row is multiplied and nothing is shuffled. Exact
-    for all coalitions unless ``permutations`` are asked for.
+    No row is multiplied. A row takes milliseconds, so rows are dealt over all
+    tasks first, whatever files they come from. Exact unless ``permutations`` are
+    asked for.
     """
     features = list(features)
+    if permutations is None and len(features) > MAX_EXACT_FEATURES and not getattr(score, "additive", False):
+        raise ValueError(f"{len(features)} features have too many coalitions: ask for permutations")
     other = background_rows(background, features)
-    masks, weights = coalition_plan(len(features), permutations, seed)
+    spark = df.sparkSession
     id_type = df.select(quoted(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at:at + 64]
-                rows = part[names].to_numpy(dtype="float64")
-                if hasattr(score, "coalition_values"):
-                    values = score.coalition_values(rows, other, masks)
-                else:
-                    values = coalition_values(score, rows, other, masks)
-                phi = values @ weights.T
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[at:at + ROWS_AT_ONCE]
+                phi = attributions(score, part[names].to_numpy(dtype="float64"), other, permutations, seed)
                 yield pd.DataFrame({id_col: np.repeat(part[id_col].to_numpy(), len(features)),
                                     "feature": np.tile(np.array(features, object), len(part)), "phi": phi.ravel()})
 
     names = [f"__f{i}" for i in range(len(features))]
     wide = df.select(quoted(id_col), *[quoted(c).cast("double").alias(n) for c, n in zip(features, names)])
-    return wide.mapInPandas(run, f"{sql_name(id_col)} {id_type}, feature string, phi double")
+    dealt = wide.repartition(bucket_count(spark, spark.sparkContext.defaultParallelism), quoted(id_col))
+    return dealt.mapInPandas(run, f"{sql_name(id_col)} {id_type}, feature string, phi double")
 
 
 def kernel_shap(df: DataFrame, id_col: str, features: Sequence[str], background: DataFrame | Sequence[Sequence],
@@ -135,7 +164,10 @@ def kernel_shap(df: DataFrame, id_col: str, features: Sequence[str], background:
     if len(features) > 62:
         raise ValueError("a coalition of more than 62 features does not fit a mask")
     other = background_rows(background, features)
-    masks, weights = coalition_plan(len(features), permutations, seed)
+    p = len(features)
+    if (1 << p if permutations is None else permutations * p + 1) * len(other) > MAX_COPIES:
+        raise ValueError(f"a row would be copied more than {MAX_COPIES} times: use shapley, fewer features or permutations")
+    masks, weights = coalition_plan(p, permutations, seed)
     codes = [int(sum(1 << int(j) for j in np.flatnonzero(m))) for m in masks]
     b = len(other)
     mask_of = F.array(*[F.lit(m).cast("bigint") for m in codes])

@@ -1,10 +1,16 @@
 """Exact k nearest neighbors within one table, without comparing all pairs.
 
-Points are cut into leaves by median splits learned on a bounded sample. A
-point's neighbors inside its own leaf bound how far the true ones can be; only
-leaves whose box reaches within that distance are visited. Leaves and query
-chunks have bounded sizes, so no task holds a large group, and nothing is cut off:
-the lists are exact, ties going to the smaller id.
+Points are cut into leaves by median splits. A first tree is learned on a bounded
+sample; leaves that turn out too large are split again by trees that are learned
+per leaf, on samples of their own, until all are bounded, however many points there
+are. What the driver holds is the tree and a box per leaf.
+
+The search goes from near to far: a point's own leaf first, then, in rounds that
+double, the next leaves by the distance of their box, as long as that does not exceed
+the k-th distance found so far, which shrinks from round to round. Inside a leaf
+the points lie in small cells with boxes of their own, visited likewise. Leaves,
+cells and query chunks have bounded sizes, so no task holds a large group, and
+nothing is cut off: the lists are exact, ties going to the smaller id.
 
 Copies of a vector would make a leaf unsplittable. Only the lowest ``k + 1`` ids
 of a vector can ever appear in a list, so each vector enters once with those ids.
@@ -12,7 +18,7 @@ of a vector can ever appear in a list, so each vector enters once with those ids
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,162 +27,314 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from cohortline.operators.ranks import hash_int
 from cohortline.session import materialize
 
-LEAF_ROWS = 4096
-MAX_LEAVES = 4096
+LEAF_ROWS = 8192
+CELL_ROWS = 128
 SAMPLE_PER_LEAF = 32
+SAMPLE_ROWS = 1 << 15  # of a tree, or of one leaf that is split again
+MAX_LEVELS = 12
 QUERIES_PER_TASK = 200_000
-CELLS_PER_BLOCK = 4_000_000
+CELLS_AT_ONCE = 4_000_000
+NEAR = "array<struct<d2:double,id:bigint>>"
+
 
+class Tree:
+    """Median splits: inner nodes go left below ``cut``, leaves have ``dim`` -1 and a number."""
 
-def _grow(sample: np.ndarray, leaves: int) -> list[tuple]:
-    """Median-split tree as a list of ``(dim, cut, left, right)`` or ``(-1, leaf, -1, -1)`` nodes."""
-    nodes: list[tuple] = []
-    found = 0
+    def __init__(self):
+        self.dim, self.cut, self.left, self.right = [-1], [0.0], [-1], [-1]
 
-    def build(points: np.ndarray, want: int) -> int:
-        nonlocal found
-        me = len(nodes)
-        nodes.append(())
+    def grow(self, node: int, points: np.ndarray, leaves: int) -> None:
+        """Split a leaf into about so many."""
         spread = points.max(axis=0) - points.min(axis=0) if len(points) else np.zeros(1)
-        if want <= 1 or len(points) < 2 or spread.max() <= 0:
-            nodes[me] = (-1, found, -1, -1)
-            found += 1
-            return me
+        if leaves <= 1 or len(points) < 2 or not spread.max() > 0:
+            return
         dim = int(spread.argmax())
         x = points[:, dim]
         cut = float(np.median(x))
         if not (x < cut).any():
             cut = float(x[x > x.min()].min())
         low = x < cut
-        left = build(points[low], want // 2)
-        right = build(points[~low], want - want // 2)
-        nodes[me] = (dim, cut, left, right)
-        return me
+        at = len(self.dim)
+        self.dim += [-1, -1]
+        self.cut += [0.0, 0.0]
+        self.left += [-1, -1]
+        self.right += [-1, -1]
+        self.dim[node], self.cut[node], self.left[node], self.right[node] = dim, cut, at, at + 1
+        self.grow(at, points[low], leaves // 2)
+        self.grow(at + 1, points[~low], leaves - leaves // 2)
 
-    build(sample, leaves)
-    return nodes
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return tuple(np.array(a) for a in (self.dim, self.cut, self.left, self.right))
 
 
-def _leaf_of(x: np.ndarray, nodes: list[tuple]) -> np.ndarray:
-    at = np.zeros(len(x), dtype=np.int64)
-    dims = np.array([n[0] for n in nodes])
-    cuts = np.array([n[1] for n in nodes], dtype="float64")
-    left = np.array([n[2] for n in nodes])
-    right = np.array([n[3] for n in nodes])
+def _leaf_of(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The leaf node of each row."""
+    dim, cut, left, right = tree
+    at = np.zeros(len(x), np.int64)
     rows = np.arange(len(x))
     while True:
-        open_rows = rows[dims[at] >= 0]
-        if not len(open_rows):
-            return cuts[at].astype("int32")
-        node = at[open_rows]
-        low = x[open_rows, dims[node]] < cuts[node]
-        at[open_rows] = np.where(low, left[node], right[node])
-
-
-def _closest(queries: np.ndarray, points: np.ndarray, owner: np.ndarray, ids: np.ndarray, want: int):
-    """Lists of up to ``want`` (distance, id) per query; ``points`` may hold several ids per vector via ``owner``."""
-    names, dists = [], []
-    block = max(1, CELLS_PER_BLOCK // max(1, len(owner)))
-    for s in range(0, len(queries), block):
-        q = queries[s:s + block]
-        d = np.zeros((len(q), len(points)))
-        for j in range(points.shape[1]):  # fixed summation order keeps equal distances equal
-            gap = q[:, j:j + 1] - points[None, :, j]
-            d += gap * gap
-        d = d[:, owner]
-        k = min(want, d.shape[1])
-        # everything tied with the k-th distance stays in until ids decide
-        edge = np.partition(d, k - 1, axis=1)[:, k - 1]
-        for r in range(len(q)):
-            near = np.flatnonzero(d[r] <= edge[r])
-            order = np.lexsort((ids[near], d[r][near]))[:k]
-            names.append(ids[near][order].tolist())
-            dists.append(d[r][near][order].tolist())
-    return names, dists
+        rows = rows[dim[at[rows]] >= 0]
+        if not len(rows):
+            return at
+        node = at[rows]
+        at[rows] = np.where(x[rows, dim[node]] < cut[node], left[node], right[node])
+
+
+def _box_distances(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each row from each box."""
+    out = np.zeros((len(x), len(low)))
+    for j in range(x.shape[1]):
+        gap = np.maximum(np.maximum(low[:, j] - x[:, j:j + 1], x[:, j:j + 1] - high[:, j]), 0.0)
+        out += gap * gap
+    return out
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype("float64") if len(column) else np.zeros((0, 1))
 
 
-def _members(pdf: pd.DataFrame):
-    sizes = pdf["ids"].map(len).to_numpy()
-    return (_matrix(pdf["vec"]), np.repeat(np.arange(len(pdf)), sizes),
-            np.concatenate(pdf["ids"].to_numpy()).astype("int64"))
+class Points:
+    """The points of one leaf in cells."""
+
+    def __init__(self, pdf: pd.DataFrame, cell_rows: int = 0):
+        self.points = _matrix(pdf["vec"])
+        sizes = pdf["ids"].map(len).to_numpy()
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.concatenate(pdf["ids"].to_numpy()).astype("int64")
+        tree = Tree()
+        tree.grow(0, self.points, -(-len(self.points) // (cell_rows or CELL_ROWS)))
+        cell = _leaf_of(self.points, tree.arrays())
+        order = np.argsort(cell, kind="stable")
+        cuts = np.flatnonzero(np.diff(cell[order])) + 1
+        self.cells = np.split(order, cuts)
+        self.low = np.array([self.points[c].min(axis=0) for c in self.cells])
+        self.high = np.array([self.points[c].max(axis=0) for c in self.cells])
+        self.owner = [np.repeat(np.arange(len(c)), sizes[c]) for c in self.cells]
+        self.ids = [np.concatenate([ids[first[i]:first[i + 1]] for i in c]) for c in self.cells]
+
+    def nearest(self, queries: np.ndarray, reach: np.ndarray, want: int) -> Nearest:
+        """Up to ``want`` ids per query, none farther than its ``reach``."""
+        found = Nearest(reach, want)
+        step = max(1, CELLS_AT_ONCE // len(self.cells))
+        for at in range(0, len(queries), step):
+            x = queries[at:at + step]
+            away = _box_distances(x, self.low, self.high)
+            closest = away.argmin(axis=1)
+            # the closest cell of each query first, so that the others are held against what it has
+            for again in (False, True):
+                found.settle()
+                for c in range(len(self.cells)):
+                    # a hair of slack, so rounding in the box distance can only add a visit
+                    asked = np.flatnonzero((closest != c if again else closest == c)
+                                           & (away[:, c] <= found.reach[at:at + len(x)] * (1 + 1e-9)))
+                    block = max(1, CELLS_AT_ONCE // len(self.owner[c]))
+                    for k in range(0, len(asked), block):
+                        rows = asked[k:k + block]
+                        found.add(rows + at, self._distances(x[rows], c)[:, self.owner[c]], self.ids[c])
+        return found
+
+    def _distances(self, x: np.ndarray, cell: int) -> np.ndarray:
+        points = self.points[self.cells[cell]]
+        out = np.zeros((len(x), len(points)))
+        for j in range(points.shape[1]):  # a fixed order of summation keeps equal distances equal
+            gap = x[:, j:j + 1] - points[None, :, j]
+            out += gap * gap
+        return out
+
+
+class Nearest:
+    """Per query the first ``want`` by distance and then id; ``reach`` is the last one's distance once there are so many."""
+
+    def __init__(self, reach: np.ndarray, want: int):
+        self.reach, self.want = reach.astype(float).copy(), want
+        self.row, self.d2, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.pending: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, rows: np.ndarray, d2: np.ndarray, ids: np.ndarray) -> None:
+        """Distances of some queries (each once) from some ids."""
+        if d2.shape[1] > self.want:
+            edge = np.partition(d2, self.want - 1, axis=1)[:, self.want - 1]
+            self.reach[rows] = np.minimum(self.reach[rows], edge)
+        row, col = np.nonzero(d2 <= self.reach[rows][:, None])
+        self.pending.append((rows[row], d2[row, col], ids[col]))
+        self.held += len(row)
+        if self.held > max(1 << 16, 2 * self.want * len(self.reach)):
+            self.settle()
+
+    def settle(self) -> None:
+        row, d2, ids = (np.concatenate([kept, *[p[i] for p in self.pending]])
+                        for i, kept in enumerate((self.row, self.d2, self.id)))
+        self.pending, self.held = [], 0
+        order = np.lexsort((ids, d2, row))
+        row, d2, ids = row[order], d2[order], ids[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = (rank < self.want) & (d2 <= self.reach[row])
+        last = keep & (rank == self.want - 1)
+        self.reach[row[last]] = np.minimum(self.reach[row[last]], d2[last])
+        self.row, self.d2, self.id = row[keep], d2[keep], ids[keep]
+
+    def lists(self, queries: int) -> list[list[tuple[float, int]]]:
+        self.settle()
+        cuts = np.searchsorted(self.row, np.arange(1, queries))
+        return [list(zip(d.tolist(), i.tolist())) for d, i in zip(np.split(self.d2, cuts), np.split(self.id, cuts))]
+
+
+def _as_structs(lists: list[list[tuple[float, int]]]) -> list[list[dict]]:
+    return [[{"d2": d, "id": i} for d, i in one] for one in lists]
+
 
+def fit_tree(vectors: DataFrame, n: int, leaf_rows: int) -> tuple[tuple[np.ndarray, ...], pd.DataFrame]:
+    """The tree over ``(vid, vec)``, and per leaf its number of rows and box."""
+    dims = len(vectors.select("vec").first()[0])
+    tree, oversize = Tree(), {0: n}
+    for _ in range(MAX_LEVELS):
+        grown = _grown(vectors, tree, oversize, leaf_rows)
+        boxes = _placed(vectors, tree.arrays()).groupBy("leaf").agg(
+            F.count("*").alias("n"), *[f(F.col("vec")[j]).alias(f"{k}{j}") for j in range(dims)
+                                       for k, f in (("lo", F.min), ("hi", F.max))]).orderBy("leaf").toPandas()
+        oversize = {int(r): int(c) for r, c in zip(boxes["leaf"], boxes["n"]) if c > 2 * leaf_rows}
+        if not grown or not oversize:
+            break
+    return tree.arrays(), boxes
 
-def vector_neighbors(vectors: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+
+def _placed(vectors: DataFrame, tree: tuple[np.ndarray, ...]) -> DataFrame:
+    @F.pandas_udf("int")
+    def leaf(vec: pd.Series) -> pd.Series:
+        return pd.Series(_leaf_of(_matrix(vec), tree), dtype="int32")
+
+    return vectors.withColumn("leaf", leaf("vec"))
+
+
+def _grown(vectors: DataFrame, tree: Tree, oversize: dict[int, int], leaf_rows: int) -> bool:
+    """Split the leaves named with their sizes, each by a tree learned on a sample of its own; whether any was split."""
+    before = len(tree.dim)
+    wanted = {leaf: min(-(-n // leaf_rows), SAMPLE_ROWS // SAMPLE_PER_LEAF) for leaf, n in oversize.items()}
+    wanted = {leaf: k for leaf, k in wanted.items() if k > 1}
+    if not wanted:
+        return False
+    share = {leaf: min(1.0, SAMPLE_PER_LEAF * k / oversize[leaf]) for leaf, k in wanted.items()}
+    if before == 1:
+        picked = vectors.filter(hash_int(F.col("vid"), "leaf") < F.lit(int(share[0] * (1 << 60))))
+        tree.grow(0, _matrix(picked.select("vec").toPandas()["vec"]), wanted[0])
+        return len(tree.dim) > before
+    limits = np.zeros(before)
+    limits[list(share)] = list(share.values())
+    levels = len(tree.dim)
+    arrays = tree.arrays()
+
+    @F.pandas_udf("double")
+    def limit(leaf: pd.Series) -> pd.Series:
+        return pd.Series(limits[leaf.to_numpy()])
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, leaf = Tree(), int(pdf["leaf"].iloc[0])
+        own.grow(0, _matrix(pdf["vec"]), wanted[leaf])
+        dim, cut, left, right = own.arrays()
+        return pd.DataFrame({"leaf": leaf, "node": np.arange(len(dim)), "dim": dim, "cut": cut, "l": left, "r": right})
+
+    sampled = _placed(vectors, arrays).filter(
+        hash_int(F.col("vid"), F.lit(levels), "leaf") < (limit("leaf") * float(1 << 60)).cast("bigint"))
+    found = sampled.groupBy("leaf").applyInPandas(learn, "leaf int, node int, dim int, cut double, l int, r int").toPandas()
+    for leaf, nodes in found.sort_values(["leaf", "node"]).groupby("leaf"):
+        # the subtree's root takes the leaf's place, its other nodes follow at the end
+        shift = len(tree.dim) - 1
+        place = lambda k: int(leaf) if k == 0 else int(k) + shift
+        for dim, cut, left, right in zip(nodes["dim"], nodes["cut"], nodes["l"], nodes["r"]):
+            values = int(dim), float(cut), place(left) if dim >= 0 else -1, place(right) if dim >= 0 else -1
+            for column, v in zip((tree.dim, tree.cut, tree.left, tree.right), values):
+                column.append(v)
+        for column in (tree.dim, tree.cut, tree.left, tree.right):
+            column[int(leaf)] = column.pop(shift + 1)
+    return len(tree.dim) > before
+
+
+def vector_neighbors(vectors: DataFrame, k: int, leaf_rows: int = LEAF_ROWS, visits: list[tuple[int, int]] | None = None) -> DataFrame:
     """For each distinct vector ``(vid, vec, ids)`` its ``k + 1`` nearest ids, itself included:
-    ``(vid, near array<struct<d2, id>>)``."""
+    ``(vid, near array<struct<d2, id>>)``. ``visits`` collects the points and leaf visits of every round."""
     want = k + 1
     vectors = materialize(vectors, "vectors")  # read by every step below
     n = vectors.count()
-    leaves = min(MAX_LEAVES, max(1, -(-n // leaf_rows)))
-    if leaves > 1:
-        share = min(1.0, SAMPLE_PER_LEAF * leaves / n)
-        picked = vectors.filter(hash_int(F.col("vid"), "leaf") < F.lit(int(share * (1 << 60)))).select("vec")
-        nodes = _grow(_matrix(picked.toPandas()["vec"]), leaves)
-    else:
-        nodes = [(-1, 0, -1, -1)]
+    if not n:
+        return vectors.select("vid", F.lit(None).cast(NEAR).alias("near"))
+    tree, boxes = fit_tree(vectors, n, leaf_rows)
+    placed = _placed(vectors, tree)
+    dims = (len(boxes.columns) - 2) // 2
+    leaf_ids = boxes["leaf"].to_numpy()
+    low, high = (boxes[[f"{e}{j}" for j in range(dims)]].to_numpy(dtype="float64") for e in ("lo", "hi"))
+    tasks = max(1, min(2 * len(leaf_ids), 8192))
 
-    @F.pandas_udf("int")
-    def leaf(vec: pd.Series) -> pd.Series:
-        return pd.Series(_leaf_of(_matrix(vec), nodes), dtype="int32")
+    def asking(x: np.ndarray, own: np.ndarray, reach: np.ndarray, first: int, last: int) -> list[list[int]]:
+        """The leaves from ``first`` to ``last`` in the order of each point, if still within reach; its own is the first of all."""
+        out = []
+        step = max(1, CELLS_AT_ONCE // len(leaf_ids))
+        for at in range(0, len(x), step):
+            away = _box_distances(x[at:at + step], low, high)
+            for d, mine, r in zip(away, own[at:at + step], reach[at:at + step]):
+                d[np.searchsorted(leaf_ids, mine)] = -1.0
+                near = np.flatnonzero(d <= r * (1 + 1e-9))
+                order = near[np.argsort(d[near], kind="stable")][first:last]
+                out.append(leaf_ids[order].tolist())
+        return out
 
-    placed = vectors.withColumn("leaf", leaf("vec"))
-    dims = len(vectors.select("vec").first()[0]) if n else 0
-    boxes = placed.groupBy("leaf").agg(
-        *[F.min(F.col("vec")[j]).alias(f"lo{j}") for j in range(dims)],
-        *[F.max(F.col("vec")[j]).alias(f"hi{j}") for j in range(dims)]).orderBy("leaf").toPandas()
-    box_leaf = boxes["leaf"].to_numpy()
-    box_lo = boxes[[f"lo{j}" for j in range(dims)]].to_numpy(dtype="float64")
-    box_hi = boxes[[f"hi{j}" for j in range(dims)]].to_numpy(dtype="float64")
+    def asked(first: int, last: int) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    reach = np.array([v[-1]["d2"] if len(v) >= want else np.inf for v in pdf["near"]])
+                    yield pdf.assign(asks=asking(_matrix(pdf["vec"]), pdf["leaf"].to_numpy(), reach, first, last))
+        return run
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        points, owner, ids = _members(pdf)
-        names, dists = _closest(points, points, owner, ids, want)
-        reach = np.array([d[-1] if len(d) >= want else np.inf for d in dists])
-        visits = []
-        own = int(pdf["leaf"].iloc[0])
-        for x, r in zip(points, reach):
-            gap = np.maximum(np.maximum(box_lo - x, x - box_hi), 0.0)
-            # a hair of slack, so rounding in the box distance can only add a visit
-            near = (gap * gap).sum(axis=1) <= r * (1 + 1e-9)
-            visits.append([int(v) for v in box_leaf[near] if v != own])
-        return pd.DataFrame({"vid": pdf["vid"], "vec": pdf["vec"], "names": names, "dists": dists, "visits": visits})
+        held = Points(pdf)
+        near = held.nearest(held.points, np.full(len(pdf), np.inf), want).lists(len(pdf))
+        return pd.DataFrame({"vid": pdf["vid"], "vec": pdf["vec"], "leaf": pdf["leaf"], "near": _as_structs(near)})
 
+    fields = f"vid long, vec array<double>, leaf int, near {NEAR}"
     # a fixed number of partitions: small leaves take long to search, so they must not be merged into few tasks
-    tasks = min(2 * leaves, MAX_LEAVES)
-    local = placed.repartition(tasks, "leaf").groupBy("leaf").applyInPandas(
-        inside, "vid long, vec array<double>, names array<long>, dists array<double>, visits array<int>")
-    if leaves > 1:
-        local = materialize(local, "leaves")  # its lists and its visits are both used
-    lists = local.select("vid", F.arrays_zip(F.col("dists").alias("d2"), F.col("names").alias("id")).alias("near"))
-    if leaves > 1:
-        lists = lists.unionByName(_visited(local, placed, want, tasks))
-    merged = lists.groupBy("vid").agg(F.flatten(F.collect_list("near")).alias("near"))
-    return merged.select("vid", F.slice(F.array_sort("near"), 1, want).alias("near"))
-
-
-def _visited(local: DataFrame, placed: DataFrame, want: int, tasks: int) -> DataFrame:
-    asks = local.select(F.explode("visits").alias("leaf"), "vid", "vec")
-    # at most MAX_LEAVES rows, so these broadcasts are bounded
+    state = placed.repartition(tasks, "leaf").groupBy("leaf").applyInPandas(inside, fields)
+    done, first, width = None, 1, 1
+    while True:
+        state = state.mapInPandas(asked(first, first + width), fields + ", asks array<int>")
+        if len(leaf_ids) > 1:
+            state = materialize(state, "neighbors")
+        ready = state.filter(F.size("asks") == 0).select("vid", "near")
+        done = ready if done is None else done.unionByName(ready)
+        if len(leaf_ids) == 1:
+            return done
+        open_ = state.filter(F.size("asks") > 0)
+        points, asks = open_.agg(F.count("*"), F.coalesce(F.sum(F.size("asks")), F.lit(0))).first()
+        if visits is not None:
+            visits.append((points, asks))
+        if not points:
+            return done
+        found = _visited(open_, placed, want, tasks)
+        merged = open_.select("vid", "vec", "leaf", "near").unionByName(found, allowMissingColumns=True).groupBy("vid").agg(
+            F.any_value("vec", True).alias("vec"), F.any_value("leaf", True).alias("leaf"),
+            F.flatten(F.collect_list("near")).alias("near"))
+        state = merged.select("vid", "vec", "leaf", F.slice(F.array_sort("near"), 1, want).alias("near"))
+        first, width = first + width, 2 * width
+
+
+def _visited(open_: DataFrame, placed: DataFrame, want: int, tasks: int) -> DataFrame:
+    """What points find in the leaves they ask for, ``(vid, near)``, within the reach they have."""
+    reach = F.when(F.size("near") >= want, F.element_at("near", -1)["d2"]).otherwise(F.lit(float("inf")))
+    asks = open_.select(F.explode("asks").alias("leaf"), "vid", "vec", reach.alias("reach"))
+    # one row per leaf
     chunks = asks.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(QUERIES_PER_TASK)).cast("int").alias("chunks"))
-    asks = (asks.join(F.broadcast(chunks), "leaf")
-            .withColumn("chunk", F.pmod(F.hash("vid"), F.col("chunks"))).drop("chunks"))
-    members = (placed.join(F.broadcast(chunks), "leaf")
+    asks = asks.join(chunks, "leaf").withColumn("chunk", F.pmod(F.hash("vid"), F.col("chunks"))).drop("chunks")
+    members = (placed.join(chunks, "leaf")
                .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks"))
 
     def visit(queries: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(pdf):
-            return pd.DataFrame({"vid": [], "names": [], "dists": []})
-        names, dists = _closest(_matrix(queries["vec"]), *_members(pdf), want)
-        return pd.DataFrame({"vid": queries["vid"], "names": names, "dists": dists})
+            return pd.DataFrame({"vid": [], "near": []})
+        near = Points(pdf).nearest(_matrix(queries["vec"]), queries["reach"].to_numpy(), want).lists(len(queries))
+        return pd.DataFrame({"vid": queries["vid"], "near": _as_structs(near)})
 
     asks, members = (d.repartition(tasks, "leaf", "chunk") for d in (asks, members))
-    out = asks.groupBy("leaf", "chunk").cogroup(members.groupBy("leaf", "chunk")).applyInPandas(
-        visit, "vid long, names array<long>, dists array<double>")
-    return out.select("vid", F.arrays_zip(F.col("dists").alias("d2"), F.col("names").alias("id")).alias("near"))
+    return asks.groupBy("leaf", "chunk").cogroup(members.groupBy("leaf", "chunk")).applyInPandas(visit, f"vid long, near {NEAR}")
 
 
 def nearest_neighbors(df: DataFrame, id_col: str, features: Sequence[str], k: int = 5,

@@ -1,10 +1,10 @@
 """Ordered work without a global sort in one task.
 
-Running totals, exact quantiles and row ranks over a whole table have no
-partition key that keeps a task small. All of them here follow one pattern: cut
-the order into buckets, total the buckets (a map-side combined aggregate with a
-few rows per key), prefix-sum those totals, and do the fine ordering inside a
-bucket. No step sees more than one bucket of one key at a time.
+Running totals and row ranks over a whole table have no partition key that keeps a
+task small. They follow one pattern: cut the order into buckets, total the buckets (a
+map-side combined aggregate with a few rows per key), prefix-sum those totals, and do
+the fine ordering inside a bucket. No step sees more than one bucket of one key at a
+time. Exact quantiles order only what a quantile summary brackets.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from cohortline.session import bucket_count, materialize
 INF = float("inf")
 SAMPLE_PER_BUCKET = 200
 MANY_PARTITIONS = 1000
+ACCURACY = 4000
 
 
 def order_splits(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
@@ -74,63 +75,72 @@ def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: st
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+                    keys: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
     """Exact, linearly interpolated quantiles per key and column.
 
-    Returns ``(*keys, variable, n, q0, q1, ...)``. A first aggregate counts
-    buckets; only the buckets that hold a wanted rank are then read again,
-    combined by value and ordered, so a small part of the table is shuffled and
-    no key is gathered into one task. Rows with a missing key or value are left out.
-    The list of wanted buckets is written out: its true size then decides between
-    a broadcast and a shuffle join.
+    Returns ``(*keys, variable, n, q0, q1, ...)``. Two jobs, for any number of columns: a mergeable quantile summary
+    of all of them, whose ranks are off by at most ``n / accuracy``, brackets every wanted rank; then one more pass
+    counts what lies below each bracket and orders only the values inside (a few of ``accuracy`` parts of the rows).
+    No key is gathered into one task. The brackets are written out, so their true size decides how they meet the
+    rows. A rank outside its bracket would be an error, never a wrong value. Rows with a missing key or value are
+    left out.
     """
-    keys = list(keys)
-    splits = order_splits(df, columns, buckets)
-    wide = with_buckets(df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), splits)
-    long = unpivot(wide, keys, columns, "variable", "value", {"bucket": [c + "__bucket" for c in columns]})
-    keep = F.col("value").isNotNull() & ~F.isnan("value")
+    keys, columns = list(keys), list(columns)
+    edges = [min(1.0, max(0.0, p + side * 2.0 / accuracy)) for p in probs for side in (-1, 1)]
+    value = [F.col(f"`{c}`").cast("double") for c in columns]
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], *[F.when(~F.isnan(x), x).alias(f"__v{i}") for i, x in enumerate(value)])
     for k in keys:
-        keep &= F.col(k).isNotNull()
-    long = long.filter(keep)
-
-    group = [*keys, "variable"]
-    per_key = W.partitionBy(*group)
-    counts = (
-        long.groupBy(*group, "bucket").agg(F.count("*").alias("cnt"))
-        .withColumn("upto", F.sum("cnt").over(per_key.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("n", F.sum("cnt").over(per_key))
-        .withColumn("before", F.col("upto") - F.col("cnt"))
-    )
-
-    def target(p: float) -> Column:
-        return (F.col("n") - 1) * F.lit(float(p))
-
-    def holds(rank: Column, start: Column, end: Column) -> Column:
-        return (rank >= start) & (rank < end)
-
-    wanted = F.lit(False)
-    for p in probs:
-        for rank in (F.floor(target(p)), F.ceil(target(p))):
-            wanted |= holds(rank, F.col("before"), F.col("upto"))
-    needed = materialize(counts.filter(wanted).select(*group, "bucket", "before", "n"), "buckets")
-
-    in_bucket = W.partitionBy(*group, "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    placed = (
-        long.join(needed, [*group, "bucket"])
-        .groupBy(*group, "bucket", "value", "before", "n").agg(F.count("*").alias("c"))
-        .withColumn("end", F.col("before") + F.sum("c").over(in_bucket))
-        .withColumn("start", F.col("end") - F.col("c"))
-    )
-    aggs = [F.first("n").alias("n")]
-    for i, p in enumerate(probs):
-        for tag, rank in (("lo", F.floor(target(p))), ("hi", F.ceil(target(p)))):
-            aggs.append(F.max(F.when(holds(rank, F.col("start"), F.col("end")), F.col("value"))).alias(f"{tag}{i}"))
-    picked = placed.groupBy(*group).agg(*aggs)
-    return picked.select(
-        *group, "n",
-        *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (target(p) - F.floor(target(p)))).alias(f"q{i}")
-          for i, p in enumerate(probs)],
-    )
+        rows = rows.filter(F.col(f"`{k}`").isNotNull())
+    every = range(len(columns))
+    group = [F.col(f"`{k}`") for k in keys]
+    found = rows.groupBy(*group).agg(
+        *[F.percentile_approx(f"__v{i}", edges, accuracy).alias(f"__q{i}") for i in every],
+        *[F.count(f"__v{i}").alias(f"__n{i}") for i in every])
+    if keys:
+        rows = rows.join(materialize(found, "brackets"), keys)
+    else:
+        only = found.first()
+        rows = rows.select("*", *[F.array(*[F.lit(v).cast("double") for v in only[f"__q{i}"] or [None] * len(edges)]).alias(f"__q{i}")
+                                  for i in every], *[F.lit(only[f"__n{i}"]).alias(f"__n{i}") for i in every])
+
+    def bracket(i: int, j: int) -> tuple[Column, Column]:
+        return F.get(F.col(f"__q{i}"), F.lit(2 * j)), F.get(F.col(f"__q{i}"), F.lit(2 * j + 1))
+
+    asked = [(i, j) for i in every for j in range(len(probs))]
+    sums = [F.max(f"__n{i}").alias(f"n{i}") for i in every]
+    for i, j in asked:
+        x, (low, high) = F.col(f"__v{i}"), bracket(i, j)
+        sums += [F.count_if(x < low).alias(f"b{i}_{j}"), F.max(F.when(x < low, x)).alias(f"p{i}_{j}"),
+                 F.min(F.when(x > high, x)).alias(f"s{i}_{j}")]
+    around = rows.groupBy(*group).agg(*sums).select(*group, F.inline(F.array(*[F.struct(
+        F.lit(i).alias("__c"), F.lit(j).alias("__p"), F.col(f"n{i}").alias("n"), F.col(f"b{i}_{j}").alias("below"),
+        F.col(f"p{i}_{j}").alias("previous"), F.col(f"s{i}_{j}").alias("following")) for i, j in asked]))).filter("n > 0")
+    cells = F.array(*[F.when(F.col(f"__v{i}").between(*bracket(i, j)), F.struct(
+        F.lit(i).alias("__c"), F.lit(j).alias("__p"), F.col(f"__v{i}").alias("value"))) for i, j in asked])
+    inside = (rows.select(*group, F.inline(F.filter(cells, lambda c: c.isNotNull())))
+              .groupBy(*group, "__c", "__p", "value").agg(F.count("*").alias("c")))
+    names = [*keys, "__c", "__p"]
+    run = W.partitionBy(*[F.col(f"`{k}`") for k in names]).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    placed = (inside.join(around, names).withColumn("end", F.col("below") + F.sum("c").over(run))
+              .withColumn("start", F.col("end") - F.col("c")))
+    chance = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__p") + 1)
+    target = (F.col("n") - 1) * chance
+
+    def at(rank: Column) -> Column:
+        here = F.max(F.when((rank >= F.col("start")) & (rank < F.col("end")), F.col("value")))
+        return F.coalesce(here, F.max(F.when(rank == F.col("below") - 1, F.col("previous"))),
+                          F.max(F.when(rank == F.col("last"), F.col("following"))),
+                          F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+
+    whole = W.partitionBy(*[F.col(f"`{k}`") for k in names])
+    low, high = at(F.floor(target)), at(F.ceil(target))
+    picked = placed.withColumn("last", F.max("end").over(whole)).groupBy(*group, "__c", "__p").agg(
+        F.first("n").alias("n"), low.alias("low"), high.alias("high"), F.first(target - F.floor(target)).alias("share"))
+    picked = picked.withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * F.col("share"))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__c") + 1)
+    return picked.groupBy(*group, "__c").agg(F.first("n").alias("n"), *[
+        F.max(F.when(F.col("__p") == j, F.col("q"))).alias(f"q{j}") for j in range(len(probs))]).select(
+        *group, name.alias("variable"), "n", *[f"q{j}" for j in range(len(probs))])
 
 
 def running_totals(points: DataFrame, totals: DataFrame, keys: Sequence[str], bucket: str, order: str,

@@ -36,21 +36,34 @@ def latest_run(runs: DataFrame, experiment: str, run_name: str, required: bool =
 
 
 def start_or_resume(spark: SparkSession, path: str, experiment: str, run_name: str) -> str:
-    """Id of the latest run with the name, or of a new run appended to the registry."""
+    """Id of the latest run with the name, or of a new run appended to the registry.
+
+    A new run's id follows from its names, so writers that start one run at the same time claim the same id; the row
+    that was written first is the run (:func:`read_table`).
+    """
     found = latest_run(read_table(spark, path, "runs"), experiment, run_name)
     if found is not None:
         return found
-    run_id = uuid.uuid4().hex
+    run_id = uuid.uuid5(uuid.NAMESPACE_OID, f"{len(experiment)}:{experiment}{run_name}").hex
     row = [(experiment, run_id, run_name, _now())]
-    small_table(spark, row, RUNS_SCHEMA).write.mode("append").parquet(f"{path}/runs")
+    _append(small_table(spark, row, RUNS_SCHEMA), path, "runs")
     return run_id
 
 
+def _append(rows: DataFrame, path: str, name: str) -> None:
+    """Every write has a folder of its own, so writers at the same time do not touch each other's files."""
+    rows.write.parquet(f"{path}/{name}/{uuid.uuid4().hex}")
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One registry table; empty before its first write."""
+    """One registry table; empty before its first write. Of the rows that claim one run id the earliest counts."""
     schema = {"runs": RUNS_SCHEMA, "run_metrics": METRICS_SCHEMA, "run_params": PARAMS_SCHEMA}[name]
     try:
-        return spark.read.schema(schema).parquet(f"{path}/{name}")
+        rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/{name}")
+        if name != "runs":
+            return rows
+        first = rows.groupBy("run_id").agg(F.min(F.struct("start_time", "experiment", "run_name")).alias("r"))
+        return first.select("r.experiment", "run_id", "r.run_name", "r.start_time")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -74,7 +87,7 @@ def metric_rows(values: DataFrame, at: datetime | Column, step: int | Column = 0
 
 def append_metrics(values: DataFrame, path: str, at: datetime | Column, step: int | Column = 0) -> None:
     """Append many metrics at once, from a table ``(run_id, metric, value)``."""
-    metric_rows(values, at, step).write.mode("append").parquet(f"{path}/run_metrics")
+    _append(metric_rows(values, at, step), path, "run_metrics")
 
 
 def log_metrics(spark: SparkSession, path: str, run_id: str, metrics: Mapping[str, float] | None, step: int = 0) -> int:
@@ -88,7 +101,7 @@ def log_metrics(spark: SparkSession, path: str, run_id: str, metrics: Mapping[st
 def log_params(spark: SparkSession, path: str, run_id: str, params: Mapping[str, object] | None) -> int:
     rows = [(run_id, k, str(v), _now()) for k, v in (params or {}).items()]
     if rows:
-        small_table(spark, rows, PARAMS_SCHEMA).write.mode("append").parquet(f"{path}/run_params")
+        _append(small_table(spark, rows, PARAMS_SCHEMA), path, "run_params")
     return len(rows)
 
 

@@ -259,6 +259,17 @@ def _(t):
     return rounded(rounded(di.kernel_density(v.visits(t), "age", 0, 100), "x"), "density", digits=8)
 
 
+@query("kernel_density_of_prices", f"""WITH a AS (SELECT o_totalprice AS v FROM orders),
+m AS (SELECT stddev_samp(v) * pow(count(*), -0.2e0) AS h, count(*) AS n FROM a)
+SELECT g::INT AS point, {r('g * (600000e0 / 499)')} AS x,
+  {r('1e5 * sum(exp(-0.5e0 * pow((g * (600000e0 / 499) - v) / h, 2))) / (sqrt(2 * pi()) * any_value(h) * any_value(n))', 8)} AS density
+FROM generate_series(0, 499) s(g) CROSS JOIN a CROSS JOIN m GROUP BY g""")
+def _(t):
+    """Nearly every value is a different one; per 100000 of the currency."""
+    d = di.kernel_density(t.orders, "o_totalprice", 0, 600000).withColumn("density", 1e5 * F.col("density"))
+    return rounded(rounded(d, "x"), "density", digits=8)
+
+
 def _bands(c: str) -> str:
     lines = [("mean", "avg({0})"), ("median", "median({0})")]
     for k in (1, 2, 3):

@@ -80,16 +80,12 @@ def explain_rows(df: DataFrame, id_col: str, model: Classifier, top: int = 3, ba
     depend on its batch; a model without one takes ``background_rows`` of the batch.
     ``scores`` may bring out-of-fold probabilities ``(id[, label], p)``; otherwise the model
     scores the rows. ``split`` explains one named part of a stratified split by ``shares``.
-    Attributions are exact unless ``permutations`` are asked for.
+    Attributions are exact unless ``permutations`` are asked for, and made in place for every family.
     """
     if split is not None:
         df = choose_split(df, id_col, label, split, shares or {"train": 0.8, "test": 0.2})
     background = model.background or background_sample(df, id_col, background_rows)
-    linear = model.spec.family in ("lr", "svm") and model.spec.params.get("kernel", "linear") == "linear"
-    if linear:
-        long = explain.shapley(df, id_col, model.features, background, model.linear_score(), permutations)
-    else:
-        long = explain.kernel_shap(df, id_col, model.features, background, lambda d: model.score(d, "p"), permutations)
+    long = explain.shapley(df, id_col, model.features, background, model.array_score(), permutations)
     wide = explain.attribution_wide(long, id_col, model.features)
     if scores is None:
         scores = model.score(df, "p").select(id_col, *([label] if label else []), F.col("p"))

@@ -73,8 +73,14 @@ def _(t):
     return cleaning.clean_dataframe(v.raw_strings(t), ["amount"])
 
 
-@query("numeric_inference", """SELECT * FROM (VALUES ('integer_text', 'bigint')) x(column_name, target_type)
-WHERE (SELECT count(*) FROM orders WHERE o_orderkey = 7) > 0""")
+_TEXTS = ("amount", "numeric_text", "integer_text", "one_bad", "typed_text")
+
+
+@query("numeric_inference", f"WITH {v.RAW_STRINGS}, x AS (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count(*) AS n, count(nullif({c}, '')) AS present, count(TRY_CAST({c} AS DOUBLE)) AS numbers,
+  count(*) FILTER (regexp_full_match({c}, '[+-]?[0-9]+')) AS whole FROM raw_strings""" for c in _TEXTS)
+    + """) SELECT column_name, CASE WHEN whole = n THEN 'bigint' ELSE 'double' END AS target_type FROM x
+WHERE present > 0 AND numbers = present""")
 def _(t):
     return cleaning.fit_numeric(v.raw_strings(t))
 

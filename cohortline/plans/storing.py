@@ -52,10 +52,15 @@ def _(t):
     return t.spark.read.schema("id bigint, scores string").option("header", True).option("escape", "\\").csv(path)
 
 
-@query("fitted_lists", """SELECT * FROM (VALUES ('low_variance', 0, 'infection_rare'), ('numeric', 0, 'visit_id'),
-  ('numeric', 1, 'age'), ('numeric', 2, 'weight_kg'), ('numeric', 3, 'infection_rare'),
-  ('strings', 0, 'technique'), ('strings', 1, 'comorbid')) x(list_name, position, column_name)
-WHERE (SELECT var_samp((o_orderkey % 97 = 0)::INT) FROM orders) < 0.02""")
+_LISTED = ("visit_id", "age", "technique", "comorbid", "weight_kg", "infection_rare")
+
+
+@query("fitted_lists", f"WITH {v.VISITS}, d AS (SELECT *, (visit_id % 97 = 0)::INT AS infection_rare FROM visits), x AS (" + " UNION ALL ".join(
+    f"""SELECT {i} AS place, '{c}' AS column_name, max(typeof({c})) <> 'VARCHAR' AS numeric,
+  var_samp(TRY_CAST({c} AS DOUBLE)) AS spread FROM d""" for i, c in enumerate(_LISTED)) + """), l AS (
+  SELECT CASE WHEN numeric THEN 'numeric' ELSE 'strings' END AS list_name, place, column_name FROM x
+  UNION ALL SELECT 'low_variance', place, column_name FROM x WHERE numeric AND spread < 0.02)
+SELECT list_name, (row_number() OVER (PARTITION BY list_name ORDER BY place) - 1)::INT AS position, column_name FROM l""")
 def _(t):
     d = v.visits(t).select("visit_id", "age", "technique", "comorbid", "weight_kg",
                            (F.col("visit_id") % 97 == 0).cast("int").alias("infection_rare"))

@@ -119,7 +119,7 @@ def dense(t: Tables) -> DataFrame:
                            (F.col("o_totalprice") / F.lit(1e6)).alias("p"))
 
 
-DIMS = [f"d{i}" for i in range(8)]
+DIMS = [f"d{i}" for i in range(13)]  # as many as a clinical model has features
 ML = "ml AS (SELECT vec_id, (label IN (0, 1, 2))::INT AS y, " + ", ".join(
     f"embedding[{i + 1}]::DOUBLE AS {d}" for i, d in enumerate(DIMS)) + " FROM embeddings)"
 

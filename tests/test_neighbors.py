@@ -52,6 +52,58 @@ def test_neighbors_match_brute_force(spark, kind, leaf_rows):
             assert list(part.neighbor_id) == want[i]
 
 
+def test_leaves_are_split_until_they_are_bounded(spark, monkeypatch):
+    """With samples that allow two leaves a tree, deep levels are needed; one corner holds most points."""
+    monkeypatch.setattr(nb, "SAMPLE_ROWS", 2 * nb.SAMPLE_PER_LEAF)
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(300, 3)), rng.normal(size=(900, 3)) * 1e-3 + 5])
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "vid long, vec array<double>")
+    tree, boxes = nb.fit_tree(vectors, len(x), 30)
+    assert boxes["n"].max() <= 60 and boxes["n"].sum() == len(x) and len(boxes) >= 20
+    leaf = nb._leaf_of(x, tree)
+    for r in boxes.itertuples():
+        mine = x[leaf == r.leaf]
+        assert len(mine) == r.n
+        np.testing.assert_array_equal([mine.min(0), mine.max(0)], [[r.lo0, r.lo1, r.lo2], [r.hi0, r.hi1, r.hi2]])
+    got = nb.nearest_neighbors(frame(spark, x), "id", COLS, 4, 30).toPandas()
+    want = brute(x, 4)
+    assert all(list(p.sort_values("rank").neighbor_id) == want[i] for i, p in got.groupby("id")) and len(got) == 4 * len(x)
+
+
+def test_rounds_visit_few_leaves(spark):
+    """In clusters, all but the first leaves of a point lie beyond its k-th distance."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 6)) * 0.05 + rng.normal(size=(40, 6))[rng.integers(0, 40, 4000)] * 3
+    vectors = spark.createDataFrame([(i, p.tolist(), [i]) for i, p in enumerate(x)], "vid long, vec array<double>, ids array<long>")
+    visits = []
+    near = {r.vid: [n.id for n in r.near] for r in nb.vector_neighbors(vectors, 5, 100, visits).collect()}
+    leaves = 40
+    assert 1 + sum(asks for _, asks in visits) / len(x) < 0.2 * leaves
+    for i in range(0, 4000, 97):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        assert near[i] == np.lexsort((np.arange(4000), d))[:6].tolist()
+
+
+def test_cells_inside_a_leaf(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(500, 4)), 1)
+    pdf = pd.DataFrame({"vec": list(x), "ids": [[2 * i, 2 * i + 1] if i % 3 == 0 else [2 * i] for i in range(500)]})
+    owner = np.repeat(np.arange(500), pdf["ids"].map(len))
+    ids = np.concatenate(pdf["ids"].to_numpy())
+    monkeypatch.setattr(nb, "CELLS_AT_ONCE", 700)
+    for cell_rows in (7, 1000):
+        got = nb.Points(pdf, cell_rows).nearest(x[:50], np.full(50, np.inf), 6).lists(50)
+        for i in range(50):
+            d = ((x - x[i]) ** 2).sum(axis=1)[owner]
+            order = np.lexsort((ids, d))[:6]
+            assert [n for _, n in got[i]] == ids[order].tolist()
+
+
+def test_no_points(spark):
+    d = spark.createDataFrame([], "id long, a double, b double, c double")
+    assert nb.nearest_neighbors(d, "id", COLS, 5).count() == 0
+
+
 def test_many_queries_on_one_leaf_are_split(spark, monkeypatch):
     monkeypatch.setattr(nb, "QUERIES_PER_TASK", 20)
     x = points("cloud")

@@ -41,6 +41,38 @@ def test_quantiles_skip_missing_groups_and_empty_columns(spark):
     assert [(r.g, r.variable, r.n, r.q0) for r in out] == [("a", "x", 2, 3.0)]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 9, 10, 4000, 9001])
+def test_quantiles_next_to_their_bracket(spark, n):
+    """Ranks that fall one beyond what a summary returns, for every small size and a few large ones."""
+    values = np.arange(n) * 1.5
+    d = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(3)
+    probs = [0.0, 0.001, 0.25, 1 / 3, 0.5, 0.75, 0.9999, 1.0]
+    for accuracy in (ranks.ACCURACY, 100):
+        r = ranks.exact_quantiles(d, ["x"], probs, [], accuracy).first()
+        np.testing.assert_allclose([r[f"q{i}"] for i in range(len(probs))], np.quantile(values, probs), rtol=1e-12)
+
+
+def test_quantiles_of_no_rows(spark):
+    d = spark.createDataFrame([], "g string, x double")
+    assert ranks.exact_quantiles(d, ["x"], [0.5], ["g"]).count() == 0 and ranks.exact_quantiles(d, ["x"], [0.5]).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["dense", "far", "few", "one", "constant"])
+def test_density_matches_its_definition(spark, kind):
+    rng = np.random.default_rng(4)
+    x = {"dense": rng.normal(50, 20, 3000), "far": np.append(rng.normal(50, 1, 500), [1e9, -1e9, 49.0]),
+         "few": np.array([10.0, 10.0, 90.0]), "one": np.array([3.0]), "constant": np.full(20, 7.0)}[kind]
+    out = di.kernel_density(spark.createDataFrame([(float(v),) for v in x], "x double"), "x", 0, 100).orderBy("point").toPandas()
+    assert list(out.point) == list(range(500))
+    np.testing.assert_allclose(out.x, np.linspace(0, 100, 500))
+    if kind in ("one", "constant"):
+        assert out.density.isna().all()
+        return
+    h = x.std(ddof=1) * len(x) ** -0.2
+    want = np.exp(-0.5 * ((out.x.to_numpy()[:, None] - x) / h) ** 2).sum(axis=1) / (np.sqrt(2 * np.pi) * h * len(x))
+    np.testing.assert_allclose(out.density, want, rtol=1e-9, atol=1e-15 / h)
+
+
 def test_hashed_rank_is_dense_per_class(skewed, spark):
     _, d = skewed
     keyed = d.withColumn("id", F.monotonically_increasing_id()).persist()
