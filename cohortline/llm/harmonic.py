@@ -31,7 +31,10 @@ Ties do not arise: pieces are placed in the order they are read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
@@ -44,11 +47,14 @@ from pyspark.sql import DataFrame, functions as F
 from cohortline.llm.bpe import split
 from cohortline.llm.text import id_and_text, pieces
 
-CAPACITY, SLACK, CLOSING, PADDING, CACHED = 4096, 16, 2, 0, 1 << 18
+CAPACITY, SLACK, CLOSING, PADDING, CACHED = 4096, 16, 2, 0, 1 << 19
+LOT = 8192
 BATCH_BYTES = 4 << 20
 SCHEMA = ("sequence_id long, ids binary, n_tokens long, doc_ids array<long>, starts array<long>, offsets array<long>, "
           "lengths array<long>, doc_tokens array<long>")
-_ENDS = ".,;:!?"
+_MARKS = ".,;:!?"
+# two characters in a row that are neither letter, digit nor white space make one word, which must not be cut
+_RUN = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f]){2}")
 _encoders: dict[str | None, ChunkIds] = {}
 
 
@@ -61,46 +67,59 @@ class ChunkIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        path = path or public_tokenizers.path("word_bpe_49k.json")
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            mark = json.load(f)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.ends = dict(zip(_ENDS, self.plain(list(_ENDS))))
 
     def plain(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks of letters: as one text, cut again where a token ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            return self.plain(words)  # letters that the vocabulary's pattern does not know as such
+        data, bounds = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def learn(self, chunks: set[str]) -> None:
         """Make all ``chunks`` known."""
         if len(self.known) + len(chunks) > CACHED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = []
-        for c in chunks:
-            if c not in known:
-                found = older.get(c)
-                if found is None:
-                    new.append(c)
-                else:
-                    known[c] = found
-        # letters and one mark at the end are encoded apart from each other
-        ended = [c for c in new if c[-1] in self.ends and c.isascii() and c[:-1].isalpha()]
-        if ended:
-            bare = {c[:-1] for c in ended}
-            whole = {*new}.difference(ended) | {b for b in bare if b not in known}
-            known.update(zip(whole, self.plain(list(whole))))
-            for c in ended:
-                known[c] = known[c[:-1]] + self.ends[c[-1]]
-        else:
-            known.update(zip(new, self.plain(new)))
+        new = [c for c in chunks if c not in known]
+        known.update((c, older[c]) for c in new if c in older)
+        new = [c for c in new if c not in older]
+        words = [c for c in new if c.isalpha()]
+        for k in range(0, len(words), LOT):
+            known.update(zip(words[k:k + LOT], self.words(words[k:k + LOT])))
+        rest = [c for c in new if not c.isalpha()]
+        known.update(zip(rest, self.plain(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [split(t) for t in texts]
+        parts = [split(apart(t)) for t in texts]
         self.learn(set().union(*parts))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
+def apart(text: str) -> str:
+    """The text with blanks around marks that stand alone, which are words of their own: fewer chunks to know."""
+    if _RUN.search(text):
+        return text
+    for mark in _MARKS:
+        text = text.replace(mark, f" {mark} ")
+    return text
+
+
 def chunk_ids(path: str | None = None) -> ChunkIds:
     if path not in _encoders:
         _encoders[path] = ChunkIds(path)
