@@ -15,7 +15,9 @@ from all training texts, summed where they are read before they are shuffled, so
 language that holds most rows is no hot key.
 
 Defined cases: ``und`` with score 0 if a text is null or has no letter, or nothing
-was learned; ties go to the first language in order; a null id is a training id.
+was learned; ties go to the first language in order; a null id is a training id. Repeated
+rows are predicted each, very long texts whole; other columns are not read, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,12 +38,17 @@ ORDER, BYTES = 3, 256
 SYMBOLS = 40
 HELD_CODES = 1 << 21
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] = _FOLD[97:123]
 _FOLD[SPACE] = 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character that Unicode counts as a letter; signs of numbers are none."""
+    return any(m[0].isalpha() for m in _LETTER_OR_NUMBER.finditer(text))
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of the key as text, modulo ``divisor``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % divisor
@@ -155,7 +162,7 @@ class Languages:
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; the score is its share if all languages were equally likely before."""
         bits = self.lengths(texts)
-        known = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool) & bool(self.names)
+        known = np.array([t is not None and has_letter(t) for t in texts.to_pylist()], bool) & bool(self.names)
         if not self.names:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         best = bits.argmin(axis=1)
