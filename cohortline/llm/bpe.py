@@ -14,7 +14,9 @@ the vocabulary's word pattern and encoded word by word, and remembered as a
 whole up to a bounded number of entries. Strings of special tokens inside a text
 become their ids. Decoding joins the ids' tokens with a blank, as the vocabulary
 file names no decoder. A null text is an empty one and has no ids. Nothing is
-shuffled; every text is encoded where it is read, whole.
+shuffled; every text is encoded where it is read, whole, however long. Repeated rows and
+null ids are encoded like others; other columns are not read, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

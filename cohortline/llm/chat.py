@@ -20,7 +20,8 @@ Defined cases: null roles, texts and trees count as empty text, empty text and o
 tree of their own; a message whose parent is null or not in its tree is a root; a
 null id is a message that nothing answers; a repeated id keeps the smallest (role,
 text, score); a missing score counts 0; messages that answer in a circle are an
-error; an empty table gives no rows.
+error; very long texts are kept whole; columns that are not named are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

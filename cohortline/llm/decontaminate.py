@@ -16,7 +16,8 @@ in blocks of bounded size, one pass over the documents for each block.
 
 Defined cases: a null text is empty and matches nothing; an item of fewer words
 than a seed matches documents of exactly its words; repeated items and
-documents each give their own rows; empty tables give no hits.
+documents each give their own rows; very long texts are searched whole; other columns
+are not read, whatever their names; empty tables give no hits.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ Bytes are compared by the aggregation itself: it groups by (hash, text), so two
 texts under one hash come out as two rows. Each task first reduces its own
 copies to one row, so a text that fills a third of the table is one row per
 task. Should any hash hold several texts, groups are formed by hash and text.
+
+Very long texts are hashed and compared whole; columns other than id and text are not
+read for this, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,11 @@ A packed row: ``block``, ``row``, ``ids`` (little-endian, ``length`` wide, padde
 with the closing id), ``n_tokens``, ``doc_ids`` and ``doc_starts`` (which
 document, and from which of its tokens, each segment holds), ``cu_seqlens``
 (cumulative segment lengths from 0) and ``position_resets`` (where positions
-start again from zero).
+start again from zero). Which documents share a block follows from how the input is
+split into tasks.
+
+Repeated rows are documents of their own; null ids stay null; other columns are not
+read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

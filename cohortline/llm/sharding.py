@@ -10,7 +10,8 @@ table's size, so its shard is one look into a broadcast table of fixed size.
 The table depends on shard names and its size only, never on the documents, and
 has a few thousand rows; it is filled on the driver and placed by a join, all in
 DataFrame operations. Null keys go to the slot of the empty key; repeated keys
-and ties go to the same shard; an empty table gives no rows.
+and ties go to the same shard; other columns travel along as one struct, so their names
+do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
