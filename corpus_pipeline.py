@@ -3,6 +3,11 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it
 kept; all but the last return the columns of ``docs``. Stages are written as
 Parquet and read again before the next one.
+
+Defined cases: null, empty and letterless texts go in the first stage, as no language
+can be told; of ties and repeated rows the row with the smallest id stays, once; very
+long texts go through whole; columns other than id, text and language travel along,
+whatever their names, up to the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
