@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from cohortline.operators.ranks import hash_int
 from cohortline.session import materialize
 
-LEAF_ROWS = 8192
+LEAF_ROWS = 1024
 CELL_ROWS = 128
 SAMPLE_PER_LEAF = 32
 SAMPLE_ROWS = 1 << 15  # of a tree, or of one leaf that is split again
