@@ -34,23 +34,31 @@ from cohortline.session import bucket_count, fresh_path, materialize
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 STRIP, BROADCAST_BYTES = 1024, 64 << 20
-PIECE_ENDS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
+PIECE_ENDS, BLANKS, BETWEEN = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+", r"[\x20\x09.,;:!?\x0A-\x0D]+"
 
 
-def pieces_of(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """``lang`` and ``words`` of every piece that has words."""
-    text = F.translate(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    cut = docs.select(F.coalesce(F.col(f"`{lang_column}`"), F.lit("und")).alias("lang"), F.explode(F.split(text, PIECE_ENDS)).alias("piece"))
-    cut = cut.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece != ''")
-    return cut.select("lang", F.split("piece", BLANKS).alias("words"))
+def texts_of(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """``lang`` and ``text``, nulls replaced."""
+    return docs.select(F.coalesce(F.col(f"`{lang_column}`"), F.lit("und")).alias("lang"),
+                       F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
 
 
-def strips_of(pieces: DataFrame, overlap: int, strip: int) -> DataFrame:
-    """Pieces in strips of ``strip`` own words and up to ``overlap`` words of the next one, numbered."""
-    start = F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(strip)))
-    cut = pieces.select("lang", "words", start.alias("start"))
-    return cut.select(F.monotonically_increasing_id().alias("strip"), "lang",
-                      F.slice("words", F.col("start") + 1, strip + overlap).alias("words"))
+def lowered(word: Column) -> Column:
+    return F.translate(word, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def strips_of(texts: DataFrame, overlap: int, strip: int) -> DataFrame:
+    """Pieces, each of ``strip`` own words and up to ``overlap`` words of the next one, numbered: ``strip, lang, piece``.
+
+    A piece of fewer than ``2 * strip`` characters has no more words, so only longer ones are looked into.
+    """
+    pieces = texts.select("lang", F.explode(F.split("text", PIECE_ENDS)).alias("piece"))
+    pieces = pieces.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece != ''")
+    words = F.split("piece", BLANKS)
+    cut = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(strip)),
+                      lambda start: F.array_join(F.slice(words, start + 1, F.lit(strip + overlap)), " "))
+    strips = F.when(F.length("piece") < 2 * strip, F.array("piece")).otherwise(cut)
+    return pieces.select("lang", F.explode(strips).alias("piece")).select(F.monotonically_increasing_id().alias("strip"), "lang", "piece")
 
 
 def small_enough(table: DataFrame, row_bytes: Column, limit: int) -> bool:
@@ -97,16 +105,21 @@ def frequent_phrases(docs: DataFrame, text_column: str = "text", lang_column: st
     if longest < 1 or least < 1:
         raise ValueError("phrases have at least one word and occur at least once")
     spark = docs.sparkSession
-    pieces = pieces_of(docs, text_column, lang_column)
-    counts = materialize(pieces.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("f")), "words")
-    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    level = materialize(counts.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("phrase"), "lang", "word",
-                                                                F.array("word").alias("words"), "f"), "phrases")
+    texts = texts_of(docs, text_column, lang_column)
+    # words as they are written, in lower case only where each is one row
+    words = texts.select("lang", F.explode(F.split("text", BETWEEN)).alias("word")).where("word != ''")
+    written = materialize(words.groupBy("lang", "word").agg(F.count("*").alias("f")), "words")
+    counts = written.groupBy("lang", lowered(F.col("word")).alias("lower")).agg(F.sum("f").alias("f"))
+    totals = written.groupBy("lang").agg(F.sum("f").alias("n"))
+    level = materialize(counts.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("phrase"), "lang", "lower",
+                                                                F.array("lower").alias("words"), "f"), "phrases")
     found = level.select("lang", "words", "f")
-    relations = Relations(spark, bucket_count(spark), limit)
-    strips = strips_of(pieces, longest - 1, strip).repartition(relations.buckets, "strip")
-    placed = strips.select("strip", "lang", F.posexplode("words").alias("pos", "word"))
-    rows = relations.kept(placed, level.select("lang", "word", "phrase"), ["lang", "word"], F.octet_length("word"))
+    relations = Relations(spark, bucket_count(spark, 16), limit)
+    strips = strips_of(texts, longest - 1, strip).repartition(relations.buckets, "strip")
+    placed = strips.select("strip", "lang", F.posexplode(F.split("piece", BLANKS)).alias("pos", "word"))
+    spelled = materialize(written.withColumn("lower", lowered(F.col("word"))).join(level.select("lang", "lower", "phrase"), ["lang", "lower"])
+                          .select("lang", "word", "phrase"), "spellings")
+    rows = relations.kept(placed, spelled, ["lang", "word"], F.octet_length("word"))
     for k in range(2, longest + 1):
         if level.isEmpty():
             break
