@@ -494,8 +494,9 @@ def fold_margins(rows: DataFrame, id_col: str, label: str, features: Sequence[st
             variances = [cell_variance(r, state) for r, (state, _) in zip(own, states)]
         else:
             inputs, tag, train, groups = [c + PREPARED for c in features], "__part", None, []
-            for k in parts:
-                data = prepare(rows.filter(F.col("fold") != k), id_col, label, features, sampler, own[k])
+            with ThreadPoolExecutor(8) as pool:  # resampling runs jobs of its own
+                sets = list(pool.map(lambda k: prepare(rows.filter(F.col("fold") != k), id_col, label, features, sampler, own[k]), parts))
+            for k, data in zip(parts, sets):
                 part = data.rows.select("*", F.lit(k).alias(tag))
                 train = part if train is None else train.unionByName(part)
                 groups.append(data.group(k))
