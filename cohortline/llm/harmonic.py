@@ -31,9 +31,7 @@ Ties do not arise: pieces are placed in the order they are read.
 
 from __future__ import annotations
 
-import json
 import os
-import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -44,17 +42,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from cohortline.llm.bpe import split
+from cohortline.llm.bpe import byte_characters, split
 from cohortline.llm.text import id_and_text, pieces
 
-CAPACITY, SLACK, CLOSING, PADDING, CACHED = 4096, 16, 2, 0, 1 << 19
-LOT = 8192
+CAPACITY, SLACK, CLOSING, PADDING, CACHED = 4096, 16, 2, 0, 3 << 18
 BATCH_BYTES = 4 << 20
 SCHEMA = ("sequence_id long, ids binary, n_tokens long, doc_ids array<long>, starts array<long>, offsets array<long>, "
           "lengths array<long>, doc_tokens array<long>")
-_MARKS = ".,;:!?"
-# two characters in a row that are neither letter, digit nor white space make one word, which must not be cut
-_RUN = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f]){2}")
+_MARKS, _BEYOND_LATIN = ".,;:!?", "\u0250"
 _encoders: dict[str | None, ChunkIds] = {}
 
 
@@ -67,29 +62,24 @@ class ChunkIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
         from tokenizers import Tokenizer
 
-        path = path or public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            mark = json.load(f)["model"].get("end_of_word_suffix")
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
-        self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
+        self.model = self.tokenizer.model
+        self.characters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
+        self.marks = dict(zip(_MARKS, self.plain(list(_MARKS))))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def plain(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of chunks of letters: as one text, cut again where a token ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words) or cuts[-1] != len(ids):
-            return self.plain(words)  # letters that the vocabulary's pattern does not know as such
-        data, bounds = ids.tobytes(), [0, *(4 * cuts).tolist()]
-        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+    def word(self, word: str) -> bytes:
+        """Ids of Latin letters, for which the vocabulary's normalizer and pattern have nothing to do but lower case."""
+        lower = word.lower()
+        if not lower.isascii():
+            lower = lower.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.model.tokenize(lower)]).tobytes()
 
     def learn(self, chunks: set[str]) -> None:
         """Make all ``chunks`` known."""
@@ -97,29 +87,26 @@ class ChunkIds:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         new = [c for c in chunks if c not in known]
-        known.update((c, older[c]) for c in new if c in older)
-        new = [c for c in new if c not in older]
-        words = [c for c in new if c.isalpha()]
-        for k in range(0, len(words), LOT):
-            known.update(zip(words[k:k + LOT], self.words(words[k:k + LOT])))
-        rest = [c for c in new if not c.isalpha()]
+        # a mark at the end, behind a letter or digit, is a word of its own; but the lower case of a capital I with a dot
+        # ends in a character that such a mark joins
+        ended = [c for c in new if c[-1] in self.marks and c[-2:-1].isalnum() and c[-2] != "\u0130" and c not in older]
+        new = {*new}.difference(ended)
+        new.update(c for c in {c[:-1] for c in ended} if c not in known)
+        known.update([(c, older[c]) for c in new if c in older])
+        new = [c for c in new if c not in known]
+        words = [c for c in new if c.isalpha() and max(c) < _BEYOND_LATIN and "\u0130" not in c]
+        known.update(zip(words, map(self.word, words)))
+        rest = [c for c in new if c not in known]
         known.update(zip(rest, self.plain(rest)))
+        marks = self.marks
+        known.update([(c, known[c[:-1]] + marks[c[-1]]) for c in ended])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [split(apart(t)) for t in texts]
+        parts = [split(t) for t in texts]
         self.learn(set().union(*parts))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
-def apart(text: str) -> str:
-    """The text with blanks around marks that stand alone, which are words of their own: fewer chunks to know."""
-    if _RUN.search(text):
-        return text
-    for mark in _MARKS:
-        text = text.replace(mark, f" {mark} ")
-    return text
-
-
 def chunk_ids(path: str | None = None) -> ChunkIds:
     if path not in _encoders:
         _encoders[path] = ChunkIds(path)
