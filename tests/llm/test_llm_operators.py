@@ -222,6 +222,11 @@ def test_small_languages_of_one_script_beside_a_large_one(spark):
     assert langid.keep_identified(d).count() == len(rows)
 
 
+def test_signs_of_numbers_are_no_letters():
+    assert not any(map(langid.has_letter, ("½ ² ①", "Ⅷ", "12_3", "", "、。", "\u0301")))
+    assert all(map(langid.has_letter, ("½a", "Ⅷ ß", "語", "1ª")))
+
+
 def test_odd_languages(odd, none):
     rows = langid.predicted(odd).collect()
     assert len(rows) == 10

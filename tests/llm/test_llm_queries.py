@@ -27,7 +27,7 @@ def test_query_and_sql(spark, duck, name):
 
 def test_stages_and_queries_are_complete():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontaminate", "bpe_codec"]
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in catalog.QUERIES if q != "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in catalog.QUERIES if q != "pipeline"}
     assert set(catalog.CHECKS) <= set(catalog.QUERIES)
 
 
