@@ -16,7 +16,9 @@ without such parts inside, one block after the other.
 
 Each task keeps one wrapper per host of its pages, and a host's wrappers from all
 tasks are merged, so a host with a third of all pages gathers one small row per
-task. A wrapper that would grow beyond ``MAX_ITEMS`` stays as it is; pages that
+task. Streams of any length are aligned in the same way, by a longest common
+subsequence, and a wrapper holds all that its pages hold, however much; a task hands
+its wrappers on when they have ``HELD_ITEMS`` items together. Pages that
 lack the main region are read by their own structure (article, then main, then
 the whole body). All pages are learned from and all are extracted.
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortline.llm.text import pieces
 from cohortline.session import materialize
 
-MAX_ITEMS = 2000
+HELD_ITEMS = 200_000
 MAX_PERIOD = 48
 MAIN_SHARE = 0.6
 _TOKEN = re.compile(
@@ -224,6 +227,64 @@ def absorbed(items: list[list], groups: list[list]) -> list[list]:
     return items
 
 
+def aligned(a: list[str], b: list[str]) -> Iterator[tuple[bool, int, int]]:
+    """A longest common subsequence of two lists of any length, as steps ``(both, i, j)``.
+
+    Each step names the place reached; with ``both``, a[i] and b[j] are a match. A row of
+    the table of common lengths is one integer: bit k says that the row grows by one at
+    b[-1 - k]. Every ``every``-th row is kept and those between are made again, so memory grows
+    with len(b) times the root of len(a).
+    """
+    places: dict[str, int] = {}
+    for j, key in enumerate(b):
+        places[key] = places.get(key, 0) | 1 << (len(b) - 1 - j)
+    ones, every = (1 << len(b)) - 1, math.isqrt(len(a)) + 1
+
+    def row_before(row: int, key: str) -> int:
+        here = places.get(key, 0)
+        fits = here | row
+        return fits & ~(fits - (row << 1 | 1)) & ones
+
+    kept, row = {len(a): 0}, 0
+    for i in range(len(a) - 1, -1, -1):
+        row = row_before(row, a[i])
+        if i % every == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+
+    def below(i: int) -> int:
+        if i not in rows:
+            end = min(len(a), (i // every + 1) * every)
+            rows.clear()
+            rows[end] = kept[end]
+            for k in range(end - 1, i // every * every - 1, -1):
+                rows[k] = row_before(rows[k + 1], a[k])
+        return rows[i]
+
+    def common(row: int, j: int) -> int:
+        return (row & (1 << (len(b) - j)) - 1).bit_count()
+
+    i = j = 0
+    # common lengths of what lies behind (i + 1, j)
+    under = common(below(1), 0) if a else 0
+    over = common(below(0), 0) if a else 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            yield True, i, j
+            i, j = i + 1, j + 1
+        elif under >= over - (below(i) >> (len(b) - 1 - j) & 1):
+            i += 1
+            yield False, i, j
+        else:
+            over -= below(i) >> (len(b) - 1 - j) & 1
+            under -= below(i + 1) >> (len(b) - 1 - j) & 1
+            j += 1
+            yield False, i, j
+            continue
+        if i < len(a):
+            over, under = common(below(i), j), common(below(i + 1), j)
+
+
 def merged(wrapper: list[list], page: list[list]) -> list[list]:
     """The wrapper generalized to cover another stream."""
     page = absorbed(page, [i for i in wrapper if i[4]])
@@ -238,23 +299,14 @@ def merged(wrapper: list[list], page: list[list]) -> list[list]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = wrapper[head:len(a) - tail], page[head:len(b) - tail]
-    if len(x) * len(y) > MAX_ITEMS * MAX_ITEMS // 4 or len(a) + len(y) > MAX_ITEMS:
-        return wrapper
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
     middle, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i][0] == y[j][0]:
+    for both, i_next, j_next in aligned(a[head:len(a) - tail], b[head:len(b) - tail]):
+        # what only one side has becomes optional: seen on fewer pages than its neighbors
+        middle += x[i:i_next] + y[j:j_next]
+        i, j = i_next, j_next
+        if both:
             middle.append(joined(x[i], y[j]))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            middle.append(x[i])  # optional: seen on fewer pages than its neighbors
-            i += 1
-        else:
-            middle.append(y[j])
-            j += 1
     middle += x[i:] + y[j:]
     ends = [joined(p, q) for p, q in zip(wrapper[len(a) - tail:], page[len(b) - tail:])] if tail else []
     return folded([joined(p, q) for p, q in zip(wrapper[:head], page[:head])] + middle + ends)
@@ -328,6 +380,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
+        held = 0
         arrow = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
 
         def flush():
@@ -341,9 +394,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for part in pieces(batch, "html"):
                 for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
                     host, items = host_of(url), stream(page)
-                    known[host] = merged(known[host], items) if host in known else items
-                if len(known) > 4096:
+                    before = known.get(host)
+                    known[host] = items if before is None else merged(before, items)
+                    held += len(known[host]) - (len(before) if before else 0)
+                if held > HELD_ITEMS:
                     yield from flush()
+                    held = 0
         yield from flush()
 
     def combine(table: pa.Table) -> pa.Table:

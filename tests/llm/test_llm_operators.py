@@ -118,6 +118,36 @@ def test_alignment_makes_groups_options_and_slots():
     assert {i[3] for i in merged if i[0] == "<table"} == {1} and {i[3] for i in merged if i[0] == "<div"} == {2}
 
 
+def test_alignment_is_longest_and_takes_any_length():
+    def plain(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        found = []
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                found.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return found
+
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = (rng.choices("abcde", k=rng.randint(0, 40)) for _ in "ab")
+        assert [(i, j) for both, i, j in extract.aligned(a, b) if both] == plain(a, b)
+    one, two = ([["<div.%s%d" % (side, k % 3000), None, 0, 1, None] if k % 2 else ["<b%d" % k, None, 0, 1, None]
+                 for k in range(5000)] for side in "xy")
+    whole = extract.merged(one, two)
+    assert len(whole) == 7500 and sum(i[3] == 2 for i in whole) == 2500
+    # a page that comes after many others still teaches the wrapper
+    assert "<late" in [i[0] for i in extract.merged(whole, [["<late", None, 0, 1, None]])]
+
+
 # 2
 
 def test_packing_loses_nothing(spark, documents, odd):
