@@ -418,6 +418,28 @@ def test_two_groups_with_one_bridge_are_one(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_groups(d).collect()) == want
 
 
+def test_pairs_of_a_part_are_fewer_than_its_rows(spark):
+    docs = [(i, " ".join(t.split()[:40] + [f"own{i}"])) for i, t in enumerate([" ".join(f"w{k}" for k in range(40))] * 60)]
+    docs += [(100 + i, " ".join(f"u{i}x{k}" for k in range(30))) for i in range(20)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    vertices = near_dup.described(d, 5, True).withColumn("least_id", F.col("doc_id"))
+    pairs = near_dup.candidates(vertices)
+    assert pairs.count() <= near_dup.TREES * 59 and near_dup.links(d, vertices, 5, 75).count() == 59
+
+
+def test_large_nodes_and_groups_keep_all_links(spark, monkeypatch):
+    passage, rows = [f"p{k}" for k in range(350)], copies(160)
+    for i in range(40):
+        for side in "ab":
+            rows.append((2000 + 2 * i + (side == "b"), " ".join(passage + [f"{i}c{k}" for k in range(32)] + [f"{i}{side}{k}" for k in range(56)])))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = plain_components(rows)
+    for part, shingles_held in ((10, 1 << 20), (4096, 900)):  # many parts and branches; parts by the size of sets
+        monkeypatch.setattr(near_dup, "NODE_PART", part)
+        monkeypatch.setattr(near_dup, "PART_SHINGLES", shingles_held)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_groups(d).collect()) == want
+
+
 def test_one_of_each_near_group_stays(spark, none):
     rows = copies(60)
     d = spark.createDataFrame(rows + [(None, "a text without an id"), (None, "another one"), (5, ""), (6, None)],
