@@ -333,6 +333,19 @@ def test_mixed_bits_are_a_distribution():
     assert np.exp(total[second]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_every_training_word_teaches_the_weights(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(400)]
+    words = spark.createDataFrame([(w.encode(), k % 2, 1 + k % 7) for k, w in enumerate(sorted(set(vocabulary)))], "word binary, kind int, n long")
+    n0, n1 = (np.random.default_rng(k).integers(0, 50, lm.SLOTS).astype(np.float32) for k in (0, 1))
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 100)
+    found = [lm.learned_blocks(words.repartition(parts), n0, n1).orderBy("block").collect() for parts in (1, 5)]
+    assert found[0] == found[1] and len(found[0]) == words.count() // 100
+    assert sum(r.tokens for r in found[0]) == words.agg(F.sum("n")).first()[0]
+    less = lm.learned_blocks(words.withColumn("n", F.when(F.col("word") == words.first().word, 900).otherwise(F.col("n"))), n0, n1)
+    assert (lm.averaged(less).weights != lm.averaged(lm.learned_blocks(words, n0, n1)).weights).any()
+
+
 def test_odd_scores(odd, none):
     rows = lm.scored(odd).collect()
     assert len(rows) == 10 and {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
