@@ -9,9 +9,10 @@ together. The one that passes is stored; following the stored tokens back from
 the end gives the ids. Whether two tokens stay apart follows from the merges
 that would undo them and is remembered per pair.
 
-Texts are split at white space first. What comes between is normalized, cut by
-the vocabulary's word pattern and encoded word by word, and remembered as a
-whole up to a bounded number of entries. Strings of special tokens inside a text
+Texts are split at white space first. What comes between is normalized and cut by
+the vocabulary's word pattern, once for all texts of a slice. Their new words are
+encoded in alphabetical order, as the tokens stored for a prefix hold for every
+word that starts so. Words are remembered, up to a bounded number of entries. Strings of special tokens inside a text
 become their ids. Decoding joins the ids' tokens with a blank, as the vocabulary
 file names no decoder. A null text is an empty one and has no ids. Nothing is
 shuffled; every text is encoded where it is read, whole, however long. Repeated rows and
@@ -33,12 +34,12 @@ from pyspark.sql import DataFrame
 
 from cohortline.llm.text import id_and_text, pieces
 
-CACHED_CHUNKS, CACHED_PAIRS = 120_000, 250_000
+CACHED_WORDS, CACHED_PAIRS = 120_000, 250_000
+MARKS = ".,;:!?"
 END = "\x00"  # stands for the end-of-word mark inside the automaton; bytes are written as printable characters
 _WHITE = "\t-\r \x85\xa0  -     　"
 _SPLIT = re.compile(f"[{_WHITE}]+")
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_models: dict[str | None, WordPieces] = {}
 
 
 def byte_characters() -> list[str]:
@@ -55,7 +56,6 @@ class WordPieces:
     """A byte-pair vocabulary with end-of-word marks, read from a tokenizer file."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -64,6 +64,7 @@ class WordPieces:
         self.vocab: dict[str, int] = model["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in [*self.vocab.items(), *self.specials.items()]}
+        self.number = {i: str(i) for i in self.token}
         self.parts: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
         self.rank: dict[int, int] = {}
@@ -76,14 +77,36 @@ class WordPieces:
         self.characters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
         self.word = regex.compile(_WORD)
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.pairs, self.chunks = Pairs(self), Rendered(self)
-        automaton = ahocorasick.Automaton()
+        self.lefts, self.n_pairs = {}, 0
+        self.remembered = Rendered(self)
+        self.root = self.automaton(mark)
+
+    def automaton(self, mark: str) -> Node:
+        """The trie of all tokens, linked; returns its root."""
+        root = Node()
         for text, i in self.vocab.items():
             if self.whole(i):
-                key = text[:-len(mark)] + END if text.endswith(mark) else text
-                automaton.add_word(key, (len(key), i))
-        automaton.make_automaton()
-        self.automaton = automaton
+                key, node = text[:-len(mark)] + END if text.endswith(mark) else text, root
+                for c in key:
+                    if c not in node:
+                        node[c] = Node()
+                    node = node[c]
+                self.lefts[i] = Lefts(self, i)
+                node.ends = (len(key), i, self.lefts[i]),
+        level = list(root.values())
+        for node in level:
+            node.shorter = root
+        while level:
+            for node in level:
+                for c, child in node.items():
+                    # the longest suffix that goes on with this character
+                    shorter = node.shorter
+                    while shorter is not root and c not in shorter:
+                        shorter = shorter.shorter
+                    child.shorter = shorter.get(c, root)
+                    child.ends += child.shorter.ends
+            level = [child for node in level for child in node.values()]
+        return root
 
     def whole(self, token: int) -> bool:
         """Whether the token's own text is encoded as this one token."""
@@ -112,111 +135,156 @@ class WordPieces:
                 # of equal merges the one further left comes first, and that is the one across the middle
                 limit, right = b + 1, parts[right][0]
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one word, written in byte characters."""
-        n = len(word) + 1
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        pairs, known = self.pairs, -1
-        for end, (length, token) in self.automaton.iter(word + END):
-            if end == known:
-                continue
-            before = end + 1 - length
-            if before:
-                left = last[before]
-                if left < 0 or not pairs[left << 32 | token]:
-                    continue
-            known = end
-            last[end + 1], start[end + 1] = token, before
-        ids, at = [], n
-        while at:
-            ids.append(last[at])
-            at = start[at]
-        ids.reverse()
-        return ids
+    def encode_words(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of each word, written in byte characters; words that start alike are best next to each other."""
+        nodes, last, start, known = [self.root], [-1], [0], ""
+        for word in words:
+            word += END
+            shared = 0
+            for a, b in zip(known, word):
+                if a != b:
+                    break
+                shared += 1
+            del nodes[shared + 1:], last[shared + 1:], start[shared + 1:]
+            node, known = nodes[shared], word
+            for end, c in enumerate(word[shared:], shared + 1):
+                after = node.get(c)
+                while after is None:
+                    node = node.shorter
+                    after = node.get(c)
+                node = after
+                for length, token, lefts in node.ends:
+                    before = end - length
+                    if not before or lefts[last[before]]:
+                        break
+                else:
+                    before, token = 0, -1
+                nodes.append(node)
+                last.append(token)
+                start.append(before)
+            ids, at = [], len(word)
+            while at:
+                ids.append(last[at])
+                at = start[at]
+            ids.reverse()
+            yield ids
 
     def words(self, text: str) -> list[str]:
         """Normalized text without white space, cut by the word pattern."""
-        if text.isalpha():
-            return [text]
-        if text[-1] in ".,;:!?" and text[:-1].isalpha():
-            return [text[:-1], text[-1]]
         if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in text):
             return self.word.findall(text)
         # code points that newer tables assign are symbols here
         shown = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in text)
         return [text[m.start():m.end()] for m in self.word.finditer(shown)]
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of text without white space."""
-        if chunk.isascii():
-            text = chunk.lower()
-        else:
-            text = unicodedata.normalize("NFC", chunk)
-            text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # no final sigma
-        ids = []
-        for word in self.words(text):
-            if not (word.isascii() and word.isalpha()):
-                word = word.encode().decode("latin-1").translate(self.characters)
-            ids += self.encode_word(word)
-        return ids
-
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.token[i] for i in ids])
+        return " ".join(map(self.token.__getitem__, ids))
+
+    def split(self, text: str) -> list[str]:
+        """What stands between white space, and the special tokens."""
+        if not self.special or not self.special.search(text):
+            return split(text)
+        parts, at = [], 0
+        for m in self.special.finditer(text):
+            parts += [*split(text[at:m.start()]), m[0]]
+            at = m.end()
+        return parts + split(text[at:])
 
     def encode(self, text: str) -> tuple[str, str]:
-        """Ids and tokens of a whole text, each joined by a blank."""
-        self.chunks.trim()
-        parts = split(text)
-        if self.special and self.special.search(text):
-            parts, at = [], 0
-            for m in self.special.finditer(text):
-                parts += [*split(text[at:m.start()]), m[0]]
-                self.chunks[m[0]], self.chunks.tokens[m[0]] = str(self.specials[m[0]]), m[0]
-                at = m.end()
-            parts += split(text[at:])
-        ids = " ".join(map(self.chunks.__getitem__, parts))
-        return ids, " ".join(map(self.chunks.tokens.__getitem__, parts))
-
-
-class Pairs(dict):
-    """Whether two tokens, in one key, stay apart; forgets all when full."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[str, str]]:
+        """Ids and tokens of whole texts, each joined by a blank."""
+        parts = [self.split(t) for t in texts]
+        # one word; one word and a mark; cut by the pattern
+        plain, marked, cut = {}, {}, {}
+        for chunk in set().union(*parts).difference(self.specials):
+            text = chunk.lower() if chunk.isascii() else lowered(chunk)
+            if text.isalpha():
+                plain[chunk] = text
+            elif text[-1] in MARKS and text[:-1].isalpha():
+                marked[chunk] = text
+            else:
+                cut[chunk] = self.words(text)
+        words = {*plain.values(), *[t[:-1] for t in marked.values()], *MARKS}
+        self.remembered.learn(words.union(*cut.values()))
+        place = {c: k for k, c in enumerate([*plain, *marked, *cut, *self.specials])}
+        places = [list(map(place.__getitem__, p)) for p in parts]
+        made = []
+        for known, specials in (self.remembered.ids, map(str, self.specials.values())), (self.remembered.tokens, self.specials):
+            after = {mark: " " + known[mark] for mark in MARKS}
+            shown = [known[t] for t in plain.values()]
+            shown += [known[t[:-1]] + after[t[-1]] for t in marked.values()]
+            shown += [" ".join(map(known.__getitem__, w)) for w in cut.values()]
+            shown += specials
+            made.append([" ".join(map(shown.__getitem__, p)) for p in places])
+        return list(zip(*made))
+
+
+class Node(dict):
+    """What follows a beginning of tokens, by character; ``ends`` has the tokens that end here, longest first.
+
+    Each token comes with its length and its ``Lefts``; ``shorter`` is the longest suffix that is a node, too.
+    """
 
-    def __init__(self, model: WordPieces):
-        self.model = model
+    __slots__ = ("shorter", "ends")
+
+    def __init__(self):
+        self.ends: tuple[tuple[int, int, Lefts], ...] = ()
+
+
+class Lefts(dict):
+    """Whether tokens stay apart from the one token that follows them; those of all tokens are forgotten when full."""
+
+    __slots__ = ("model", "token")
+
+    def __init__(self, model: WordPieces, token: int):
+        self.model, self.token = model, token
 
-    def __missing__(self, key: int) -> bool:
-        if len(self) >= CACHED_PAIRS:
-            self.clear()
-        found = self[key] = self.model.apart(key >> 32, key & 0xFFFFFFFF)
+    def __missing__(self, left: int) -> bool:
+        model = self.model
+        if model.n_pairs >= CACHED_PAIRS:
+            for lefts in model.lefts.values():
+                lefts.clear()
+            model.n_pairs = 0
+        model.n_pairs += 1
+        found = self[left] = left >= 0 and model.apart(left, self.token)
         return found
 
 
-class Rendered(dict):
-    """Ids of a chunk, joined by a blank; ``tokens`` has its tokens likewise.
+class Rendered:
+    """Ids and tokens of words, each joined by a blank.
 
     When full, all entries become the older ones, which are still looked up and
     go when the next lot is full.
     """
 
     def __init__(self, model: WordPieces):
-        self.model, self.tokens = model, {}
-        self.older: tuple[dict, dict] = {}, {}
-
-    def trim(self) -> None:
-        if len(self) >= CACHED_CHUNKS:
-            self.older = dict(self), self.tokens
-            self.clear()
-            self.tokens = {}
-
-    def __missing__(self, chunk: str) -> str:
-        found = self.older[0].get(chunk)
-        if found is None:
-            ids = self.model.encode_chunk(chunk)
-            found, self.tokens[chunk] = " ".join(map(str, ids)), self.model.decode(ids)
-        else:
-            self.tokens[chunk] = self.older[1][chunk]
-        self[chunk] = found
-        return found
+        self.model = model
+        self.ids: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
+        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
+
+    def learn(self, words: set[str]) -> None:
+        """Make all ``words`` known."""
+        if len(self.ids) >= CACHED_WORDS:
+            self.older, self.ids, self.tokens = (self.ids, self.tokens), {}, {}
+        (older_ids, older_tokens), model = self.older, self.model
+        new = {}
+        for word in words.difference(self.ids):
+            if word in older_ids:
+                self.ids[word], self.tokens[word] = older_ids[word], older_tokens[word]
+            else:
+                new[word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(model.characters)] = word
+        spelled = sorted(new)
+        for word, ids in zip(map(new.__getitem__, spelled), model.encode_words(spelled)):
+            self.ids[word], self.tokens[word] = " ".join(map(model.number.__getitem__, ids)), model.decode(ids)
+
+
+def lowered(text: str) -> str:
+    """Normalized and in lower case."""
+    text = unicodedata.normalize("NFC", text)
+    return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # no final sigma
 
 
 def split(text: str) -> list[str]:
@@ -226,6 +294,16 @@ def split(text: str) -> list[str]:
     return text.split()
 
 
+class Models(dict):
+    """Vocabularies by path; each process reads its own, none is sent along with a task."""
+
+    def __reduce__(self):
+        return Models, ()
+
+
+_models: dict[str | None, WordPieces] = Models()
+
+
 def vocabulary(path: str | None = None) -> WordPieces:
     if path not in _models:
         import public_tokenizers
@@ -242,7 +320,7 @@ def encoded(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         model = vocabulary(tokenizer)
         for batch in batches:
             for part in pieces(batch):
-                ids = [[int(i) for i in model.encode(t)[0].split()] for t in part.column("text").to_pylist()]
+                ids = [[int(i) for i in found.split()] for found, _ in model.encode_all(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], schema=schema)
 
     return id_and_text(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids array<int>")
@@ -281,7 +359,7 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             raise ValueError("ids are written as 16 bits")
         for batch in batches:
             for part in pieces(batch):
-                made = [model.encode(t) for t in part.column("text").to_pylist()]
+                made = model.encode_all(part.column("text").to_pylist())
                 columns = [part.column("doc_id"), pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in made], pa.int64()),
                            pa.array([digest(ids) for ids, _ in made]), pa.array([digest(text) for _, text in made])]
                 if with_ids:

@@ -570,6 +570,35 @@ def test_every_token_is_its_own_encoding():
     assert all(model.whole(i) for i in model.parts)
 
 
+def test_words_are_encoded_once_and_from_shared_prefixes(monkeypatch):
+    model = bpe.vocabulary()
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("abeinrstäß") for _ in range(rng.randint(2, 12))) for _ in range(60)]
+    words = [rng.choice(stems) + rng.choice(stems) for _ in range(400)]
+
+    def plain(word):
+        parts = list(word.encode().decode("latin-1").translate(model.characters))
+        ids = [model.vocab[p] for p in [*parts[:-1], parts[-1] + "</w>"]]
+        while made := [(model.rank[model.merge[ab]], k, model.merge[ab]) for k, ab in enumerate(zip(ids, ids[1:])) if ab in model.merge]:
+            _, k, one = min(made)
+            ids[k:k + 2] = [one]
+        return " ".join(map(str, ids))
+
+    # small stores forget much and give the same
+    for size in 7, 100_000:
+        monkeypatch.setattr(bpe, "CACHED_WORDS", size)
+        monkeypatch.setattr(bpe, "CACHED_PAIRS", size)
+        for k in range(0, 400, 50):
+            part = words[k:k + 50]
+            assert [i for i, _ in model.encode_all(part)] == [plain(w) for w in part]
+            assert [model.encode(w) for w in part] == model.encode_all(part)
+    asked = []
+    encode_words = model.encode_words
+    monkeypatch.setattr(model, "encode_words", lambda own: asked.extend(own) or encode_words(own))
+    found = model.encode_all(["Qzxvkj qzxvkj, QZXVKJ!", "qzxvkj", ""])
+    assert asked.count("qzxvkj") == 1 and found[0][0].split()[-1] == str(model.vocab["!</w>"]) and found[2] == ("", "")
+
+
 def test_odd_texts_encode(odd, none):
     rows = {(r.doc_id, r.n_tokens) for r in bpe.digests(odd).collect()}
     assert {(3, 0), (4, 0), (5, 0), (6, 30000), (None, 0), (None, 4)} <= rows
