@@ -356,6 +356,21 @@ def test_odd_scores(odd, none):
     assert lm.scored(odd.drop("lang"), label_column=None).count() == 10
 
 
+def test_bytes_after_one_beginning_are_worked_on_once():
+    data, at = lm.spelled([b"abc", b"abd", b"abc", b""])
+    first, again, hashes = lm.distinct_bytes(data, at, np.repeat([0, 0, 1, 0], np.diff(at)))
+    # a, b, c, d, two ends of words, the end of a text; four in the other kind
+    assert len(first) == 11 and (data[first][again] == data).all()
+    assert all((own == h[first]).all() for own, h in zip(hashes, lm.context_hashes(data, at)))
+    seen = np.arange(70_000, dtype=np.float32)
+    assert (lm.seen_level(seen, 0 * seen) == np.minimum(np.ceil(np.log2(seen.astype(float) + 1)), lm.LEVELS - 1)).all()
+    counts, made = lm.side_by_side(*np.random.default_rng(3).integers(0, 9, (2, lm.SLOTS)).astype(np.float32)), []
+    for words, n in ([b"ab", b"abc", b"ab"], [2, 5, 1]), ([b"abc", b"ab"], [5, 3]):
+        made.append(lm.Mixer())
+        lm.learn_words(made[-1], counts, words, [1] * len(words), n, 0)
+    assert np.allclose(made[0].weights, made[1].weights, atol=1e-6) and not np.allclose(made[0].weights, lm.Mixer().weights, atol=1e-3)
+
+
 # 6
 
 def plain_components(rows, percent=75):
