@@ -23,6 +23,7 @@ from math import factorial
 import numpy as np
 
 CELLS_AT_ONCE = 1 << 20
+PAIR_CELLS = 1 << 17  # coalition values that are worked on at once
 MOST_FEATURES = 20  # 2**20 coalitions
 
 
@@ -185,7 +186,8 @@ class ForestScore:
         """Exact Shapley values under the logistic curve: the forest's value for every coalition, then the curve.
 
         A leaf counts for the coalitions that hold ``need`` (what fits in the row alone) and nothing of ``bar`` (what fits
-        in the background row alone): signed points below which sums over subsets give all coalitions at once.
+        in the background row alone). Features in no ``need`` or ``bar`` of a row and a background row change nothing
+        between the two, so each pair has coalitions of its other features only.
         """
         p, m = rows.shape[1], len(background)
         if p > MOST_FEATURES:
@@ -193,44 +195,113 @@ class ForestScore:
         rows, background = self.scaling(rows), self.scaling(background)
         long = np.flatnonzero(np.diff(self.start) > 0)
         first, value = self.start[long], self.value[long]
+        phi = np.zeros(rows.shape)
+        if not len(first):
+            return phi
         constant = float(self.value[np.diff(self.start) == 0].sum())
-        bit = np.int64(1) << self.feature
+        bit = np.int32(1) << self.feature.astype(np.int32)
 
         def patterns(x: np.ndarray) -> np.ndarray:
             fits = (x[:, self.feature] > self.low) & (x[:, self.feature] <= self.high)
-            return np.add.reduceat(fits * bit, first, axis=1) if len(first) else np.zeros((len(x), 0), np.int64)
+            return np.add.reduceat(fits * bit, first, axis=1, dtype=np.int32)
 
-        full = np.add.reduceat(bit, first) if len(first) else np.zeros(0, np.int64)
+        full = np.add.reduceat(bit, first, dtype=np.int32)
         theirs = patterns(background)
-        size = np.bitwise_count(np.arange(1 << p))
-        inside = np.array([0.0] + [factorial(s - 1) * factorial(p - s) / factorial(p) for s in range(1, p + 1)])[size]
-        outside = np.array([factorial(s) * factorial(p - s - 1) / factorial(p) for s in range(p)] + [0.0])[size]
-        step = max(1, CELLS_AT_ONCE >> p)
-        phi = np.zeros(rows.shape)
-        for i, x in enumerate(rows):
-            mine = patterns(x[None])[0]
-            mean = np.zeros(1 << p)
-            for at in range(0, m, step):
-                other = theirs[at:at + step]
-                b, leaf = np.nonzero((mine | other) == full)
-                need, bar = mine[leaf] & ~other[b, leaf], other[b, leaf] & ~mine[leaf]
-                cell, part = (b << p) | need, value[leaf]
-                for j in range(p):
-                    barred = np.flatnonzero(bar >> j & 1)
-                    cell, part = np.append(cell, cell[barred] | 1 << j), np.append(part, -part[barred])
-                    bar = np.append(bar, bar[barred])
-                sums = np.bincount(cell, weights=part, minlength=len(other) << p).reshape(len(other), 1 << p)
-                for j in range(p):
-                    halves = sums.reshape(len(other), -1, 2, 1 << j)
-                    halves[:, :, 1] += halves[:, :, 0]
-                mean += logistic(self.platt[0] * (sums + constant) + self.platt[1]).sum(axis=0)
-            mean /= m
-            plus, minus = (mean * inside), (mean * outside)
-            for j in range(p):
-                phi[i, j] = plus.reshape(-1, 2, 1 << j)[:, 1].sum() - minus.reshape(-1, 2, 1 << j)[:, 0].sum()
+        step = max(1, CELLS_AT_ONCE // theirs.size)
+        for at in range(0, len(rows), step):
+            mine = patterns(rows[at:at + step])
+            pair, leaf = np.divmod(np.flatnonzero((mine[:, None] | theirs) == full), len(full))
+            x, b = np.divmod(pair, m)
+            own, other = mine[x, leaf], theirs[b, leaf]
+            apart = self._pairs(pair, own & ~other, other & ~own, value[leaf], len(mine) * m, p, constant)
+            phi[at:at + step] = apart.reshape(-1, m, p).mean(axis=1)
+        return phi
+
+    def _pairs(self, pair: np.ndarray, need: np.ndarray, bar: np.ndarray, value: np.ndarray, pairs: int, p: int,
+               constant: float) -> np.ndarray:
+        """Shapley values of each pair of a row and a background row, from the leaves that count, ordered by pair."""
+        used = np.zeros(pairs, np.int32)
+        starts = np.flatnonzero(np.diff(pair, prepend=-1))
+        used[pair[starts]] = np.bitwise_or.reduceat(need | bar, starts)
+        size = np.bitwise_count(used)
+        # pairs of one size are worked on together, and features numbered within their pair
+        order = np.argsort(size, kind="stable")
+        place = np.empty(pairs, np.int64)
+        place[order] = np.arange(pairs)
+        term = np.argsort(place[pair], kind="stable")
+        pair, need, bar, value = pair[term], need[term], bar[term], value[term]
+        sides, packed = need | bar.astype(np.int64) << 32, np.zeros(len(pair), np.int64)
+        for j in range(p):
+            turn = np.bitwise_count(used & np.int32((1 << j) - 1)).astype(np.int64)
+            packed |= (sides >> j & (1 << 32 | 1)) << turn[pair]
+        near, far = packed.astype(np.int32), (packed >> 32).astype(np.int32)
+        column, slope = place[pair], self.platt[0]
+        # as powers the leaves' parts are multiplied, unless they might leave the range of doubles
+        powers = abs(slope) * np.bincount(column, np.abs(value) * 2.0 ** np.bitwise_count(far)).max() < 300
+        base = self.platt[0] * constant + self.platt[1]
+        phi = np.zeros((pairs, p))
+        at = 0
+        while at < pairs:
+            k = int(size[order[at]])
+            end = min(int(np.searchsorted(size[order], k, side="right")), at + max(1, PAIR_CELLS >> k))
+            here = slice(*np.searchsorted(column, [at, end]))
+            if k:
+                n = end - at
+                leaf, sets, sign = expanded(near[here], far[here])
+                cell, weight = sets.astype(np.int64) * n + (column[here] - at)[leaf], sign * (slope * value[here])[leaf]
+                if powers:
+                    values = np.ones((1 << k, n))
+                    values[0] = np.exp(-base)
+                    np.multiply.at(values.reshape(-1), cell, np.exp(-weight))
+                    below(values, k, np.multiply)
+                    values += 1.0
+                    np.reciprocal(values, out=values)
+                else:
+                    values = np.bincount(cell, weight, n << k).reshape(1 << k, n)
+                    below(values, k, np.add)
+                    values = logistic(values + base)
+                # numbers of features within a pair, from the lowest bit on
+                row, feature = np.nonzero(used[order[at:end], None] >> np.arange(p) & 1)
+                phi[order[at:end][row], feature] = shapley_sums(values, k).T.ravel()
+            at = end
         return phi
 
 
+def expanded(need: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signed sets whose sums over subsets count what holds ``need`` and nothing of ``bar``: the place of the two, the set, the sign."""
+    times = np.int64(1) << np.bitwise_count(bar).astype(np.int64)
+    at = np.repeat(np.arange(len(need)), times)
+    part = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
+    sets, rest = need[at], bar.copy()
+    for k in range(int(times.max(initial=1)).bit_length() - 1):
+        lowest = rest & -rest
+        rest ^= lowest
+        sets |= lowest[at] * (part >> k & 1)
+    return at, sets, 1.0 - 2.0 * (np.bitwise_count(part) & 1)
+
+
+def below(table: np.ndarray, k: int, join: np.ufunc) -> None:
+    """In place, each row of ``2**k`` joined with the rows of all its subsets."""
+    for j in range(k):
+        halves = table.reshape(-1, 2, table.shape[1] << j)
+        join(halves[:, 1], halves[:, 0], out=halves[:, 1])
+
+
+def shapley_sums(values: np.ndarray, k: int) -> np.ndarray:
+    """Shapley values of ``k`` features, one row each, from the values of all coalitions; overwrites these."""
+    size = np.bitwise_count(np.arange(1 << k))
+    outside = np.array([factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)] + [0.0])
+    both = outside + ([0.0] + [factorial(s - 1) * factorial(k - s) / factorial(k) for s in range(1, k + 1)])
+    lost = outside[size] @ values
+    values *= both[size][:, None]
+    out = np.empty((k, values.shape[1]))
+    for j in reversed(range(k)):
+        low, high = values[:1 << j], values[1 << j:2 << j]
+        out[j] = high.sum(axis=0) - lost
+        low += high
+    return out
+
+
 class LandmarkScore:
     """The logistic curve over a weighted sum of RBF kernels with landmarks, in prepared features."""
 

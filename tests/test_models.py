@@ -7,6 +7,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from cohortline.operators import evaluate as ev, explain as ex, kernels as ke, linear, models as mo, prep as pr, registry
+from cohortline.operators import scores
 from cohortline.operators.scores import ForestScore, LandmarkScore, LinearScore, PolynomialScore, Scaling
 from cohortline.plans import modeling
 from cohortline.session import fresh_path
@@ -458,6 +459,24 @@ def test_calibrated_forest_attributions_equal_enumeration(wide):
     np.testing.assert_allclose(score.attributions(rows, background).sum(1), score(rows) - score(background).mean(), atol=1e-9)
 
 
+@pytest.mark.parametrize("platt", [(3.0, -1.2), (-900.0, 40.0)])
+def test_pairs_of_rows_have_coalitions_of_what_tells_them_apart_only(wide, monkeypatch, platt):
+    x, cols, d = wide
+    score = mo.fit(d, "id", "y", cols, mo.Spec("rf", {"n_estimators": 4, "max_depth": 5})).array_score()
+    score.platt = platt
+    rows, background = np.vstack([x[:4], x[100:101]]), np.vstack([x[100:106], x[100:101]])
+    worked = []
+    joined = scores.below
+    monkeypatch.setattr(scores, "below", lambda table, k, join: (worked.append(table.size), joined(table, k, join)))
+    got = score.attributions(rows, background)
+    assert 0 < sum(worked) < 0.5 * len(rows) * len(background) * 2 ** len(cols)
+    np.testing.assert_allclose(got, enumerated(score, rows, background), atol=1e-9)
+    for cells in (1, 40):  # slices of pairs, slices of rows
+        monkeypatch.setattr(scores, "PAIR_CELLS", cells)
+        monkeypatch.setattr(scores, "CELLS_AT_ONCE", cells)
+        np.testing.assert_allclose(score.attributions(rows, background), got, atol=1e-12)
+
+
 def test_a_forest_of_bare_leaves_attributes_nothing():
     score = ForestScore.of_nodes([[{"id": 0, "left": -1, "right": -1, "feature": -1, "threshold": 0.0, "value": 0.4}]], Scaling.none(3))
     assert score(np.zeros((2, 3))).tolist() == [0.4, 0.4] and not score.attributions(np.ones((2, 3)), np.zeros((4, 3))).any()
