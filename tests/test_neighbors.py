@@ -84,6 +84,43 @@ def test_rounds_visit_few_leaves(spark):
         assert near[i] == np.lexsort((np.arange(4000), d))[:6].tolist()
 
 
+def test_points_without_structure_meet_cells_not_leaves(spark):
+    """In a cloud of 13 dimensions nearly all of the small leaves are within reach: what is sent follows the groups."""
+    x = np.random.default_rng(5).normal(size=(1500, 13))
+    vectors = spark.createDataFrame([(i, p.tolist(), [i]) for i, p in enumerate(x)], "vid long, vec array<double>, ids array<long>")
+    visits = []
+    near = {r.vid: [(n.d2, n.id) for n in r.near] for r in nb.vector_neighbors(vectors, 5, 8, visits).collect()}
+    assert len(near) == 1500 and sum(asks for _, asks in visits) / 1500 < 2 * spark.sparkContext.defaultParallelism
+    for i in range(0, 1500, 41):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        order = np.lexsort((np.arange(1500), d))[:6]
+        assert [n for _, n in near[i]] == order.tolist()
+        np.testing.assert_allclose([d2 for d2, _ in near[i]], d[order], atol=1e-12)
+
+
+@pytest.mark.parametrize("away, spread", [(1e6, 1e-3), (1e25, 1e22), (0.0, 1e-30), (3.0, 0.0)])
+def test_products_in_single_precision_miss_nothing(away, spread, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = away + spread * np.round(rng.normal(size=(300, 4)), 2)
+    x[-1] += 1e3 * spread
+    pdf = pd.DataFrame({"vec": list(x), "ids": [[i] for i in range(300)]})
+    monkeypatch.setattr(nb, "PENDING", 50)
+    got = nb.Points(pdf, 30).nearest(x, np.full(300, np.inf), 6).lists(300)
+    for i in range(300):
+        gap = sum((x[:, j] - x[i, j]) ** 2 for j in range(4))
+        assert [n for _, n in got[i]] == np.lexsort((np.arange(300), gap))[:6].tolist()
+
+
+def test_missing_components_are_near_to_nothing(spark):
+    rows = [(i, float(i % 7), None if i % 5 == 0 else float(i), 0.0) for i in range(60)]
+    got = nb.nearest_neighbors(spark.createDataFrame(rows, "id long, a double, b double, c double"), "id", COLS, 3, 10).toPandas()
+    there = [r for r in rows if r[2] is not None]
+    assert set(got.id) == {r[0] for r in there} and set(got.neighbor_id) <= set(got.id)
+    want = brute(np.array([r[1:] for r in there]), 3)
+    for i, r in enumerate(there):
+        assert list(got[got.id == r[0]].sort_values("rank").neighbor_id) == [there[j][0] for j in want[i]]
+
+
 def test_cells_inside_a_leaf(monkeypatch):
     rng = np.random.default_rng(9)
     x = np.round(rng.normal(size=(500, 4)), 1)
