@@ -158,6 +158,27 @@ def test_collocations_of_a_long_text_and_of_nothing(spark):
     assert not found_collocations(spark, [("one two", "en"), (None, None)])
 
 
+def test_words_are_numbered_apart_and_never_joined_as_text(spark, monkeypatch):
+    words = spark.createDataFrame([("en", "one"), ("en", "two"), ("de", "one")], "lang string, lower string")
+    # by the first seed, words of one length share a number
+    chosen = collocations.distinct_seed(words, lambda w, seed: collocations.numbered(w, seed) if seed else F.length(w))
+    assert chosen == 1 and collocations.distinct_seed(words) == 0
+    odd = ["ABCz", "\u00c9A", "\u212a\u0130K", "x", "\U0001d400A"]
+    rows = spark.createDataFrame([(w,) for w in odd], "word string").select(collocations.lowered(F.col("word")).alias("low")).collect()
+    assert [r.low for r in rows] == ["abcz", "\u00c9a", "\u212a\u0130k", "x", "\U0001d400a"]
+    persisted = []
+    persist = collocations.Relations.persist
+
+    def spied(self, relation):
+        persisted.append(relation._jdf.queryExecution().optimizedPlan().toString())
+        return persist(self, relation)
+
+    monkeypatch.setattr(collocations.Relations, "persist", spied)
+    rows = phrase_rows()
+    assert found_collocations(spark, rows, least=6, limit=0) == plain_collocations(rows, 6)
+    assert len(persisted) == 3 and "Join" not in persisted[0] and all("Join" in plan for plan in persisted[1:])
+
+
 # harmonic packing
 
 def plain_ids(texts):
